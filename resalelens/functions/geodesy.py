@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from resalelens.schemas import EARTH_RADIUS_M, WGS84_A, WGS84_F
 
@@ -123,7 +124,7 @@ def vincenty_np(lat1, lon1, lat2, lon2, max_iter: int = 200, tol: float = 1e-12)
     return s
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _ellipsoid_udf(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     s = vincenty_np(lat1.to_numpy("float64", na_value=np.nan), lon1.to_numpy("float64", na_value=np.nan),
                     lat2.to_numpy("float64", na_value=np.nan), lon2.to_numpy("float64", na_value=np.nan))

@@ -10,15 +10,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def round_half_away(c: Column | str, digits: int = 0) -> Column:
+    """Round a double to ``digits`` decimals, half away from zero, on its
+    binary value: ``rint(x * 10^d) / 10^d`` with exact halves pushed away
+    from zero.
+
+    Spark's ``round`` rounds the shortest decimal text of the double
+    (``13516.325`` -> ``13516.33``), while the source application's frame
+    library and SQL engines scale the binary value (``13516.32499..`` ->
+    ``13516.32``).  This helper gives the latter.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    m = float(10 ** digits)
+    y = c.cast("double") * F.lit(m)
+    half = (y - F.floor(y).cast("double")) == F.lit(0.5)
+    r = F.when(half, y + F.signum(y) * F.lit(0.5)).otherwise(F.rint(y))
+    return r / F.lit(m)
+
+
 def ratio(num: Column, den: Column) -> Column:
     """``num / den`` as double, null when ``den`` is 0 or null."""
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
 def percent(num: Column, den: Column, digits: int | None = None) -> Column:
-    """``100 * num / den``, optionally rounded (half up)."""
+    """``100 * num / den``, optionally rounded (``round_half_away``)."""
     p = F.try_divide(F.lit(100.0) * num.cast("double"), den.cast("double"))
-    return F.round(p, digits) if digits is not None else p
+    return round_half_away(p, digits) if digits is not None else p
 
 
 def to_double(c: Column) -> Column:

@@ -12,11 +12,13 @@ def replace_first(c: Column, literal: str, replacement: str) -> Column:
     """Replace the first occurrence of ``literal`` (plain text, not a regex).
 
     Spark's ``regexp_replace``/``replace`` rewrite every match; the source
-    rewrites only the first one, so this locates it with ``instr`` and
-    splices with ``overlay``.  Null stays null; no match returns ``c``.
+    rewrites only the first one.  Splitting with ``limit=2`` cuts at the
+    first match only, and joining the (one or two) parts with the
+    replacement splices it in.  ``c`` is referenced once, so chains of
+    rewrites stay linear in generated code.  Null stays null.
     """
-    pos = F.instr(c, literal)
-    return F.when(pos > 0, F.overlay(c, F.lit(replacement), pos, F.lit(len(literal)))).otherwise(c)
+    quoted = "\\Q" + literal + "\\E"
+    return F.array_join(F.split(c, quoted, 2), replacement)
 
 
 def rewrite_first(c: Column, rules: Iterable[tuple[str, str]]) -> Column:

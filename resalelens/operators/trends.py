@@ -126,9 +126,9 @@ def counts_below_from(trend: DataFrame, threshold: float = HIGH_MEDIAN, digits:
     below = F.col("price") < F.lit(threshold)
     agg = trend.groupBy("month").agg(
         F.count_if(below).alias("below"),
-        F.count_if(~below).alias("from"),
+        F.count_if(~below).alias("at_or_above"),
     )
-    return agg.withColumn("pct_below", percent(F.col("below"), F.col("below") + F.col("from"), digits))
+    return agg.withColumn("pct_below", percent(F.col("below"), F.col("below") + F.col("at_or_above"), digits))
 
 
 def million_count(trend: DataFrame, threshold: float = MILLION) -> DataFrame:
