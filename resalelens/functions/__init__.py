@@ -7,6 +7,7 @@ from resalelens.functions.text import (
     money,
     replace_first,
     rewrite_all,
+    rewrite_column,
     rewrite_first,
     split_names,
     storey_low,
@@ -15,6 +16,6 @@ from resalelens.functions.text import (
 
 __all__ = [
     "bin_bounds", "bin_label", "bin_ordinal", "percent", "ratio", "to_double",
-    "lease_years", "money", "replace_first", "rewrite_all", "rewrite_first",
+    "lease_years", "money", "replace_first", "rewrite_all", "rewrite_column", "rewrite_first",
     "split_names", "storey_low", "unit_suffix",
 ]

@@ -4,30 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _quote_regex(text: str) -> str:
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
+def _quote_replacement(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def replace_first(c: Column, literal: str, replacement: str) -> Column:
     """Replace the first occurrence of ``literal`` (plain text, not a regex).
 
-    Spark's ``regexp_replace``/``replace`` rewrite every match; the source
-    rewrites only the first one.  Splitting with ``limit=2`` cuts at the
-    first match only, and joining the (one or two) parts with the
-    replacement splices it in.  ``c`` is referenced once, so chains of
-    rewrites stay linear in generated code.  Null stays null.
+    Spark's ``replace`` rewrites every match; the source rewrites only the
+    first one.  An anchored, lazy pattern ``^(.*?)<literal>`` can match only
+    once, at the leftmost occurrence, and keeps the text before it.  The
+    pattern is a constant, compiled once per task, and ``c`` is referenced
+    once, so the expression stays linear however often the optimizer
+    inlines it (e.g. when a filter on a derived column is pushed down).
+    Null stays null; no match returns ``c``.
     """
-    quoted = "\\Q" + literal + "\\E"
-    return F.array_join(F.split(c, quoted, 2), replacement)
+    pattern = "(?s)^(.*?)" + _quote_regex(literal)
+    return F.regexp_replace(c, F.lit(pattern), F.lit("$1" + _quote_replacement(replacement)))
 
 
 def rewrite_first(c: Column, rules: Iterable[tuple[str, str]]) -> Column:
-    """Apply ``replace_first`` for each ``(literal, replacement)`` in order."""
+    """``replace_first`` for each ``(literal, replacement)`` in order."""
     for literal, replacement in rules:
         c = replace_first(c, literal, replacement)
     return c
 
 
+def rewrite_column(df: DataFrame, name: str, rules: Iterable[tuple[str, str]],
+                   first_only: bool = True) -> DataFrame:
+    """Rewrite column ``name`` with the rules in order (first match each, or
+    every match with ``first_only=False``)."""
+    c = rewrite_first(F.col(name), rules) if first_only else rewrite_all(F.col(name), rules)
+    return df.withColumn(name, c)
+
+
 def rewrite_all(c: Column, rules: Iterable[tuple[str, str]]) -> Column:
     """Replace every occurrence for each rule (the ``strict=False`` lease option)."""
     for literal, replacement in rules:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from resalelens.functions.binning import bin_label, bin_ordinal
-from resalelens.functions.text import rewrite_all, rewrite_first
+from resalelens.functions.text import rewrite_column
 from resalelens.schemas import (
     BLOCK_PREFIX,
     FLAT_REWRITES,
@@ -56,18 +56,20 @@ def clean_transactions(raw: DataFrame, strict_lease: bool = True) -> DataFrame:
     """
     area = as_double(raw, "floor_area_sqm")
     price = as_double(raw, "resale_price")
-    lease_fn = rewrite_first if strict_lease else rewrite_all
     staged = raw.select(
         F.col("month").cast("string").alias("month"),
         F.col("town").cast("string").alias("town"),
-        rewrite_first(F.col("flat_type"), FLAT_REWRITES).alias("flat"),
+        F.col("flat_type").alias("flat"),
         F.concat(F.lit(BLOCK_PREFIX), F.col("block").cast("string"), F.lit(" "),
                  F.col("street_name")).alias("street"),
-        rewrite_first(F.col("storey_range"), FLOOR_REWRITES).alias("floor"),
-        lease_fn(F.col("remaining_lease"), LEASE_REWRITES).alias("lease"),
+        F.col("storey_range").alias("floor"),
+        F.col("remaining_lease").alias("lease"),
         area.alias("area_sqm"),
         price.alias("price"),
     )
+    staged = rewrite_column(staged, "flat", FLAT_REWRITES)
+    staged = rewrite_column(staged, "floor", FLOOR_REWRITES)
+    staged = rewrite_column(staged, "lease", LEASE_REWRITES, first_only=strict_lease)
     sqft = F.col("area_sqm") * F.lit(SQFT_PER_SQM)
     return staged.select(
         "month", "town", "flat", "street", "floor", "lease", "area_sqm",

@@ -18,10 +18,11 @@ from resalelens.functions.numeric import round_half_away
 from resalelens.operators import analyses as N
 from resalelens.operators import boxstats, clean, facets, geo, search, trends
 from resalelens.plans import standin as S
+from resalelens.plans.materialize import materialized, written
 from resalelens.schemas import TXN as TXN_SCHEMA
 from resalelens.session import scratch_path
 from resalelens.sources import envelope, history, month_source, months
-from resalelens.sources.tables import read_table
+from resalelens.sources.tables import read_table, table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,11 +45,18 @@ def query(name: str, sql: str | None = None):
 # ---------------------------------------------------------------------------
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.clean_transactions(S.raw_transactions(spark, sf_dir))
+    """Clean transactions, written once per input state as a month-partitioned
+    table in the checkpoint folder (see ``plans.materialize``) and read back."""
+    return materialized(
+        spark, "clean_txn", [table_path(sf_dir, t) for t in S.STANDIN_TABLES],
+        lambda: clean.clean_transactions(S.raw_transactions(spark, sf_dir)),
+        schema=TXN_SCHEMA, cluster_by=["town", "street"])
 
 
 def trend(spark: SparkSession, sf_dir: str, with_ordinal: bool = False) -> DataFrame:
-    return clean.trend_frame(S.raw_trend(spark, sf_dir), with_ordinal=with_ordinal)
+    """Trend rows from the clean table (its price is the raw price as double)."""
+    t = txn(spark, sf_dir).select("month", "town", F.col("price").alias("resale_price"))
+    return clean.trend_frame(t, with_ordinal=with_ordinal)
 
 
 RAW = f"raw as ({S.RAW_TXN_SQL})"
@@ -115,7 +123,8 @@ def _bag_sql(cols: str, flags: list[str], extra: str = "") -> str:
 
 @query("clean_transactions", f"with {TXN} select * from txn")
 def q_clean_transactions(spark, d):
-    return txn(spark, d)
+    # The cleaning pipeline itself, end to end from the source tables.
+    return clean.clean_transactions(S.raw_transactions(spark, d))
 
 
 @query("clean_lease_all_matches", f"""with {RAW}
@@ -457,7 +466,7 @@ def q_lease_box_by_town(spark, d):
 
 @query("type_month_box", "with " + box_sql(S.PRIVATE_SQL, "nettPrice", ["property_type", "month"]))
 def q_type_month_box(spark, d):
-    return N.type_month_box(S.private_sales(spark, d), digits=4)
+    return N.type_month_box(S.private_sales(txn(spark, d)), digits=4)
 
 
 # ---------------------------------------------------------------------------
@@ -615,7 +624,7 @@ def q_trend_residual_outliers(spark, d):
 select month, property_type, nettPrice, noOfUnit, noOfUnit > 1 as is_bulk,
   nettPrice / cast(noOfUnit as double) as unit_price from p""")
 def q_bulk_sales(spark, d):
-    return N.bulk_sales(S.private_sales(spark, d))
+    return N.bulk_sales(S.private_sales(txn(spark, d)))
 
 
 # ---------------------------------------------------------------------------
@@ -646,18 +655,31 @@ def q_project_spec(spark, d):
     return history.select_spec(read_table(spark, d, "events"), "event_id, user_id ,event_type")
 
 
+def envelope_files(spark: SparkSession, d: str) -> str:
+    """Raw records as month-partitioned JSON envelopes (the API-style input
+    of the S1/S2 readers), written once per input state."""
+    return written(spark, "envelopes", [table_path(d, t) for t in S.STANDIN_TABLES],
+                   lambda path: envelope.write_envelopes(S.raw_transactions(spark, d), path))
+
+
 @query("envelope_scan", f"with {TXN} select * from txn")
 def q_envelope_scan(spark, d):
-    path = scratch_path(spark, "envelopes")
-    envelope.write_envelopes(S.raw_transactions(spark, d), path)
-    return clean.clean_transactions(envelope.read_envelopes(spark, path))
+    return clean.clean_transactions(envelope.read_envelopes(spark, envelope_files(spark, d)))
 
 
 @query("month_source", f"with {TXN} select * from txn")
 def q_month_source(spark, d):
-    path = scratch_path(spark, "month-source")
-    envelope.write_envelopes(S.raw_transactions(spark, d), path)
-    return clean.clean_transactions(month_source.read_month_source(spark, path))
+    return clean.clean_transactions(month_source.read_month_source(spark, envelope_files(spark, d)))
+
+
+@query("month_source_pruned", f"""with {TXN}
+select * from txn where month in ('1995-03', '1998-07', '2001-11')""")
+def q_month_source_pruned(spark, d):
+    # The month predicate reaches the source (pushFilters): only three
+    # months' files are listed and read.
+    src = month_source.read_month_source(spark, envelope_files(spark, d))
+    picked = src.where(F.col("month").isin("1995-03", "1998-07", "2001-11"))
+    return clean.clean_transactions(picked)
 
 
 @query("records_sink", f"with {TXN} select * from txn")

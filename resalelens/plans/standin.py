@@ -32,6 +32,10 @@ FLAT_OF_TYPE = [("ECONOMY", "EXECUTIVE"), ("PROMO", "MULTI-GENERATION"),
 FLAT_OTHER = "5 ROOM"
 
 
+# Tables the transaction stand-in reads.
+STANDIN_TABLES = ["lineitem", "part", "supplier", "nation"]
+
+
 def _flat_type(p_type):
     expr = F.lit(FLAT_OTHER)
     for src, dst in reversed(FLAT_OF_TYPE):
@@ -110,15 +114,16 @@ def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def private_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Private-sale records: month, property_type, nettPrice, noOfUnit."""
-    raw = raw_transactions(spark, sf_dir)
-    li_units = F.when(F.col("storey_range") == F.lit("19 TO 21"), F.lit(7)).otherwise(F.lit(1))
-    return raw.select(
+def private_sales(txn: DataFrame) -> DataFrame:
+    """Private-sale records from clean transactions: month, property_type
+    (the flat type), nettPrice, noOfUnit (7 for the 19-21 storeys, a bulk
+    sale, else 1)."""
+    units = F.when(F.col("floor") == F.lit("19-21"), F.lit(7)).otherwise(F.lit(1))
+    return txn.select(
         "month",
-        F.col("flat_type").alias("property_type"),
-        F.col("resale_price").cast("double").alias("nettPrice"),
-        li_units.alias("noOfUnit"),
+        F.col("flat").alias("property_type"),
+        F.col("price").alias("nettPrice"),
+        units.alias("noOfUnit"),
     )
 
 
@@ -195,9 +200,9 @@ from supplier
 """
 
 PRIVATE_SQL = f"""
-select month, flat_type as property_type, cast(resale_price as double) as nettPrice,
-  case when storey_range = '19 TO 21' then 7 else 1 end as noOfUnit
-from ({RAW_TXN_SQL}) r
+select month, flat as property_type, price as nettPrice,
+  case when floor = '19-21' then 7 else 1 end as noOfUnit
+from ({TXN_SQL}) t
 """
 
 POSTS_SQL = """

@@ -4,10 +4,10 @@ The source application fetches each month with the month equality filter
 and the field list pushed to the remote store, a few months in parallel.
 Here that becomes a Python Data Source:
 
-* ``partitions()`` returns one ``InputPartition`` per (month, page file),
-  so months -- and pages within a hot month -- are read by different
-  tasks; with a per-month ``limit`` (O4, off by default) one partition per
-  month applies the cap;
+* ``partitions()`` packs the months' page files into tasks of about
+  ``maxPartitionBytes``, so a hot month is read by many tasks and small
+  months share one; with a per-month ``limit`` (O4, off by default) one
+  task per month applies the cap;
 * ``pushFilters`` accepts ``month = 'YYYY-MM'`` / ``month IN (...)`` and
   prunes months before any file is opened;
 * the field list is the requested schema (S9-style projection);
@@ -29,7 +29,10 @@ import json
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import pyarrow.json as pajson
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
@@ -40,10 +43,11 @@ FORMAT = "monthly_envelopes"
 
 
 class MonthPartition(InputPartition):
-    def __init__(self, month: str, files: list[str]):
-        super().__init__(month)
-        self.month = month
-        self.files = files
+    """A read task: ``(month, file)`` pairs, one month or a pack of small files."""
+
+    def __init__(self, key: str, items: list[tuple[str, str]]):
+        super().__init__(key)
+        self.items = items
 
 
 def _fs(path: str):
@@ -60,10 +64,11 @@ def _children(path: str):
     return fs, infos
 
 
-def list_month_files(path: str, month: str) -> list[str]:
+def list_month_files(path: str, month: str) -> list[tuple[str, int]]:
+    """``(file, size)`` of the data files of one month."""
     folder = path.rstrip("/") + f"/month={month}"
     _, infos = _children(folder)
-    return sorted(f"{folder}/{i.base_name}" for i in infos
+    return sorted((f"{folder}/{i.base_name}", i.size or 0) for i in infos
                   if i.type == pafs.FileType.File and not i.base_name.startswith((".", "_")))
 
 
@@ -95,6 +100,7 @@ class _Reader(DataSourceReader):
         self.on_error = options.get("on_error", "fail")
         self.header = json.loads(options["header"]) if options.get("header") else None
         self.fetch = options.get("fetch")  # optional "module:function"
+        self.max_bytes = int(options.get("maxPartitionBytes", 128 * 1024 * 1024))
 
     def pushFilters(self, filters):
         for f in filters:
@@ -109,15 +115,27 @@ class _Reader(DataSourceReader):
         self.months = [m for m in (self.months or months) if m in months]
 
     def partitions(self):
+        """With a per-month ``limit``: one task per month.  Otherwise files
+        are packed into tasks of about ``maxPartitionBytes`` (a large month
+        spreads over many tasks, small months share one)."""
         months = self.months if self.months is not None else list_months(self.path)
-        parts = []
+        parts: list[MonthPartition] = []
+        if self.limit is not None:
+            for m in months:
+                parts.append(MonthPartition(m, [(m, f) for f, _ in list_month_files(self.path, m)]))
+            return parts or [MonthPartition("empty", [])]
+        pack: list[tuple[str, str]] = []
+        size = 0
         for m in months:
-            files = list_month_files(self.path, m)
-            if self.limit is not None or not files:
-                parts.append(MonthPartition(m, files))
-            else:
-                parts.extend(MonthPartition(m, [f]) for f in files)
-        return parts or [MonthPartition("", [])]
+            for f, n in list_month_files(self.path, m):
+                if pack and size + n > self.max_bytes:
+                    parts.append(MonthPartition(f"p{len(parts)}", pack))
+                    pack, size = [], 0
+                pack.append((m, f))
+                size += n
+        if pack or not parts:
+            parts.append(MonthPartition(f"p{len(parts)}", pack))
+        return parts
 
     def _fetch_fn(self):
         if not self.fetch:
@@ -126,24 +144,68 @@ class _Reader(DataSourceReader):
         return getattr(__import__(mod, fromlist=[fn]), fn)
 
     def read(self, partition: MonthPartition):
+        """Yield Arrow record batches (parsed by pyarrow's JSON reader) for
+        the default envelope files; an injected ``fetch`` yields records."""
         names = [f.name for f in self.schema.fields]
-        fetch = self._fetch_fn()
-        n = 0
+        left = self.limit
         try:
-            for file in partition.files:
-                for rec in fetch(file, self.header):
-                    if self.limit is not None and n >= self.limit:
-                        return
-                    if rec.get("month", partition.month) != partition.month:
-                        continue
-                    n += 1
-                    yield tuple(None if rec.get(c) is None else str(rec.get(c)) for c in names)
+            for month, file in partition.items:
+                if left is not None and left <= 0:
+                    return
+                if self.fetch:
+                    batch = _records_to_batch(self._fetch_fn()(file, self.header), names)
+                else:
+                    batch = _envelope_file_batch(file, names)
+                batch = _keep_month(batch, month)
+                if left is not None:
+                    batch = batch.slice(0, left)
+                    left -= batch.num_rows
+                if batch.num_rows:
+                    yield batch
         except Exception:
             if self.on_error == "skip":
                 return
             raise
 
 
+def _records_to_batch(records, names) -> pa.RecordBatch:
+    cols = {n: [] for n in names}
+    for rec in records:
+        for n in names:
+            v = rec.get(n)
+            cols[n].append(None if v is None else str(v))
+    return pa.RecordBatch.from_pydict(cols, schema=pa.schema([(n, pa.string()) for n in names]))
+
+
+def _envelope_file_batch(file: str, names) -> pa.RecordBatch:
+    fs, p = _fs(file)
+    with fs.open_input_stream(p) as fh:
+        table = pajson.read_json(fh)
+    if "result" not in table.column_names or table.num_rows == 0:
+        return _records_to_batch([], names)
+    result = table.column("result").combine_chunks()
+    if "records" not in [result.type.field(i).name for i in range(result.type.num_fields)]:
+        return _records_to_batch([], names)
+    recs = pc.struct_field(result, "records").flatten()
+    fields = [recs.type.field(i).name for i in range(recs.type.num_fields)]
+    arrays = []
+    for n in names:
+        if n in fields:
+            arr = pc.struct_field(recs, n)
+            arrays.append(arr if arr.type == pa.string() else pc.cast(arr, pa.string()))
+        else:
+            arrays.append(pa.nulls(len(recs), pa.string()))
+    return pa.RecordBatch.from_arrays(arrays, names=list(names))
+
+
+def _keep_month(batch: pa.RecordBatch, month: str) -> pa.RecordBatch:
+    if "month" not in batch.schema.names or not month:
+        return batch
+    m = batch.column(batch.schema.get_field_index("month"))
+    keep = pc.or_kleene(pc.equal(m, month), pc.is_null(m))
+    return batch.filter(pc.fill_null(keep, True))
+
+
 class MonthlyEnvelopeSource(DataSource):
     """``spark.read.format("monthly_envelopes").option("path", ...)``."""
 
