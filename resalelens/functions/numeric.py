@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 
 def round_half_away(c: Column | str, digits: int = 0) -> Column:
-    """Round a double to ``digits`` decimals, half away from zero, on its
-    binary value: ``rint(x * 10^d) / 10^d`` with exact halves pushed away
-    from zero.
-
-    Spark's ``round`` rounds the shortest decimal text of the double
-    (``13516.325`` -> ``13516.33``), while the source application's frame
-    library and SQL engines scale the binary value (``13516.32499..`` ->
-    ``13516.32``).  This helper gives the latter.
+    """Round a double to ``digits`` decimals the way the source
+    application's frame library (and DuckDB) do: scale by ``10^d`` in
+    floating point, round half away from zero, scale back.
+
+    Spark's ``round`` instead rounds the exact decimal value of the double:
+    ``43252.24 * 10 / 32`` is stored as 13516.32499.., so Spark gives 13516.32,
+    while the scaled value 1351632.5 rounds to 13516.33 here.
     """
     c = F.col(c) if isinstance(c, str) else c
     m = float(10 ** digits)
