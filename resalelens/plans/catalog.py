@@ -9,6 +9,7 @@ top-k report, the three most recent posts).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from resalelens.operators import boxstats, clean, facets, geo, search, trends
 from resalelens.plans import standin as S
 from resalelens.plans.materialize import materialized, written
 from resalelens.schemas import TXN as TXN_SCHEMA
-from resalelens.session import scratch_path
+from resalelens.session import scratch_path, ship_package
 from resalelens.sources import envelope, history, month_source, months
 from resalelens.sources.tables import read_table, table_path
 
@@ -33,7 +34,13 @@ def query(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql.strip()
         return fn

@@ -54,6 +54,24 @@ def fingerprint(paths: Sequence[str], salt: str = "") -> str:
     return h.hexdigest()[:20]
 
 
+_CODE: list[str] = []
+
+
+def code_version() -> str:
+    """Hash of the library's source: a changed operator never reuses a table
+    written by an older one."""
+    if not _CODE:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        h = hashlib.sha256()
+        for d, _, files in sorted(os.walk(root)):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    with open(os.path.join(d, f), "rb") as fh:
+                        h.update(f.encode() + fh.read())
+        _CODE.append(h.hexdigest()[:12])
+    return _CODE[0]
+
+
 def _finished(path: str) -> bool:
     fs, p = _info(path)
     return fs.get_file_info(p.rstrip("/") + "/_SUCCESS").type == pafs.FileType.File
@@ -70,7 +88,7 @@ def materialized(spark: SparkSession, name: str, inputs: Sequence[str],
     partition column keeps its declared type); ``version`` must change when
     ``build`` changes meaning.
     """
-    key = fingerprint(inputs, salt=f"{name}|{version}|{partition_by}|{schema.simpleString()}")
+    key = fingerprint(inputs, salt=f"{name}|{version}|{code_version()}|{partition_by}|{schema.simpleString()}")
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{key}")
     if not _finished(path):
         df = build().select(*schema.fieldNames())
@@ -87,7 +105,7 @@ def written(spark: SparkSession, name: str, inputs: Sequence[str],
             write: Callable[[str], None], version: str = "1") -> str:
     """Path of files produced once by ``write(path)`` for this input state
     (same keying and completion rule as ``materialized``)."""
-    key = fingerprint(inputs, salt=f"{name}|{version}")
+    key = fingerprint(inputs, salt=f"{name}|{version}|{code_version()}")
     path = os.path.join(checkpoint_dir(spark), "files", f"{name}-{key}")
     if not _finished(path):
         write(path)

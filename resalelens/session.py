@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -60,3 +61,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``resalelens`` importable in Python workers (pandas UDFs and the
+    Python data source are pickled by reference).
+
+    On a cluster the usual way is ``spark-submit --py-files``; this does the
+    same from a running session: the package is zipped once per application
+    into the shared checkpoint folder and added with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(checkpoint_dir(spark), f"resalelens-{app}.zip")
+    if not os.path.exists(target):
+        tmp = target + f".{uuid.uuid4().hex[:8]}.tmp"
+        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as zf:
+            for root, _, files in os.walk(pkg_dir):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+        os.replace(tmp, target)
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
