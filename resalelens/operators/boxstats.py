@@ -5,15 +5,21 @@ Quartiles use linear interpolation between order statistics (Spark
 ``k * IQR`` outside the quartiles and each whisker ends at the most extreme
 value still inside its fence.
 
-Plan: pass 1 aggregates per group (partial aggregation on the map side);
+Plan: pass 1 computes the quartiles per group (see ``method``);
 its result has one row per group and is joined back to the rows on the
 group key -- the planner broadcasts it when its estimate is small and
 shuffles otherwise, and AQE splits a skewed group across tasks.  Pass 2
 aggregates again for whiskers and outlier counts.  No step places a whole
 group in one task.
 
-``exact=False`` swaps the exact percentile (memory per group grows with
-its distinct values) for the bounded-memory ``percentile_approx`` sketch.
+``method`` picks how quantiles are computed:
+
+* ``"sort"`` (default): exact, by a range-partitioned sort
+  (``operators.quantiles``); no group is ever held by one task;
+* ``"hash"``: exact, Spark's ``percentile`` (fastest when groups have few
+  distinct values; its final merge keeps a group's distinct values in one
+  task);
+* ``"approx"``: ``percentile_approx`` with ``accuracy`` (bounded memory).
 """
 
 from __future__ import annotations
@@ -24,25 +30,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resalelens.functions.numeric import round_half_away
+from resalelens.operators.quantiles import sorted_quantiles
 from resalelens.schemas import FENCE_K
 
 
-def _pct(value: str, ps, exact: bool, accuracy: int):
+METHODS = ("sort", "hash", "approx")
+
+
+def group_quantiles(df: DataFrame, value: str, groups: Sequence[str], ps: Sequence[float],
+                    names: Sequence[str], method: str = "sort", accuracy: int = 10000) -> DataFrame:
+    """Per group: ``n`` (non-null values) and one column per quantile."""
+    if method == "sort":
+        return sorted_quantiles(df, value, groups, ps, names)
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    v = F.col(value).cast("double")
     arr = F.array(*[F.lit(float(p)) for p in ps])
-    if exact:
-        return F.percentile(F.col(value), arr)
-    return F.percentile_approx(F.col(value), arr, F.lit(accuracy))
+    agg = F.percentile(v, arr) if method == "hash" else F.percentile_approx(v, arr, F.lit(accuracy))
+    q = df.groupBy(*groups).agg(F.count(v).alias("n"), agg.alias("_q"))
+    return q.select(*groups, "n", *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
 
 
-def quartiles(df: DataFrame, value: str, groups: Sequence[str], exact: bool = True,
+def quartiles(df: DataFrame, value: str, groups: Sequence[str], method: str = "sort",
               accuracy: int = 10000) -> DataFrame:
     """Per group: n, q1, median, q3 (nulls in ``value`` ignored)."""
-    q = df.withColumn(value, F.col(value).cast("double")).groupBy(*groups).agg(
-        F.count(value).alias("n"),
-        _pct(value, [0.25, 0.5, 0.75], exact, accuracy).alias("_q"),
-    )
-    return q.select(*groups, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                    F.col("_q")[2].alias("q3"))
+    return group_quantiles(df, value, groups, [0.25, 0.5, 0.75], ["q1", "median", "q3"],
+                           method, accuracy)
 
 
 def fences(df: DataFrame, value: str, groups: Sequence[str], k: float = FENCE_K, **kw) -> DataFrame:
@@ -90,14 +103,11 @@ def outliers(df: DataFrame, value: str, groups: Sequence[str], k: float = FENCE_
             .drop("lower_fence", "upper_fence"))
 
 
-def cutoff(df: DataFrame, value: str, groups: Sequence[str], p: float = 0.1, exact: bool = True,
+def cutoff(df: DataFrame, value: str, groups: Sequence[str], p: float = 0.1, method: str = "sort",
            accuracy: int = 10000, name: str = "cutoff") -> DataFrame:
     """A10: per group the ``p``-quantile of ``value``."""
-    if exact:
-        agg = F.percentile(F.col(value), F.lit(float(p)))
-    else:
-        agg = F.percentile_approx(F.col(value), F.lit(float(p)), F.lit(accuracy))
-    return df.groupBy(*groups).agg(agg.alias(name))
+    q = group_quantiles(df, value, groups, [p], [name], method, accuracy)
+    return q.drop("n")
 
 
 def at_or_below_cutoff(df: DataFrame, value: str, groups: Sequence[str], p: float = 0.1,

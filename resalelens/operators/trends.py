@@ -13,24 +13,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from resalelens.functions.numeric import percent
+from resalelens.operators.boxstats import group_quantiles
 from resalelens.schemas import HIGH_MEDIAN, MILLION
 
 
-def _quantile(col: str, p: float, exact: bool, accuracy: int):
-    if exact:
-        return F.percentile(F.col(col), F.lit(p))
-    return F.percentile_approx(F.col(col), F.lit(p), F.lit(accuracy))
-
-
-def median_by_month(trend: DataFrame, value: str = "price", exact: bool = True,
+def median_by_month(trend: DataFrame, value: str = "price", method: str = "sort",
                     accuracy: int = 10000) -> DataFrame:
     """A1: median price per month -> month, median_price.
 
-    ``exact=True`` keeps a value->count map per month (partial-aggregated
-    per task, so its size follows the distinct prices of the month, not its
-    rows); ``exact=False`` uses a bounded-memory quantile sketch.
+    ``method`` as in ``operators.boxstats``: ``sort`` (exact, no month held
+    by one task), ``hash`` (Spark ``percentile``: a value->count map per
+    month, fastest when prices repeat) or ``approx`` (bounded sketch).
+    Months whose prices are all null are absent with ``sort``.
     """
-    return trend.groupBy("month").agg(_quantile(value, 0.5, exact, accuracy).alias("median_price"))
+    q = group_quantiles(trend, value, ["month"], [0.5], ["median_price"], method, accuracy)
+    return q.drop("n")
 
 
 def median_marks(trend: DataFrame, threshold: float = HIGH_MEDIAN, **kw) -> DataFrame:
@@ -136,6 +133,8 @@ def million_count(trend: DataFrame, threshold: float = MILLION) -> DataFrame:
     return trend.agg(F.count_if(F.col("price") >= F.lit(threshold)).alias("million_count"))
 
 
-def global_median(trend: DataFrame, value: str = "price") -> DataFrame:
-    """Median over all rows (one row)."""
-    return trend.agg(F.percentile(F.col(value), F.lit(0.5)).alias("median_price"))
+def global_median(trend: DataFrame, value: str = "price", method: str = "sort") -> DataFrame:
+    """Median over all rows (one row).  With ``sort`` the single group
+    is spread over all tasks by value range."""
+    q = group_quantiles(trend.withColumn("_all", F.lit(1)), value, ["_all"], [0.5], ["median_price"], method)
+    return q.select("median_price")
