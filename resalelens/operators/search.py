@@ -59,42 +59,42 @@ class SearchParams:
         return resolve_measure(self.price_type, self.area_type)
 
 
-def _flag(pred: Column, name: str) -> Column:
-    # A null comparison is "not matched", never null.
-    return F.coalesce(pred, F.lit(False)).alias(name)
-
-
-def flag_columns(p: SearchParams) -> list[Column]:
-    """The active ``*_flag`` columns for ``p`` (F2-F8), in a fixed order."""
-    flags: list[Column] = []
+def flag_predicates(p: SearchParams) -> list[tuple[str, Column]]:
+    """``(flag name, predicate)`` for each active criterion (F2-F8), in a
+    fixed order.  Predicates may be null (missing values)."""
+    preds: list[tuple[str, Column]] = []
     yc = F.col("year_count")
     if p.min_lease:
-        flags.append(_flag(yc >= F.lit(int(p.min_lease)), "min_lease_flag"))
+        preds.append(("min_lease_flag", yc >= F.lit(int(p.min_lease))))
     if p.max_lease:
-        flags.append(_flag(yc <= F.lit(int(p.max_lease)), "max_lease_flag"))
+        preds.append(("max_lease_flag", yc <= F.lit(int(p.max_lease))))
     if p.flats is not None:
         flats = list(p.flats)
-        pred = F.col("flat").isin(flats) if flats else F.lit(False)
-        flags.append(_flag(pred, "flat_flag"))
+        preds.append(("flat_flag", F.col("flat").isin(flats) if flats else F.lit(False)))
     if p.street:
         pattern = p.street.upper()
         try:
             re.compile(pattern)
         except re.error as e:
             raise ValueError(f"invalid street pattern {p.street!r}: {e}") from None
-        flags.append(_flag(F.col("street").rlike(pattern), "street_flag"))
+        preds.append(("street_flag", F.col("street").rlike(pattern)))
     if p.town != ALL_TOWNS:
-        flags.append(_flag(F.col("town") == F.lit(p.town), "town_flag"))
+        preds.append(("town_flag", F.col("town") == F.lit(p.town)))
     measure = p.measure()
     if p.max_price:
-        flags.append(_flag(F.col(measure) <= F.lit(float(p.max_price)), "max_price_flag"))
+        preds.append(("max_price_flag", F.col(measure) <= F.lit(float(p.max_price))))
     if p.min_price:
-        flags.append(_flag(F.col(measure) >= F.lit(float(p.min_price)), "min_price_flag"))
+        preds.append(("min_price_flag", F.col(measure) >= F.lit(float(p.min_price))))
     if p.max_area:
-        flags.append(_flag(F.col(p.area_type) <= F.lit(float(p.max_area)), "max_area_flag"))
+        preds.append(("max_area_flag", F.col(p.area_type) <= F.lit(float(p.max_area))))
     if p.min_area:
-        flags.append(_flag(F.col(p.area_type) >= F.lit(float(p.min_area)), "min_area_flag"))
-    return flags
+        preds.append(("min_area_flag", F.col(p.area_type) >= F.lit(float(p.min_area))))
+    return preds
+
+
+def flag_columns(p: SearchParams) -> list[Column]:
+    """The active ``*_flag`` columns; D4: a null predicate is "not matched"."""
+    return [F.coalesce(pred, F.lit(False)).alias(name) for name, pred in flag_predicates(p)]
 
 
 def flag_names(df: DataFrame) -> list[str]:
@@ -108,16 +108,36 @@ def search(txn: DataFrame, p: SearchParams) -> DataFrame:
 
     Flags test the unrounded values.
     """
+    df = _with_year_count(txn, p)
+    return df.select(*_output_columns(df, p), *flag_columns(p))
+
+
+def _with_year_count(txn: DataFrame, p: SearchParams) -> DataFrame:
     df = txn
     if p.months is not None:
         df = df.where(F.col("month").isin(list(p.months)))
-    df = df.withColumn("year_count", lease_years(F.col("lease")))
+    return df.withColumn("year_count", lease_years(F.col("lease")))
+
+
+def _output_columns(df: DataFrame, p: SearchParams) -> list[Column]:
     unit = unit_suffix(p.area_type)
     other = "sqm" if unit == "sqft" else "sqft"
     keep = [c for c in df.columns if c not in (f"area_{other}", f"price_{other}")]
     rounded = {"price", f"price_{unit}", f"area_{unit}"}
-    cols = [round_half_away(F.col(c), 2).alias(c) if c in rounded else F.col(c) for c in keep]
-    return df.select(*cols, *flag_columns(p))
+    return [round_half_away(F.col(c), 2).alias(c) if c in rounded else F.col(c) for c in keep]
+
+
+def select_rows(txn: DataFrame, p: SearchParams) -> DataFrame:
+    """F10 without flag columns: the rows passing every criterion, filtered
+    on the predicates themselves (a WHERE already treats null as "not
+    matched").  Plain bounds such as ``price <= x`` or ``flat IN (..)``
+    reach the parquet scan as PushedFilters and ``months`` as partition
+    filters.  Same rows and columns as ``selected(search(txn, p))``."""
+    df = _with_year_count(txn, p)
+    preds = [pred for _, pred in flag_predicates(p)]
+    if preds:
+        df = df.where(reduce(lambda a, b: a & b, preds))
+    return df.select(*_output_columns(df, p))
 
 
 def all_flags(df: DataFrame) -> Column:
@@ -193,9 +213,10 @@ def global_min_max(txn: DataFrame) -> DataFrame:
 
 def summary(searched: DataFrame, p: SearchParams) -> DataFrame:
     """Records, min/max of the chosen area and measure over the
-    selected rows (one row; min/max null when nothing is selected)."""
+    selected rows (one row; min/max null when nothing is selected).
+    ``searched`` is ``search(...)`` output or already selected rows."""
     measure = p.measure()
-    sel = selected(searched)
+    sel = selected(searched) if flag_names(searched) else searched
     return sel.agg(
         F.count(F.lit(1)).alias("records"),
         F.min(measure).alias("price_min"), F.max(measure).alias("price_max"),

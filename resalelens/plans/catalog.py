@@ -206,12 +206,13 @@ def q_search_flags(spark, d):
 
 @query("search_selected", f"with {SEARCH1} select {COLS1} from s where {ALL1}")
 def q_search_selected(spark, d):
-    return search.selected(search.search(txn(spark, d), SP1))
+    return search.select_rows(txn(spark, d), SP1)
 
 
 @query("search_selected_unit", f"""with {SEARCH2}
 select month, town, flat, street, floor, lease, area_sqm, price_sqm, price, year_count from s where {ALL2}""")
 def q_search_selected_unit(spark, d):
+    # the flag route (search -> selected), checked against the same SQL
     return search.selected(search.search(txn(spark, d), SP2))
 
 
@@ -250,7 +251,7 @@ def q_scatter_price_lease(spark, d):
 select count(*) as records, min(price) as price_min, max(price) as price_max,
   min(area_sqft) as area_min, max(area_sqft) as area_max from s where {ALL1}""")
 def q_search_summary(spark, d):
-    return search.summary(search.search(txn(spark, d), SP1), SP1)
+    return search.summary(search.select_rows(txn(spark, d), SP1), SP1)
 
 
 @query("summary_text", f"""with {SEARCH2},
@@ -270,7 +271,7 @@ select {COLS1} from s where {ALL1}
 order by price desc nulls last, month, town, flat, street, floor, lease, area_sqft, price_sqft, year_count
 limit 20 offset 20""")
 def q_page_of_results(spark, d):
-    return search.page(search.selected(search.search(txn(spark, d), SP1)), "price",
+    return search.page(search.select_rows(txn(spark, d), SP1), "price",
                        ascending=False, offset=20, size=20)
 
 
@@ -527,6 +528,25 @@ def q_town_year_crosstab(spark, d):
     return N.town_year_crosstab(trend(spark, d))
 
 
+YEARS = [1995, 1996, 1997, 1998, 1999, 2000, 2001]
+
+
+@query("town_year_crosstab_wide", f"""with {TREND},
+m as (select town, cast({YEAR} as varchar) as year from trend where {MIL}),
+c as (select case when grouping(town) = 1 then 'All' else town end as town,
+        case when grouping(year) = 1 then 'All' else year end as year,
+        count(*) as count, grouping(year) as gy
+      from m group by cube(town, year)),
+l as (select town, year, count, max(case when gy = 1 then count end) over (partition by town) as town_total from c)
+select town, town_total,
+""" + ",\n".join(f"  max(count) filter (where year = '{y}') as \"{y}\"" for y in YEARS) + """,
+  max(count) filter (where year = 'All') as "All"
+from l group by town, town_total""")
+def q_town_year_crosstab_wide(spark, d):
+    # The published table: towns x years with margins, explicit year columns.
+    return N.crosstab_wide(N.town_year_crosstab(trend(spark, d)), [str(y) for y in YEARS])
+
+
 TOWN_YEAR = f"""{TREND},
 ty as (select town, {YEAR} as year, count(*) as count from trend where {MIL} group by 1, 2)"""
 

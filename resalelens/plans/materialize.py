@@ -14,10 +14,12 @@ writes a DataFrame once as a month-partitioned parquet table under
   times), so changed inputs give a new table and a finished table is reused
   (a table counts as finished only with Spark's ``_SUCCESS`` marker).
 
-Rows are range-partitioned on (month, tie-breaker columns) before the
-write: one month spreads over several tasks when it is large, and small
-months share a task, so neither a hot month nor a long tail of tiny files
-appears.
+Rows are rebalanced on the partition column before the write (AQE's
+``rebalance``: a month larger than the advisory partition size is split
+over several tasks, small months share a task -- no hot writer task and no
+long tail of tiny files, and unlike range partitioning no sampling pass
+re-runs the input), then sorted within each task by (month, cluster
+columns) so parquet row-group statistics can skip on those columns.
 """
 
 from __future__ import annotations
@@ -94,7 +96,7 @@ def materialized(spark: SparkSession, name: str, inputs: Sequence[str],
         df = build().select(*schema.fieldNames())
         writer = df
         if partition_by:
-            writer = df.repartitionByRange(partition_by, *cluster_by).sortWithinPartitions(partition_by)
+            writer = df.hint("rebalance", partition_by).sortWithinPartitions(partition_by, *cluster_by)
             writer.write.mode("overwrite").partitionBy(partition_by).parquet(path)
         else:
             writer.write.mode("overwrite").parquet(path)

@@ -101,6 +101,8 @@ class _Reader(DataSourceReader):
         self.header = json.loads(options["header"]) if options.get("header") else None
         self.fetch = options.get("fetch")  # optional "module:function"
         self.max_bytes = int(options.get("maxPartitionBytes", 128 * 1024 * 1024))
+        self.open_cost = int(options.get("openCostInBytes", 4 * 1024 * 1024))
+        self.parallelism = max(1, int(options.get("parallelism", 8)))
 
     def pushFilters(self, filters):
         for f in filters:
@@ -116,23 +118,28 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         """With a per-month ``limit``: one task per month.  Otherwise files
-        are packed into tasks of about ``maxPartitionBytes`` (a large month
-        spreads over many tasks, small months share one)."""
+        are packed like Spark's file sources do: each file costs its size
+        plus ``openCostInBytes``, and a task takes up to
+        ``min(maxPartitionBytes, max(openCostInBytes, total / parallelism))``
+        -- a large month spreads over many tasks, small months share one,
+        and small inputs still use every core."""
         months = self.months if self.months is not None else list_months(self.path)
         parts: list[MonthPartition] = []
         if self.limit is not None:
             for m in months:
                 parts.append(MonthPartition(m, [(m, f) for f, _ in list_month_files(self.path, m)]))
             return parts or [MonthPartition("empty", [])]
+        listed = [(m, f, n + self.open_cost) for m in months for f, n in list_month_files(self.path, m)]
+        total = sum(n for _, _, n in listed)
+        target = min(self.max_bytes, max(self.open_cost, total // self.parallelism))
         pack: list[tuple[str, str]] = []
         size = 0
-        for m in months:
-            for f, n in list_month_files(self.path, m):
-                if pack and size + n > self.max_bytes:
-                    parts.append(MonthPartition(f"p{len(parts)}", pack))
-                    pack, size = [], 0
-                pack.append((m, f))
-                size += n
+        for m, f, n in listed:
+            if pack and size + n > target:
+                parts.append(MonthPartition(f"p{len(parts)}", pack))
+                pack, size = [], 0
+            pack.append((m, f))
+            size += n
         if pack or not parts:
             parts.append(MonthPartition(f"p{len(parts)}", pack))
         return parts
@@ -232,7 +239,8 @@ def read_month_source(spark: SparkSession, path: str, months=None, fields=None,
     register(spark)
     # Let month predicates reach pushFilters (off by default in Spark 4.1).
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    r = spark.read.format(FORMAT).option("path", path).option("on_error", on_error)
+    r = (spark.read.format(FORMAT).option("path", path).option("on_error", on_error)
+         .option("parallelism", str(spark.sparkContext.defaultParallelism)))
     if months is not None:
         r = r.option("months", ",".join(months))
     if fields is not None:

@@ -117,3 +117,13 @@ def test_global_min_max(txn):
 def test_months_filter(txn):
     s = S.search(txn, S.SearchParams(months=["2024-02"]))
     assert s.count() == 2
+
+
+def test_select_rows_equals_flag_route(txn):
+    for p in [S.SearchParams(town="BISHAN", min_lease=60, max_price=900000, flats=["3RM", "4RM", "MG"]),
+              S.SearchParams(area_type="area_sqm", price_type="price_area", min_price=4500),
+              S.SearchParams(flats=[]), S.SearchParams()]:
+        a = sorted(map(repr, S.selected(S.search(txn, p)).collect()))
+        b = sorted(map(repr, S.select_rows(txn, p).collect()))
+        assert a == b
+        assert S.select_rows(txn, p).columns == S.selected(S.search(txn, p)).columns
