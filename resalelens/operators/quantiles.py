@@ -5,20 +5,26 @@ for one group runs in one task, so memory follows the group's distinct
 values -- unbounded for a hot group of continuous values.  Here the exact
 order statistics come from a distributed sort instead:
 
-1. range-partition on (group keys, value, row id) and sort within
-   partitions -- the row id makes every key unique, so even one repeated
-   value of a hot group is split over many tasks;
+1. range-partition on (group keys, value, row hash) and sort within
+   partitions -- the hash of the whole input row makes keys distinct, so
+   even one repeated value of a hot group is split over many tasks; it is
+   computed from content, so a recomputed task yields the same keys (rows
+   with equal group and value are interchangeable, so hash ties never
+   change a result);
 2. each row's index inside its partition comes from
    ``monotonically_increasing_id`` (partition-local and in sorted order);
 3. a small table of per-(partition, group) counts gives each partition's
    offset within its group (a window over at most #partitions rows per
    group);
+   (both passes read the same, reused, range exchange);
 4. rows whose group rank is floor/ceil of ``(n-1)*p`` are kept (at most two
    per quantile per group) and interpolated linearly -- the definition of
    ``quantile_cont`` / ``percentile``.
 
 Cost: one range shuffle + sort of the value column instead of a hash
-aggregate; every task's memory is bounded by its partition size.
+aggregate; every task's memory is bounded by its partition size.  The row
+hash reads every column of ``df``: pass a frame projected to the columns
+that identify a row.
 """
 
 from __future__ import annotations
@@ -40,9 +46,9 @@ def sorted_quantiles(df: DataFrame, value: str, groups: Sequence[str], ps: Seque
     non-null value are absent."""
     g = list(groups)
     names = list(names or _names(ps))
-    base = (df.select(*g, F.col(value).cast("double").alias("_v"))
-            .where(F.col("_v").isNotNull())
-            .withColumn("_t", F.monotonically_increasing_id()))
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    base = (df.select(*g, F.col(value).cast("double").alias("_v"), row_hash.alias("_t"))
+            .where(F.col("_v").isNotNull()))
     ordered = (base.repartitionByRange(*[F.col(c) for c in g], F.col("_v"), F.col("_t"))
                .sortWithinPartitions(*g, "_v", "_t"))
     ranked = ordered.select(*g, "_v", F.spark_partition_id().alias("_pid"),

@@ -33,7 +33,9 @@ def write_envelopes(df: DataFrame, path: str, page_size: int = 10000,
 
     A page is a run of consecutive rows of one input partition and one month
     (``monotonically_increasing_id`` is partition-local), so building pages
-    needs one shuffle of row groups, never a whole month in one task.
+    needs one shuffle of row groups, never a whole month in one task.  Page
+    numbers follow the input order, which is stable for inputs read from
+    files (a recomputed task numbers its rows the same way).
     ``as_text`` renders every field as text, like the source API does.
     """
     rec = F.struct(*[(F.col(c).cast("string") if as_text else F.col(c)).alias(c) for c in df.columns])
