@@ -26,6 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
+import uuid
+from collections import defaultdict
 from collections.abc import Callable, Sequence
 
 import pyarrow.fs as pafs
@@ -79,6 +82,31 @@ def _finished(path: str) -> bool:
     return fs.get_file_info(p.rstrip("/") + "/_SUCCESS").type == pafs.FileType.File
 
 
+_LOCKS: dict[str, threading.Lock] = defaultdict(threading.Lock)
+
+
+def _publish(path: str, write: Callable[[str], None]) -> None:
+    """Run ``write`` into a private folder, then move it to ``path``.
+
+    Concurrent callers in this process wait for the first; a caller in
+    another process that finishes first wins and the later copy is dropped.
+    A folder left without ``_SUCCESS`` by a crashed run is replaced.
+    """
+    with _LOCKS[path]:
+        if _finished(path):
+            return
+        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+        write(tmp)
+        fs, p = _info(path)
+        _, t = _info(tmp)
+        if _finished(path):
+            fs.delete_dir(t)
+            return
+        if fs.get_file_info(p).type != pafs.FileType.NotFound:
+            fs.delete_dir(p)
+        fs.move(t, p)
+
+
 def materialized(spark: SparkSession, name: str, inputs: Sequence[str],
                  build: Callable[[], DataFrame], schema: T.StructType,
                  partition_by: str | None = "month", cluster_by: Sequence[str] = (),
@@ -92,14 +120,16 @@ def materialized(spark: SparkSession, name: str, inputs: Sequence[str],
     """
     key = fingerprint(inputs, salt=f"{name}|{version}|{code_version()}|{partition_by}|{schema.simpleString()}")
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{key}")
-    if not _finished(path):
+    def write(target: str) -> None:
         df = build().select(*schema.fieldNames())
-        writer = df
         if partition_by:
-            writer = df.hint("rebalance", partition_by).sortWithinPartitions(partition_by, *cluster_by)
-            writer.write.mode("overwrite").partitionBy(partition_by).parquet(path)
+            df = df.hint("rebalance", partition_by).sortWithinPartitions(partition_by, *cluster_by)
+            df.write.mode("overwrite").partitionBy(partition_by).parquet(target)
         else:
-            writer.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").parquet(target)
+
+    if not _finished(path):
+        _publish(path, write)
     return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
@@ -110,5 +140,5 @@ def written(spark: SparkSession, name: str, inputs: Sequence[str],
     key = fingerprint(inputs, salt=f"{name}|{version}|{code_version()}")
     path = os.path.join(checkpoint_dir(spark), "files", f"{name}-{key}")
     if not _finished(path):
-        write(path)
+        _publish(path, write)
     return path
