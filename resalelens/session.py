@@ -47,11 +47,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a
-    shared folder there).  Only when it is unset -- local runs and tests --
-    a fresh scratch folder is created and registered.
+    shared folder there).  Only when it is unset and the master is local --
+    tests and local runs -- a scratch folder is created and registered; on a
+    cluster an unset folder is an error, since a machine-local folder is not
+    visible to the executors.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         path = tempfile.mkdtemp(prefix="resalelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
