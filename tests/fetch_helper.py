@@ -1,0 +1,12 @@
+"""An injected fetch for the month source test: records carry the header."""
+
+import json
+
+
+def fetch_with_header(file, header):
+    with open(file, encoding="utf-8") as fh:
+        for line in fh:
+            for rec in (json.loads(line).get("result") or {}).get("records") or []:
+                rec = dict(rec)
+                rec["town"] = (header or {}).get("x-api-key", "none")
+                yield rec

@@ -101,3 +101,12 @@ def test_typed_empty_frame(spark):
 def test_records_json(spark):
     df = spark.createDataFrame([(1, "a")], "x int, y string")
     assert envelope.records_json(df).first().record == '{"x":1,"y":"a"}'
+
+
+def test_month_source_injected_fetch_gets_header(spark, env_dir):
+    spark.sparkContext.addPyFile(os.path.join(os.path.dirname(__file__), "fetch_helper.py"))
+    month_source.register(spark)
+    df = (spark.read.format(month_source.FORMAT).option("path", env_dir)
+          .option("fetch", "fetch_helper:fetch_with_header")
+          .option("header", json.dumps({"x-api-key": "k1"})).load())
+    assert {r.town for r in df.collect()} == {"k1"} and df.count() == 3
