@@ -230,6 +230,9 @@ class MonthlyEnvelopeSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Register the format; month predicates reach ``pushFilters`` only with
+    Python filter pushdown on (off by default in Spark 4.1), so turn it on."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MonthlyEnvelopeSource)
 
 
@@ -237,8 +240,6 @@ def read_month_source(spark: SparkSession, path: str, months=None, fields=None,
                       header: dict | None = None, on_error: str = "fail") -> DataFrame:
     """Read months through the source (see module docstring)."""
     register(spark)
-    # Let month predicates reach pushFilters (off by default in Spark 4.1).
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     r = (spark.read.format(FORMAT).option("path", path).option("on_error", on_error)
          .option("parallelism", str(spark.sparkContext.defaultParallelism)))
     if months is not None:
