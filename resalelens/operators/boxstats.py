@@ -71,26 +71,32 @@ def box_stats(df: DataFrame, value: str, groups: Sequence[str], k: float = FENCE
               digits: int | None = None, **kw) -> DataFrame:
     """Per group n, q1, median, q3, iqr, fences, whiskers, n_outliers.
 
-    ``digits`` rounds the statistics (for stable comparisons).
+    The per-group statistics are joined to the rows once and carried
+    through the whisker aggregation (constant within a group), so the
+    quantile plan runs once.  ``digits`` rounds the statistics.
     """
     groups = list(groups)
+    stats = ["n", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
     f = fences(df, value, groups, k, **kw)
     rows = df.select(*groups, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
-    joined = rows.join(f.select(*groups, "lower_fence", "upper_fence"), groups)
+    cond = None
+    for c in groups:
+        eq = rows[c].eqNullSafe(f[c])
+        cond = eq if cond is None else cond & eq
+    joined = rows.join(f, cond).select(*[rows[c] for c in groups], rows[value], *[f[c] for c in stats])
     v = F.col(value)
     inside = v.between(F.col("lower_fence"), F.col("upper_fence"))
-    w = joined.groupBy(*groups).agg(
+    out = joined.groupBy(*groups).agg(
+        *[F.first(c).alias(c) for c in stats],
         F.min(F.when(inside, v)).alias("lower_whisker"),
         F.max(F.when(inside, v)).alias("upper_whisker"),
         F.count_if(~inside).alias("n_outliers"),
     )
-    out = f.join(w, groups, "left").select(
-        *groups, "n", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence",
-        "lower_whisker", "upper_whisker", F.coalesce("n_outliers", F.lit(0)).alias("n_outliers"))
     if digits is not None:
-        stats = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence", "lower_whisker", "upper_whisker"]
-        out = out.select(*[round_half_away(c, digits).alias(c) if c in stats else F.col(c) for c in out.columns])
-    return out
+        rounded = stats[1:] + ["lower_whisker", "upper_whisker"]
+        out = out.select(*[round_half_away(c, digits).alias(c) if c in rounded else F.col(c)
+                           for c in out.columns])
+    return out.select(*groups, *stats, "lower_whisker", "upper_whisker", "n_outliers")
 
 
 def outliers(df: DataFrame, value: str, groups: Sequence[str], k: float = FENCE_K, **kw) -> DataFrame:
