@@ -18,6 +18,7 @@ from resalelens.functions.text import lease_years, storey_low
 from resalelens.operators import boxstats
 from resalelens.operators.common import attach_scalars, year_of
 from resalelens.schemas import AGE_TARGET, MILLION
+from resalelens.session import checkpoint_dir
 
 ALL = "All"
 
@@ -170,9 +171,19 @@ def lowest_decile_rows(trend: DataFrame, p: float = 0.1) -> DataFrame:
     return boxstats.at_or_below_cutoff(trend, "price", ["month"], p)
 
 
-def lowest_decile_box(trend: DataFrame, p: float = 0.1, digits: int | None = None) -> DataFrame:
-    """Box statistics by month of the rows at or below the cutoff."""
-    rows = lowest_decile_rows(trend, p).drop("cutoff")
+def lowest_decile_box(trend: DataFrame, p: float = 0.1, digits: int | None = None,
+                      cut_lineage: bool = True) -> DataFrame:
+    """Box statistics by month of the rows at or below the cutoff.
+
+    The selected rows feed several passes of the box statistics; with
+    ``cut_lineage`` they are checkpointed once into the shared checkpoint
+    folder (an eager job) so the cutoff is not recomputed per pass and a
+    lost executor re-reads files instead of re-running the cutoff.
+    """
+    rows = lowest_decile_rows(trend, p).select("month", "price")
+    if cut_lineage:
+        checkpoint_dir(rows.sparkSession)
+        rows = rows.checkpoint(eager=True)
     return boxstats.box_stats(rows, "price", ["month"], digits=digits)
 
 
