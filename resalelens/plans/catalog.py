@@ -19,7 +19,7 @@ from resalelens.functions.numeric import round_half_away
 from resalelens.operators import analyses as N
 from resalelens.operators import boxstats, clean, facets, geo, search, trends
 from resalelens.plans import standin as S
-from resalelens.plans.materialize import materialized, written
+from resalelens.plans.materialize import materialized, table_location, written
 from resalelens.schemas import TXN as TXN_SCHEMA
 from resalelens.session import scratch_path, ship_package
 from resalelens.sources import envelope, history, month_source, months
@@ -60,6 +60,13 @@ def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
         schema=TXN_SCHEMA, cluster_by=["town", "street"])
 
 
+def txn_location(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the month-partitioned clean table (written if needed)."""
+    txn(spark, sf_dir)
+    return table_location(spark, "clean_txn", [table_path(sf_dir, t) for t in S.STANDIN_TABLES],
+                          TXN_SCHEMA)
+
+
 def trend(spark: SparkSession, sf_dir: str, with_ordinal: bool = False) -> DataFrame:
     """Trend rows from the clean table (its price is the raw price as double)."""
     t = txn(spark, sf_dir).select("month", "town", F.col("price").alias("resale_price"))
@@ -709,6 +716,16 @@ def q_month_source_pruned(spark, d):
     return clean.clean_transactions(picked)
 
 
+@query("stored_months_pruned", f"""with {TXN}
+select * from txn where month in ('1995-03', '1998-07', '2001-11')""")
+def q_stored_months_pruned(spark, d):
+    # S2's stored-data form: a month-partitioned parquet table; the month
+    # list becomes a partition filter, only three folders are read.
+    df = month_source.read_months(spark, txn_location(spark, d),
+                                  months=["1995-03", "1998-07", "2001-11"])
+    return df.select(*TXN_SCHEMA.fieldNames())
+
+
 @query("records_sink", f"with {TXN} select * from txn")
 def q_records_sink(spark, d):
     path = scratch_path(spark, "records")

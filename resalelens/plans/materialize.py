@@ -125,6 +125,13 @@ def _publish(path: str, write: Callable[[str], None]) -> None:
         fs.move(t, p)
 
 
+def table_location(spark: SparkSession, name: str, inputs: Sequence[str], schema: T.StructType,
+                   partition_by: str | None = "month", version: str = "1") -> str:
+    """Folder of the table ``materialized`` writes for these arguments."""
+    key = fingerprint(inputs, salt=f"{name}|{version}|{code_version()}|{partition_by}|{schema.simpleString()}")
+    return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{key}")
+
+
 def materialized(spark: SparkSession, name: str, inputs: Sequence[str],
                  build: Callable[[], DataFrame], schema: T.StructType,
                  partition_by: str | None = "month", cluster_by: Sequence[str] = (),
@@ -136,8 +143,7 @@ def materialized(spark: SparkSession, name: str, inputs: Sequence[str],
     partition column keeps its declared type); ``version`` must change when
     ``build`` changes meaning.
     """
-    key = fingerprint(inputs, salt=f"{name}|{version}|{code_version()}|{partition_by}|{schema.simpleString()}")
-    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{key}")
+    path = table_location(spark, name, inputs, schema, partition_by, version)
     def write(target: str) -> None:
         df = build().select(*schema.fieldNames())
         if partition_by:
