@@ -38,10 +38,14 @@ METHODS = ("sort", "hash", "approx")
 
 
 def group_quantiles(df: DataFrame, value: str, groups: Sequence[str], ps: Sequence[float],
-                    names: Sequence[str], method: str = "sort", accuracy: int = 10000) -> DataFrame:
-    """Per group: ``n`` (non-null values) and one column per quantile."""
+                    names: Sequence[str], method: str = "sort", accuracy: int = 10000,
+                    definition: str = "linear") -> DataFrame:
+    """Per group: ``n`` (non-null values) and one column per quantile.
+    ``definition="hazen"`` (plotting positions n*p + 1/2) needs ``method="sort"``."""
     if method == "sort":
-        return sorted_quantiles(df, value, groups, ps, names)
+        return sorted_quantiles(df, value, groups, ps, names, definition)
+    if definition != "linear":
+        raise ValueError("only method='sort' supports definition='hazen'")
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     v = F.col(value).cast("double")
@@ -52,10 +56,10 @@ def group_quantiles(df: DataFrame, value: str, groups: Sequence[str], ps: Sequen
 
 
 def quartiles(df: DataFrame, value: str, groups: Sequence[str], method: str = "sort",
-              accuracy: int = 10000) -> DataFrame:
+              accuracy: int = 10000, definition: str = "linear") -> DataFrame:
     """Per group: n, q1, median, q3 (nulls in ``value`` ignored)."""
     return group_quantiles(df, value, groups, [0.25, 0.5, 0.75], ["q1", "median", "q3"],
-                           method, accuracy)
+                           method, accuracy, definition)
 
 
 def fences(df: DataFrame, value: str, groups: Sequence[str], k: float = FENCE_K, **kw) -> DataFrame:

@@ -39,11 +39,23 @@ def _names(ps: Sequence[float]) -> list[str]:
     return [f"q{i}" for i in range(len(ps))]
 
 
+def _position(n, p: float, definition: str):
+    """0-based fractional rank of the ``p``-quantile among ``n`` values."""
+    nd = n.cast("double")
+    if definition == "linear":   # (n-1)p: quantile_cont / percentile
+        return (nd - 1) * F.lit(float(p))
+    if definition == "hazen":    # 1-based n*p + 1/2, clamped to the sample
+        return F.least(F.greatest(nd * F.lit(float(p)) - F.lit(0.5), F.lit(0.0)), nd - 1)
+    raise ValueError("definition must be 'linear' or 'hazen'")
+
+
 def sorted_quantiles(df: DataFrame, value: str, groups: Sequence[str], ps: Sequence[float],
-                     names: Sequence[str] | None = None) -> DataFrame:
-    """Per group: ``n`` (non-null values) and one column per ``p`` in ``ps``
-    (linear interpolation between order statistics).  Groups without any
-    non-null value are absent."""
+                     names: Sequence[str] | None = None, definition: str = "linear") -> DataFrame:
+    """Per group: ``n`` (non-null values) and one column per ``p`` in ``ps``,
+    interpolated linearly between the order statistics around the position
+    given by ``definition``: ``linear`` = (n-1)p (``quantile_cont``), or
+    ``hazen`` = n*p + 1/2 (1-based).  Groups without any non-null value are
+    absent."""
     g = list(groups)
     names = list(names or _names(ps))
     row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
@@ -70,7 +82,7 @@ def sorted_quantiles(df: DataFrame, value: str, groups: Sequence[str], ps: Seque
         *[ranked[c] for c in g], ranked["_v"], stats["n"],
         (stats["_off"] + ranked["_rid"] - stats["_r0"]).alias("_rank"))
 
-    pos = {name: (F.col("n") - 1).cast("double") * F.lit(float(p)) for name, p in zip(names, ps)}
+    pos = {name: _position(F.col("n"), p, definition) for name, p in zip(names, ps)}
     keep = F.lit(False)
     for name in names:
         keep = keep | (F.col("_rank") == F.floor(pos[name])) | (F.col("_rank") == F.ceil(pos[name]))
@@ -83,7 +95,7 @@ def sorted_quantiles(df: DataFrame, value: str, groups: Sequence[str], ps: Seque
     per = picked.groupBy(*g).agg(*aggs)
     out = [*g, "n"]
     for name, p in zip(names, ps):
-        p_pos = (F.col("n") - 1).cast("double") * F.lit(float(p))
+        p_pos = _position(F.col("n"), p, definition)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((lo + (p_pos - F.floor(p_pos)) * (hi - lo)).alias(name))
     return per.select(*out)

@@ -56,3 +56,16 @@ def test_box_stats_property(spark, values):
     assert r.n == ref["n"] and r.n_outliers == ref["n_outliers"]
     assert abs(r.median - ref["median"]) < 1e-9
     assert r.lower_whisker == ref["lower_whisker"] and r.upper_whisker == ref["upper_whisker"]
+
+
+def test_hazen_quartiles_match_numpy(spark):
+    rng = np.random.default_rng(11)
+    data = [("a", float(x)) for x in rng.normal(0, 1, 37)] + [("b", 1.0), ("b", 4.0)] + [("c", 2.0)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: r for r in boxstats.quartiles(df, "v", ["g"], definition="hazen").collect()}
+    for g in "abc":
+        vals = np.array([v for k, v in data if k == g])
+        ref = np.quantile(vals, [0.25, 0.5, 0.75], method="hazen")
+        assert np.allclose([got[g].q1, got[g].median, got[g].q3], ref, rtol=0, atol=1e-12), g
+    box = {r.g: r for r in boxstats.box_stats(df, "v", ["g"], definition="hazen").collect()}
+    assert box["a"].median == got["a"].median
