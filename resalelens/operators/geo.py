@@ -54,10 +54,11 @@ def outside_radius(df: DataFrame, point: tuple[float, float], radius: float = 10
 
 def proximity_list(df: DataFrame, point: tuple[float, float], radius: float = 1000.0,
                    method: str = "ellipsoid", name: str = "loc_info") -> DataFrame:
-    """Names within the radius with ``dist`` rounded to metres and the
-    listing text ``To <name> - 1,234m``; order by ``dist`` to list nearest first."""
+    """Names within the radius, nearest first, with ``dist`` rounded to
+    metres and the listing text ``To <name> - 1,234m`` (ties by name)."""
     w = within_radius(df, point, radius, method)
     d = round_half_away("dist", 0)
     return w.select(
         F.col(name).alias(name), d.alias("dist_m"),
-        F.concat(F.lit("To "), F.col(name), F.lit(" - "), F.format_number(d, 0), F.lit("m")).alias("text"))
+        F.concat(F.lit("To "), F.col(name), F.lit(" - "), F.format_number(d, 0), F.lit("m")).alias("text"),
+    ).orderBy("dist_m", name)
