@@ -54,14 +54,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "local").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         path = tempfile.mkdtemp(prefix="resalelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
+        sc = _context(spark)
+        if sc is not None:
+            sc.setCheckpointDir(path)
     return path
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for a Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 -- Spark Connect has no SparkContext
+        return None
+
+
+def default_parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.default.parallelism", "8"))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
@@ -78,8 +95,8 @@ def ship_package(spark: SparkSession) -> None:
     same from a running session: the package is zipped once per application
     into the shared checkpoint folder and added with ``addPyFile``.
     """
-    sc = spark.sparkContext
-    app = sc.applicationId
+    sc = _context(spark)
+    app = sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "connect")
     if app in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
@@ -93,5 +110,8 @@ def ship_package(spark: SparkSession) -> None:
                         full = os.path.join(root, f)
                         zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
         os.replace(tmp, target)
-    sc.addPyFile(target)
+    if sc is not None:
+        sc.addPyFile(target)
+    else:
+        spark.addArtifacts(target, pyfile=True)
     _SHIPPED.add(app)

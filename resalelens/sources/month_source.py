@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from resalelens.schemas import RAW_FIELDS
+from resalelens.session import default_parallelism
 
 FORMAT = "monthly_envelopes"
 
@@ -241,7 +242,7 @@ def read_month_source(spark: SparkSession, path: str, months=None, fields=None,
     """Read months through the source (see module docstring)."""
     register(spark)
     r = (spark.read.format(FORMAT).option("path", path).option("on_error", on_error)
-         .option("parallelism", str(spark.sparkContext.defaultParallelism)))
+         .option("parallelism", str(default_parallelism(spark))))
     if months is not None:
         r = r.option("months", ",".join(months))
     if fields is not None:
