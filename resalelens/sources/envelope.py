@@ -45,10 +45,13 @@ def write_envelopes(df: DataFrame, path: str, page_size: int = 10000,
            .groupBy(*[k for k in ([partition_by] if partition_by else []) + ["_page"]])
            .agg(F.struct(F.collect_list("_rec").alias("records")).alias("result"))
            .drop("_page"))
-    writer = env.write.mode("overwrite")
     if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.json(path)
+        # Envelopes hold at most page_size records each, so rebalancing them
+        # on the month (AQE splits a month with many pages over tasks) gives
+        # few, evenly sized files instead of one file per (task, month).
+        env.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).json(path)
+    else:
+        env.write.mode("overwrite").json(path)
 
 
 def records_json(df: DataFrame) -> DataFrame:
