@@ -45,12 +45,12 @@ def high_median_months(trend: DataFrame, threshold: float = HIGH_MEDIAN, **kw) -
 def rows_with_median_mark(trend: DataFrame, threshold: float = HIGH_MEDIAN, **kw) -> DataFrame:
     """Every row with its month's ``price_bar``.
 
-    The per-month marks are tiny (one row per month) and the join is left to
-    the planner: broadcast when the size estimate is under the threshold,
-    shuffled otherwise.
+    The marks have one row per calendar month -- a size bound that does not
+    grow with the data -- so they are broadcast: the rows are never
+    shuffled, and a hot month is not gathered into one task.
     """
     marks = median_marks(trend, threshold, **kw).select("month", "price_bar")
-    return trend.join(marks, "month", "left")
+    return trend.join(F.broadcast(marks), "month", "left")
 
 
 def million_table(trend: DataFrame, threshold: float = MILLION) -> DataFrame:
