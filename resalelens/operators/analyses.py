@@ -167,8 +167,9 @@ def lease_budget_grid(txn: DataFrame, ages: Sequence[int], budgets: Sequence[flo
 
 
 def lowest_decile_rows(trend: DataFrame, p: float = 0.1) -> DataFrame:
-    """Rows at or below their month's p-quantile price."""
-    return boxstats.at_or_below_cutoff(trend, "price", ["month"], p)
+    """Rows at or below their month's p-quantile price.  The
+    cutoffs (one per calendar month) are broadcast, so rows are not shuffled."""
+    return boxstats.at_or_below_cutoff(trend, "price", ["month"], p, broadcast_cutoffs=True)
 
 
 def lowest_decile_box(trend: DataFrame, p: float = 0.1, digits: int | None = None,

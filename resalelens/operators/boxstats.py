@@ -121,9 +121,13 @@ def cutoff(df: DataFrame, value: str, groups: Sequence[str], p: float = 0.1, met
 
 
 def at_or_below_cutoff(df: DataFrame, value: str, groups: Sequence[str], p: float = 0.1,
-                       **kw) -> DataFrame:
+                       broadcast_cutoffs: bool = False, **kw) -> DataFrame:
     """Rows whose value is at or below their group's ``p``-quantile,
-    with the cutoff attached."""
+    with the cutoff attached.  Set ``broadcast_cutoffs`` only when the
+    number of groups has a fixed bound (e.g. calendar months); otherwise the
+    planner chooses the join from measured sizes."""
     groups = list(groups)
     c = cutoff(df, value, groups, p, **kw)
+    if broadcast_cutoffs:
+        c = F.broadcast(c)
     return df.join(c, groups).where(F.col(value) <= F.col("cutoff"))
