@@ -93,23 +93,23 @@ def ship_package(spark: SparkSession) -> None:
 
     On a cluster the usual way is ``spark-submit --py-files``; this does the
     same from a running session: the package is zipped once per application
-    into the shared checkpoint folder and added with ``addPyFile``.
+    on the driver and distributed with ``addPyFile``.
     """
     sc = _context(spark)
     app = sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "connect")
     if app in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(checkpoint_dir(spark), f"resalelens-{app}.zip")
-    if not os.path.exists(target):
-        tmp = target + f".{uuid.uuid4().hex[:8]}.tmp"
-        with zipfile.ZipFile(tmp, "w", zipfile.ZIP_DEFLATED) as zf:
-            for root, _, files in os.walk(pkg_dir):
-                for f in files:
-                    if f.endswith(".py"):
-                        full = os.path.join(root, f)
-                        zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-        os.replace(tmp, target)
+    # Built on the driver's own disk: Spark's file server (or the Connect
+    # artifact upload) hands it to the executors, so no shared folder is
+    # opened with local file calls.
+    target = os.path.join(tempfile.mkdtemp(prefix="resalelens-pkg-"), "resalelens.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     if sc is not None:
         sc.addPyFile(target)
     else:
