@@ -59,3 +59,41 @@ def word_count(c: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+#: Bits of a key filter at most: 16 MB, whatever the number of keys.
+FILTER_BITS = 1 << 27
+
+
+class KeyFilter:
+    """A bitmap of hashed keys that prunes rows before they are shuffled.
+
+    Rows whose key is surely absent are told apart on the map side: the bitmap
+    is broadcast in rows of 4 KB, at most ``FILTER_BITS`` bits in all.  It has
+    16 bits a key (one in sixteen absent keys passes) until the bound is
+    reached; beyond that it lets more pass, so a full filter prunes nothing and
+    every result stays the same.
+    """
+
+    def __init__(self, keys: DataFrame, hashed: Column, n: int):
+        self.bits = min(FILTER_BITS, max(1 << 15, 1 << (16 * max(n, 1) - 1).bit_length()))
+        place = self._place(hashed)
+        self.bitmap = keys.groupBy(F.bitmap_bucket_number(place).alias("f_bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("f_bits"))
+
+    def _place(self, hashed: Column) -> Column:
+        return F.pmod(hashed, F.lit(self.bits)) + 1
+
+    def _marked(self, df: DataFrame, hashed: Column) -> DataFrame:
+        at = F.bitmap_bit_position(self._place(hashed))
+        byte = F.conv(F.hex(F.substring(F.col("f_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        return (df.join(F.broadcast(self.bitmap), F.bitmap_bucket_number(self._place(hashed)) == F.col("f_bucket"), "left")
+                .withColumn("f_in", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))))
+
+    def maybe(self, df: DataFrame, hashed: Column) -> DataFrame:
+        """The rows of ``df`` whose key may be among the keys."""
+        return self._marked(df, hashed).where("f_in").select(*df.columns)
+
+    def surely_not(self, df: DataFrame, hashed: Column) -> DataFrame:
+        """The other rows of ``df``."""
+        return self._marked(df, hashed).where("not f_in").select(*df.columns)

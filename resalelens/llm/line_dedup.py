@@ -11,7 +11,9 @@ Chunks of at least two lines and one word are counted by digest over the whole
 corpus (partial counts per task, digests only).  Of a repeated chunk the first
 occurrence -- smallest (id, text hash, chunk number) -- stays; every other one
 is removed after its text has been compared, byte for byte, with the text of
-the first.  Only rows with a repeated digest meet in that comparison.
+the first.  Only rows with a repeated digest meet in that comparison, and only
+documents that may lose a chunk are shuffled to be rewritten: bitmaps of
+bounded size (``common.KeyFilter``) hold all others back.
 
 Everything is built-in DataFrame expressions.
 
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resalelens.llm.common import let, stored
+from resalelens.llm.common import KeyFilter, let, stored
 
 MIN_LINES = 2
 
@@ -73,7 +75,10 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One document repeated as a row is one occurrence: first == last then.
     often = stored(rows.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last"))
                    .where(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "digests")
-    met = stored(rows.join(often, "digest").select("digest", "doc_id", "text_hash", "no", "chunk",
+    # Texts of chunks that occur once stay where they are: a bitmap of the
+    # repeated digests holds them back before the shuffle.
+    maybe = KeyFilter(often, F.col("digest"), often.count()).maybe(rows, F.col("digest"))
+    met = stored(maybe.join(often, "digest").select("digest", "doc_id", "text_hash", "no", "chunk",
                                                    F.struct("doc_id", "text_hash", "no").eqNullSafe(F.col("first")).alias("is_first")),
                  "chunks")
     first = met.where("is_first").groupBy("digest").agg(F.first("chunk").alias("first_chunk"))
@@ -89,13 +94,18 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     changed.  ``counts`` adds the numbers of removed chunks and lines
     (``n_chunks_gone``, ``n_lines_gone``) as last columns.
     """
-    gone = repeated_chunks(docs, id_col, text_col).select(
+    gone = stored(repeated_chunks(docs, id_col, text_col), "gone").select(
         F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "gone")
     names = [f"d{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
     text = F.col(at[text_col]).cast("string")
-    joined = (docs.toDF(*names).withColumn("t_hash", F.xxhash64(text))
-              .join(gone, F.col(at[id_col]).eqNullSafe(F.col("g_id")) & (F.col("t_hash") == F.col("g_hash")), "left"))
+    # Only texts that may lose a chunk are shuffled; the others pass as they are.
+    rows = docs.toDF(*names).withColumn("t_hash", F.xxhash64(text))
+    changed = KeyFilter(gone, F.col("g_hash"), gone.count())
+    joined = (changed.maybe(rows, F.col("t_hash"))
+              .join(gone, F.col(at[id_col]).eqNullSafe(F.col("g_id")) & (F.col("t_hash") == F.col("g_hash")), "left")
+              .drop("g_id", "g_hash")
+              .unionByName(changed.surely_not(rows, F.col("t_hash")).withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))))
     left = let(chunks(text), lambda c: let(
         F.filter(c, lambda x, i: ~F.array_contains("gone", i)),
         lambda kept: F.struct(F.array_join(F.flatten(kept), "\n").alias("text"), (F.size(c) - F.size(kept)).alias("chunks"),

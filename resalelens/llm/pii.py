@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resalelens.llm.common import let, stored
+from resalelens.llm.common import KeyFilter, let, stored
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _MALE = "Mr|Herr|Monsieur|Señor|Господин"
@@ -211,8 +211,15 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash"), F.col("r.new").alias("r")))
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    joined = rows.withColumn("text_hash", F.xxhash64("text")).join(
-        by_doc, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    # Texts without any mention are not shuffled.
+    by_doc = stored(by_doc, "replacements")
+    touched = KeyFilter(by_doc, F.col("r_hash"), by_doc.count())
+    joined = (touched.maybe(rows, F.col("text_hash"))
+              .join(by_doc, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_hash") == F.col("r_hash")), "left")
+              .select("doc_id", "text", "r")
+              .unionByName(touched.surely_not(rows, F.col("text_hash"))
+                           .select("doc_id", "text", F.lit(None).cast("array<string>").alias("r"))))
     rebuilt = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), "r",
                                                 lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     return joined.select("doc_id", F.when(F.col("r").isNull(), text).otherwise(rebuilt).alias("text"),
