@@ -78,11 +78,11 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Texts of chunks that occur once stay where they are: a bitmap of the
     # repeated digests holds them back before the shuffle.
     maybe = KeyFilter(often, F.col("digest"), often.count()).maybe(rows, F.col("digest"))
-    met = stored(maybe.join(often, "digest").select("digest", "doc_id", "text_hash", "no", "chunk",
-                                                   F.struct("doc_id", "text_hash", "no").eqNullSafe(F.col("first")).alias("is_first")),
-                 "chunks")
-    first = met.where("is_first").groupBy("digest").agg(F.first("chunk").alias("first_chunk"))
-    gone = met.where("not is_first").join(first, "digest").where("chunk = first_chunk")
+    here = F.struct("doc_id", "text_hash", "no")
+    # Both joins below read one and the same exchange of the texts by digest.
+    first = (maybe.join(often, "digest").where(here.eqNullSafe(F.col("first")))
+             .groupBy("digest").agg(F.first("chunk").alias("first_chunk"), F.first("first").alias("first")))
+    gone = maybe.join(first, "digest").where(~here.eqNullSafe(F.col("first")) & (F.col("chunk") == F.col("first_chunk")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("no").alias("gone"))
 
 
