@@ -45,8 +45,8 @@ from tokenizers import Tokenizer
 MAX_TOKENS = 4096
 END_ID = 2
 GROUP_DOCS = 8192
-CACHE_BYTES = 250_000_000  # cached words and ids of one worker
-PART_BYTES = 8_000_000  # text whose words are looked up together
+CACHE_BYTES = 80_000_000  # cached words and ids of one worker
+PART_BYTES = 2_000_000  # text whose words are looked up together
 SEED = 23
 
 
