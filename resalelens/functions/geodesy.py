@@ -115,12 +115,8 @@ def vincenty_np(lat1, lon1, lat2, lon2, max_iter: int = 200, tol: float = 1e-12)
         s = b * A * (sigma - d_sigma)
         s = np.where(sin_sigma == 0, 0.0, s)
 
-        # Fallback for points that did not converge.
-        bad = ~done & ~np.isnan(L)
-        if bad.any():
-            h = (np.sin((phi2 - phi1) / 2) ** 2
-                 + np.cos(phi1) * np.cos(phi2) * np.sin(L / 2) ** 2)
-            s = np.where(bad, 2 * EARTH_RADIUS_M * np.arcsin(np.sqrt(h)), s)
+        # Nearly antipodal points may not converge: no distance rather than a wrong one.
+        s = np.where(done | np.isnan(L), s, np.nan)
     return s
 
 

@@ -18,7 +18,6 @@ from resalelens.functions.text import lease_years, storey_low
 from resalelens.operators import boxstats
 from resalelens.operators.common import attach_scalars, year_of
 from resalelens.schemas import AGE_TARGET, MILLION
-from resalelens.session import checkpoint_dir
 
 ALL = "All"
 
@@ -85,7 +84,7 @@ def half_year_share(trend: DataFrame, threshold: float = MILLION, digits: int =
 
 def town_year_counts(trend: DataFrame, threshold: float = MILLION) -> DataFrame:
     """Million-dollar sales per (town, year) (non-empty cells only)."""
-    return (trend.where(_is_mil(threshold))
+    return (trend.where(F.col("price") >= F.lit(threshold))
             .groupBy("town", year_of().alias("year")).agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -96,7 +95,7 @@ def town_year_crosstab(trend: DataFrame, threshold: float = MILLION) -> DataFram
     ``cube`` computes every margin in one aggregation; ``grouping()`` tells
     a margin apart from a null key.  Empty cells are absent.
     """
-    mil = trend.where(_is_mil(threshold)).select("town", year_of().cast("string").alias("year"))
+    mil = trend.where(F.col("price") >= F.lit(threshold)).select("town", year_of().cast("string").alias("year"))
     cube = mil.cube("town", "year").agg(
         F.count(F.lit(1)).alias("count"), F.grouping("town").alias("gt"), F.grouping("year").alias("gy"))
     long = cube.select(
@@ -128,7 +127,7 @@ def town_year_change(trend: DataFrame, threshold: float = MILLION) -> DataFrame:
 
 def first_million_year(trend: DataFrame, threshold: float = MILLION) -> DataFrame:
     """Town, first year with a million-dollar sale."""
-    return (trend.where(_is_mil(threshold)).groupBy("town")
+    return (trend.where(F.col("price") >= F.lit(threshold)).groupBy("town")
             .agg(F.min(year_of()).alias("first_year")))
 
 
@@ -172,25 +171,15 @@ def lowest_decile_rows(trend: DataFrame, p: float = 0.1) -> DataFrame:
     return boxstats.at_or_below_cutoff(trend, "price", ["month"], p, broadcast_cutoffs=True)
 
 
-def lowest_decile_box(trend: DataFrame, p: float = 0.1, digits: int | None = None,
-                      cut_lineage: bool = True) -> DataFrame:
-    """Box statistics by month of the rows at or below the cutoff.
-
-    The selected rows feed several passes of the box statistics; with
-    ``cut_lineage`` they are checkpointed once into the shared checkpoint
-    folder (an eager job) so the cutoff is not recomputed per pass and a
-    lost executor re-reads files instead of re-running the cutoff.
-    """
+def lowest_decile_box(trend: DataFrame, p: float = 0.1, digits: int | None = None) -> DataFrame:
+    """Box statistics by month of the rows at or below the cutoff."""
     rows = lowest_decile_rows(trend, p).select("month", "price")
-    if cut_lineage:
-        checkpoint_dir(rows.sparkSession)
-        rows = rows.checkpoint(eager=True)
     return boxstats.box_stats(rows, "price", ["month"], digits=digits)
 
 
 def lease_box_by_town(txn: DataFrame, threshold: float = MILLION, digits: int | None = None) -> DataFrame:
     """Box statistics of remaining lease years by town, million-dollar sales."""
-    t = with_year_count(txn).where(_is_mil(threshold))
+    t = with_year_count(txn).where(F.col("price") >= F.lit(threshold))
     return boxstats.box_stats(t, "year_count", ["town"], digits=digits)
 
 
@@ -206,7 +195,7 @@ def lease_unit_corr(txn: DataFrame, threshold: float | None = None, digits: int
     on lease regression line (one row)."""
     t = with_year_count(txn)
     if threshold is not None:
-        t = t.where(_is_mil(threshold))
+        t = t.where(F.col("price") >= F.lit(threshold))
     return t.agg(
         round_half_away(F.corr("area_sqft", "price"), digits).alias("corr_area_price"),
         round_half_away(F.corr("year_count", "price_sqft"), digits).alias("corr_lease_psf"),
@@ -218,7 +207,7 @@ def lease_unit_corr(txn: DataFrame, threshold: float | None = None, digits: int
 def unit_price_range(txn: DataFrame, threshold: float = MILLION, min_lease: int = 85,
                      digits: int = 2) -> DataFrame:
     """Unit-price range of million-dollar sales, all and for lease >= min_lease."""
-    t = with_year_count(txn).where(_is_mil(threshold))
+    t = with_year_count(txn).where(F.col("price") >= F.lit(threshold))
     newer = F.col("year_count") >= F.lit(min_lease)
     psf = F.col("price_sqft")
     return t.agg(
@@ -233,7 +222,7 @@ def storey_share(txn: DataFrame, threshold: float = MILLION, high_from: int = 10
                  digits: int = 2) -> DataFrame:
     """Floor, storey_low, n, pct of million-dollar sales, high_floor
     (lowest storey >= ``high_from``)."""
-    t = txn.where(_is_mil(threshold))
+    t = txn.where(F.col("price") >= F.lit(threshold))
     per = t.groupBy("floor").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy())
     low = storey_low(F.col("floor"))
@@ -244,17 +233,16 @@ def storey_share(txn: DataFrame, threshold: float = MILLION, high_from: int = 10
 
 def min_area_million(txn: DataFrame, threshold: float = MILLION, digits: int = 2) -> DataFrame:
     """Smallest area (sqft) among million-dollar sales (one row)."""
-    return txn.where(_is_mil(threshold)).agg(round_half_away(F.min("area_sqft"), digits).alias("min_area_sqft"))
+    return txn.where(F.col("price") >= F.lit(threshold)).agg(round_half_away(F.min("area_sqft"), digits).alias("min_area_sqft"))
 
 
-def top_sales(txn: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The ``k`` highest sales at or above ``threshold`` (top-k report;
-    every column breaks ties, planned as per-partition top-k + merge)."""
+def top_sales(txn: DataFrame, threshold: float) -> DataFrame:
+    """Every sale at or above ``threshold``, highest first (every column breaks ties)."""
     t = with_year_count(txn).where(F.col("price") >= F.lit(threshold))
     cols = ["price", "month", "town", "street", "flat", "floor", "lease", "year_count",
             "area_sqft", "price_sqft"]
     order = [F.col("price").desc()] + [F.col(c).asc_nulls_first() for c in cols[1:]]
-    return t.select(*cols).orderBy(*order).limit(k)
+    return t.select(*cols).orderBy(*order)
 
 
 def price_extremes(txn: DataFrame, threshold: float) -> DataFrame:

@@ -75,26 +75,27 @@ def box_stats(df: DataFrame, value: str, groups: Sequence[str], k: float = FENCE
               digits: int | None = None, **kw) -> DataFrame:
     """Per group n, q1, median, q3, iqr, fences, whiskers, n_outliers.
 
-    The per-group statistics are joined to the rows once and carried
-    through the whisker aggregation (constant within a group), so the
-    quantile plan runs once.  ``digits`` rounds the statistics.
+    The rows are counted by value once; whiskers and outlier counts come from
+    the same value counts joined to their group's fences, so no input row is
+    joined.  ``digits`` rounds the statistics.
     """
     groups = list(groups)
     stats = ["n", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
     f = fences(df, value, groups, k, **kw)
-    rows = df.select(*groups, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    counts = (df.select(*groups, F.col(value).cast("double").alias(value))
+              .groupBy(*groups, value).agg(F.count(value).alias("_c")))
     cond = None
     for c in groups:
-        eq = rows[c].eqNullSafe(f[c])
+        eq = counts[c].eqNullSafe(f[c])
         cond = eq if cond is None else cond & eq
-    joined = rows.join(f, cond).select(*[rows[c] for c in groups], rows[value], *[f[c] for c in stats])
+    joined = counts.join(f, cond).select(*[counts[c] for c in groups], counts[value], "_c", *[f[c] for c in stats])
     v = F.col(value)
     inside = v.between(F.col("lower_fence"), F.col("upper_fence"))
     out = joined.groupBy(*groups).agg(
         *[F.first(c).alias(c) for c in stats],
         F.min(F.when(inside, v)).alias("lower_whisker"),
         F.max(F.when(inside, v)).alias("upper_whisker"),
-        F.count_if(~inside).alias("n_outliers"),
+        F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).alias("n_outliers"),
     )
     if digits is not None:
         rounded = stats[1:] + ["lower_whisker", "upper_whisker"]

@@ -1,37 +1,23 @@
-"""Exact per-group quantiles that never hold a whole group in one task.
-
-Spark's ``percentile`` keeps a value->count map per group; its final merge
-for one group runs in one task, so memory follows the group's distinct
-values -- unbounded for a hot group of continuous values.  Here the exact
-order statistics come from a distributed sort instead:
-
-1. range-partition on (group keys, value, row hash) and sort within
-   partitions -- the hash of the whole input row makes keys distinct, so
-   even one repeated value of a hot group is split over many tasks; it is
-   computed from content, so a recomputed task yields the same keys (rows
-   with equal group and value are interchangeable, so hash ties never
-   change a result);
-2. each row's index inside its partition comes from
-   ``monotonically_increasing_id`` (partition-local and in sorted order);
-3. a small table of per-(partition, group) counts gives each partition's
-   offset within its group (a window over at most #partitions rows per
-   group);
-   (both passes read the same, reused, range exchange);
-4. rows whose group rank is floor/ceil of ``(n-1)*p`` are kept (at most two
-   per quantile per group) and interpolated linearly -- the definition of
-   ``quantile_cont`` / ``percentile``.
-
-Cost: one range shuffle + sort of the value column instead of a hash
-aggregate; every task's memory is bounded by its partition size.  The row
-hash reads every column of ``df``: pass a frame projected to the columns
-that identify a row.
+"""Exact per-group quantiles from value counts.
+
+1. rows are counted by (group, value): a partial aggregate, so a repeated
+   value of a hot group collapses in every task before the shuffle;
+2. a running count over the distinct values of a group gives each value's
+   ranks, and the order statistics around ``(n-1)*p`` are the smallest values
+   whose running count passes them; they are interpolated linearly -- the
+   definition of ``quantile_cont`` / ``percentile``.
+
+Every step is a function of the data alone (no partition numbers, no second
+evaluation of a sort).  One task holds the distinct values of a group in
+turn, not its rows.  Null values count for nothing, but their group stays:
+``n = 0`` and null quantiles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,53 +35,35 @@ def _position(n, p: float, definition: str):
     raise ValueError("definition must be 'linear' or 'hazen'")
 
 
+def ranked_counts(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
+    """(groups, _v, _c, n, _cum): distinct values with their counts, the
+    group's non-null rows and the running count."""
+    g = list(groups)
+    counts = df.select(*g, F.col(value).cast("double").alias("_v")).groupBy(*g, "_v").agg(F.count("_v").alias("_c"))
+    group = Window.partitionBy(*g)
+    upto = group.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("_cum", F.sum("_c").over(upto)).withColumn("n", F.sum("_c").over(group))
+
+
+def value_at(rank: Column) -> Column:
+    """Aggregate: the value at a rank, from ``ranked_counts``."""
+    return F.min(F.when(F.col("_cum") > rank, F.col("_v")))
+
+
 def sorted_quantiles(df: DataFrame, value: str, groups: Sequence[str], ps: Sequence[float],
                      names: Sequence[str] | None = None, definition: str = "linear") -> DataFrame:
     """Per group: ``n`` (non-null values) and one column per ``p`` in ``ps``,
     interpolated linearly between the order statistics around the position
     given by ``definition``: ``linear`` = (n-1)p (``quantile_cont``), or
-    ``hazen`` = n*p + 1/2 (1-based).  Groups without any non-null value are
-    absent."""
+    ``hazen`` = n*p + 1/2 (1-based)."""
     g = list(groups)
     names = list(names or _names(ps))
-    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
-    base = (df.select(*g, F.col(value).cast("double").alias("_v"), row_hash.alias("_t"))
-            .where(F.col("_v").isNotNull()))
-    ordered = (base.repartitionByRange(*[F.col(c) for c in g], F.col("_v"), F.col("_t"))
-               .sortWithinPartitions(*g, "_v", "_t"))
-    ranked = ordered.select(*g, "_v", F.spark_partition_id().alias("_pid"),
-                            F.monotonically_increasing_id().alias("_rid"))
-
-    # Per (partition, group): rows and first row id; offsets within group.
-    stats = ranked.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_c"), F.min("_rid").alias("_r0"))
-    in_group = Window.partitionBy(*g)
-    before = in_group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.select(
-        "_pid", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(g)], "_r0",
-        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
-        F.sum("_c").over(in_group).alias("n"))
-
-    cond = ranked["_pid"] == stats["_pid"]
-    for i, c in enumerate(g):
-        cond = cond & ranked[c].eqNullSafe(stats[f"_k{i}"])
-    joined = ranked.join(stats, cond).select(
-        *[ranked[c] for c in g], ranked["_v"], stats["n"],
-        (stats["_off"] + ranked["_rid"] - stats["_r0"]).alias("_rank"))
-
-    pos = {name: _position(F.col("n"), p, definition) for name, p in zip(names, ps)}
-    keep = F.lit(False)
-    for name in names:
-        keep = keep | (F.col("_rank") == F.floor(pos[name])) | (F.col("_rank") == F.ceil(pos[name]))
-    picked = joined.where(keep)
-
-    aggs = [F.first("n").alias("n")]
-    for name in names:
-        aggs.append(F.max(F.when(F.col("_rank") == F.floor(pos[name]), F.col("_v"))).alias(f"_{name}_lo"))
-        aggs.append(F.max(F.when(F.col("_rank") == F.ceil(pos[name]), F.col("_v"))).alias(f"_{name}_hi"))
-    per = picked.groupBy(*g).agg(*aggs)
+    ranked = ranked_counts(df, value, g)
+    ends = [end for p in ps for end in (F.floor(_position(F.col("n"), p, definition)), F.ceil(_position(F.col("n"), p, definition)))]
+    per = ranked.groupBy(*g).agg(F.first("n").alias("n"), *[value_at(r).alias(f"_e{i}") for i, r in enumerate(ends)])
     out = [*g, "n"]
-    for name, p in zip(names, ps):
-        p_pos = _position(F.col("n"), p, definition)
-        lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (p_pos - F.floor(p_pos)) * (hi - lo)).alias(name))
+    for k, (name, p) in enumerate(zip(names, ps)):
+        pos = _position(F.col("n"), p, definition)
+        lo, hi = F.col(f"_e{2 * k}"), F.col(f"_e{2 * k + 1}")
+        out.append((lo + (pos - F.floor(pos)) * (hi - lo)).alias(name))
     return per.select(*out)

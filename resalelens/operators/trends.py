@@ -21,10 +21,10 @@ def median_by_month(trend: DataFrame, value: str = "price", method: str = "sort"
                     accuracy: int = 10000) -> DataFrame:
     """A1: median price per month -> month, median_price.
 
-    ``method`` as in ``operators.boxstats``: ``sort`` (exact, no month held
-    by one task), ``hash`` (Spark ``percentile``: a value->count map per
+    ``method`` as in ``operators.boxstats``: ``sort`` (exact, from value
+    counts), ``hash`` (Spark ``percentile``: a value->count map per
     month, fastest when prices repeat) or ``approx`` (bounded sketch).
-    Months whose prices are all null are absent with ``sort``.
+    Months whose prices are all null have a null median.
     """
     q = group_quantiles(trend, value, ["month"], [0.5], ["median_price"], method, accuracy)
     return q.drop("n")

@@ -270,7 +270,7 @@ select records, case when records > 0 then
   || ' | Lease >= 60 | Total records: ' || format('{{:,}}', records)
   else '<< YOUR SEARCH HAS NO RESULTS >>' end as text from a""")
 def q_summary_text(spark, d):
-    return search.summary_text(search.search(txn(spark, d), SP2), SP2)
+    return search.summary_text(search.select_rows(txn(spark, d), SP2), SP2)
 
 
 @query("page_of_results", f"""with {SEARCH1}
@@ -624,9 +624,9 @@ def q_min_area_million(spark, d):
 @query("top_price_extremes", f"""with {TXN}, t as (select *, {LEASE_YEARS} as year_count from txn)
 select price, month, town, street, flat, floor, lease, year_count, area_sqft, price_sqft from t
 where price >= 1000000
-order by price desc, month, town, street, flat, floor, lease, year_count, area_sqft, price_sqft limit 10""")
+order by price desc, month, town, street, flat, floor, lease, year_count, area_sqft, price_sqft""")
 def q_top_price_extremes(spark, d):
-    return N.top_sales(txn(spark, d), 1000000, 10)
+    return N.top_sales(txn(spark, d), 1000000)
 
 
 @query("price_extremes", f"""with {TXN}, t as (select *, {LEASE_YEARS} as year_count from txn where price >= 1000000),
@@ -649,9 +649,9 @@ c as (select regr_slope(price, price_sqft) as b, regr_intercept(price, price_sqf
 r as (select t.*, c.a + c.b * price_sqft as fit, price - (c.a + c.b * price_sqft) as res from t, c),
 m as (select avg(res) as mu, stddev_samp(res) as sd from r)
 select month, town, street, price, price_sqft, round(fit, 2) as fitted, round(res, 2) as residual,
-  round((res - mu) / sd, 4) as z from r, m where abs((res - mu) / sd) >= 3""")
+  round((res - mu) / sd, 4) as z from r, m where abs((res - mu) / sd) >= 2.5""")
 def q_trend_residual_outliers(spark, d):
-    return N.residual_outliers(txn(spark, d))
+    return N.residual_outliers(txn(spark, d), z_min=2.5)
 
 
 @query("bulk_sales", f"""with p as ({S.PRIVATE_SQL})

@@ -44,25 +44,12 @@ def _info(path: str):
     return fs, p
 
 
-_FINGERPRINTS: dict[tuple, str] = {}
-
-
 def fingerprint(paths: Sequence[str], salt: str = "") -> str:
     """Hash of the input files' names, sizes and modify times.
 
-    Listing a large input on every call would cost the driver a full file
-    listing per query, so the result is memoised per process, keyed by each
-    input's top-level modify time (adding or removing files changes it;
-    data files are never rewritten in place).
+    The files are listed on every call: a new file anywhere below an input
+    gives a new hash, also within one process.
     """
-    tops = []
-    for path in sorted(paths):
-        fs, p = _info(path)
-        info = fs.get_file_info(p)
-        tops.append((path, info.type, info.size, info.mtime_ns))
-    memo_key = (tuple(tops), salt)
-    if memo_key in _FINGERPRINTS:
-        return _FINGERPRINTS[memo_key]
     h = hashlib.sha256(salt.encode())
     for path in sorted(paths):
         fs, p = _info(path)
@@ -73,8 +60,7 @@ def fingerprint(paths: Sequence[str], salt: str = "") -> str:
             infos = [info]
         for i in sorted(infos, key=lambda x: x.path):
             h.update(f"{i.path}|{i.size}|{i.mtime_ns}".encode())
-    _FINGERPRINTS[memo_key] = h.hexdigest()[:20]
-    return _FINGERPRINTS[memo_key]
+    return h.hexdigest()[:20]
 
 
 _CODE: list[str] = []

@@ -111,14 +111,13 @@ class _Reader(DataSourceReader):
                 self._narrow([str(f.value)])
             elif isinstance(f, In) and f.attribute == ("month",):
                 self._narrow([str(v) for v in f.value])
-            else:
-                yield f
+            yield f  # months only prune the requests; Spark still filters the rows
 
     def _narrow(self, months):
         self.months = [m for m in (self.months or months) if m in months]
 
     def partitions(self):
-        """With a per-month ``limit``: one task per month.  Otherwise files
+        """With a per-month ``limit`` or ``on_error=skip``: one task per month.  Otherwise files
         are packed like Spark's file sources do: each file costs its size
         plus ``openCostInBytes``, and a task takes up to
         ``min(maxPartitionBytes, max(openCostInBytes, total / parallelism))``
@@ -126,7 +125,7 @@ class _Reader(DataSourceReader):
         and small inputs still use every core."""
         months = self.months if self.months is not None else list_months(self.path)
         parts: list[MonthPartition] = []
-        if self.limit is not None:
+        if self.limit is not None or self.on_error == "skip":
             for m in months:
                 parts.append(MonthPartition(m, [(m, f) for f, _ in list_month_files(self.path, m)]))
             return parts or [MonthPartition("empty", [])]
@@ -154,26 +153,33 @@ class _Reader(DataSourceReader):
     def read(self, partition: MonthPartition):
         """Yield Arrow record batches (parsed by pyarrow's JSON reader) for
         the default envelope files; an injected ``fetch`` yields records."""
+        if self.on_error == "skip":
+            # One month per task: a month that fails gives none of its rows,
+            # every other month all of them.
+            try:
+                batches = list(self._batches(partition))
+            except Exception:  # noqa: BLE001 -- the documented meaning of skip
+                return
+            yield from batches
+        else:
+            yield from self._batches(partition)
+
+    def _batches(self, partition: MonthPartition):
         names = [f.name for f in self.schema.fields]
         left = self.limit
-        try:
-            for month, file in partition.items:
-                if left is not None and left <= 0:
-                    return
-                if self.fetch:
-                    batch = _records_to_batch(self._fetch_fn()(file, self.header), names)
-                else:
-                    batch = _envelope_file_batch(file, names)
-                batch = _keep_month(batch, month)
-                if left is not None:
-                    batch = batch.slice(0, left)
-                    left -= batch.num_rows
-                if batch.num_rows:
-                    yield batch
-        except Exception:
-            if self.on_error == "skip":
+        for month, file in partition.items:
+            if left is not None and left <= 0:
                 return
-            raise
+            if self.fetch:
+                batch = _records_to_batch(self._fetch_fn()(file, self.header), names)
+            else:
+                batch = _envelope_file_batch(file, names)
+            _check_month(batch, month)
+            if left is not None:
+                batch = batch.slice(0, left)
+                left -= batch.num_rows
+            if batch.num_rows:
+                yield batch
 
 
 def _records_to_batch(records, names) -> pa.RecordBatch:
@@ -187,8 +193,12 @@ def _records_to_batch(records, names) -> pa.RecordBatch:
 
 def _envelope_file_batch(file: str, names) -> pa.RecordBatch:
     fs, p = _fs(file)
+    size = fs.get_file_info(p).size
+    if not size:
+        return _records_to_batch([], names)
+    # A page is one JSON object: the reader's block must hold all of it.
     with fs.open_input_stream(p) as fh:
-        table = pajson.read_json(fh)
+        table = pajson.read_json(fh, read_options=pajson.ReadOptions(block_size=max(1 << 20, size + 1)))
     if "result" not in table.column_names or table.num_rows == 0:
         return _records_to_batch([], names)
     result = table.column("result").combine_chunks()
@@ -206,12 +216,13 @@ def _envelope_file_batch(file: str, names) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=list(names))
 
 
-def _keep_month(batch: pa.RecordBatch, month: str) -> pa.RecordBatch:
-    if "month" not in batch.schema.names or not month:
-        return batch
-    m = batch.column(batch.schema.get_field_index("month"))
-    keep = pc.or_kleene(pc.equal(m, month), pc.is_null(m))
-    return batch.filter(pc.fill_null(keep, True))
+def _check_month(batch: pa.RecordBatch, month: str) -> None:
+    """A record of another month in a month's answer is an error, not a row to lose."""
+    if "month" in batch.schema.names and month:
+        m = batch.column(batch.schema.get_field_index("month"))
+        other = pc.any(pc.not_equal(m, month)).as_py()
+        if other:
+            raise ValueError(f"records of another month in the answer for {month}")
 
 
 class MonthlyEnvelopeSource(DataSource):

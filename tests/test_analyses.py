@@ -87,8 +87,8 @@ def test_extremes_of_expensive_sales(txn):
     r = N.price_extremes(txn, 1_500_000).first()
     assert (r.n, r.min_psf_street, r.max_area_street, r.min_lease, r.min_lease_street) == (
         3, "BLK 1 A", "BLK 1 A", 47, "BLK 1 A")
-    top = N.top_sales(txn, 1_500_000, 2).collect()
-    assert [t.street for t in top] == ["BLK 3 C", "BLK 2 B"]  # ties broken by month, town
+    top = N.top_sales(txn, 1_500_000).collect()
+    assert len(top) == 3 and [t.street for t in top][:2] == ["BLK 3 C", "BLK 2 B"]  # ties broken by month, town
 
 
 def test_storey_and_ranges(txn):

@@ -69,3 +69,15 @@ def test_hazen_quartiles_match_numpy(spark):
         assert np.allclose([got[g].q1, got[g].median, got[g].q3], ref, rtol=0, atol=1e-12), g
     box = {r.g: r for r in boxstats.box_stats(df, "v", ["g"], definition="hazen").collect()}
     assert box["a"].median == got["a"].median
+
+
+def test_quantiles_do_not_depend_on_exchange_reuse_and_keep_all_null_groups(spark):
+    df = spark.createDataFrame([(g, float(i % 37) if g < 3 else None) for g in range(4) for i in range(400)], "g int, v double")
+    found = []
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        found.append(sorted(tuple(r) for r in boxstats.box_stats(df, "v", ["g"]).collect() if r.g < 3))
+        empty = [r for r in boxstats.box_stats(df, "v", ["g"]).collect() if r.g == 3]
+        assert [(r.n, r.median, r.n_outliers) for r in empty] == [(0, None, 0)]
+    spark.conf.set("spark.sql.exchange.reuse", "true")
+    assert found[0] == found[1] and found[0][0][3] == 18.0

@@ -110,3 +110,26 @@ def test_month_source_injected_fetch_gets_header(spark, env_dir):
           .option("fetch", "fetch_helper:fetch_with_header")
           .option("header", json.dumps({"x-api-key": "k1"})).load())
     assert {r.town for r in df.collect()} == {"k1"} and df.count() == 3
+
+
+def _page(folder, month, records, name="p.json"):
+    import json
+    d = folder / f"month={month}"
+    d.mkdir(exist_ok=True)
+    (d / name).write_text(json.dumps({"result": {"records": records}}))
+
+
+def test_month_source_large_pages_bad_months_and_null_months(spark, tmp_path):
+    big = [{"month": "2024-01", "town": "T" * 200, "resale_price": str(i)} for i in range(10_000)]
+    _page(tmp_path, "2024-01", big)
+    _page(tmp_path, "2024-02", [{"month": None, "town": "A"}, {"month": "2024-02", "town": "B"}])
+    df = month_source.read_month_source(spark, str(tmp_path))
+    assert df.count() == 10_002  # a page larger than one reader block
+    assert df.where(df.month.isin("2024-01", "2024-02")).count() == 10_001  # null months are not "in"
+    (tmp_path / "month=2024-03").mkdir()
+    (tmp_path / "month=2024-03" / "p.json").write_text("{broken")
+    _page(tmp_path, "2024-04", [{"month": "2020-01", "town": "lost"}])
+    _page(tmp_path, "2024-05", [{"month": "2024-05", "town": "C"}])
+    assert month_source.read_month_source(spark, str(tmp_path), on_error="skip").count() == 10_003
+    with pytest.raises(Exception, match="another month"):
+        month_source.read_month_source(spark, str(tmp_path), months=["2024-04"]).count()
