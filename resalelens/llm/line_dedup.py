@@ -75,14 +75,16 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One document repeated as a row is one occurrence: first == last then.
     often = stored(rows.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last"))
                    .where(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "digests")
+    n = often.count()
+    # The text of each first occurrence, fetched by its place, one a digest.
+    place = F.xxhash64("doc_id", "text_hash", "no")
+    some = KeyFilter(often.select("first.*"), place, n).maybe(rows, place)
+    firsts = stored(some.join(often, "digest").where(at.eqNullSafe(F.col("first")))
+                    .groupBy("digest").agg(F.first("first").alias("first"), F.first("chunk").alias("first_chunk")), "firsts")
     # Texts of chunks that occur once stay where they are: a bitmap of the
-    # repeated digests holds them back before the shuffle.
-    maybe = KeyFilter(often, F.col("digest"), often.count()).maybe(rows, F.col("digest"))
-    met = stored(maybe.join(often, "digest").select("digest", "doc_id", "text_hash", "no", "chunk",
-                                                   F.struct("doc_id", "text_hash", "no").eqNullSafe(F.col("first")).alias("is_first")),
-                 "chunks")
-    first = met.where("is_first").groupBy("digest").agg(F.first("chunk").alias("first_chunk"))
-    gone = met.where("not is_first").join(first, "digest").where("chunk = first_chunk")
+    # repeated digests holds them back before the one shuffle of texts.
+    met = KeyFilter(often, F.col("digest"), n).maybe(rows, F.col("digest")).join(firsts, "digest")
+    gone = met.where(~at.eqNullSafe(F.col("first")) & (F.col("chunk") == F.col("first_chunk")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("no").alias("gone"))
 
 
