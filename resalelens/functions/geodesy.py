@@ -5,24 +5,20 @@ Two measures:
 * ``haversine_m`` -- great circle on the mean-radius sphere, a native
   expression that stays inside whole-stage codegen.
 * ``ellipsoid_m`` -- inverse geodesic on the WGS-84 ellipsoid (Vincenty's
-  iteration), an Arrow-batched ``pandas_udf``; numpy runs over the whole
-  batch, never per row.
+  iteration) in built-in functions: a fold over the rounds, which stands
+  still once a row has converged.
 
-``bounding_box`` gives a conservative native pre-filter so that only rows
-near the point ever reach the Python worker, and so that parquet scans can
-skip row groups by their min/max statistics.
+``bounding_box`` gives a conservative pre-filter so that the iteration runs
+only for rows near the point, and so that parquet scans can skip row groups
+by their min/max statistics.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from resalelens.schemas import EARTH_RADIUS_M, WGS84_A, WGS84_F
 
@@ -67,67 +63,105 @@ def bounding_box(lat: Column, lon: Column, lat0: float, lon0: float, radius_m: f
     return cond
 
 
-def vincenty_np(lat1, lon1, lat2, lon2, max_iter: int = 200, tol: float = 1e-12) -> np.ndarray:
-    """Vectorised inverse Vincenty distance (metres) on WGS-84.
+#: Iterations of the inverse solution at most; points away from the antipode need about five.
+MAX_ITER = 100
+#: Change of the longitude (radians) at which the iteration stops: 0.006 mm.
+TOLERANCE = 1e-12
 
-    Points where the iteration does not converge (nearly antipodal) fall
-    back to the spherical distance; nulls give NaN.
-    """
-    a, f = WGS84_A, WGS84_F
-    b = a * (1 - f)
-    phi1, phi2 = np.radians(lat1), np.radians(lat2)
-    L = np.radians(lon2 - lon1)
-    U1 = np.arctan((1 - f) * np.tan(phi1))
-    U2 = np.arctan((1 - f) * np.tan(phi2))
-    sinU1, cosU1, sinU2, cosU2 = np.sin(U1), np.cos(U1), np.sin(U2), np.cos(U2)
-
-    lam = L.copy()
-    done = np.zeros(L.shape, dtype=bool)
-    sin_sigma = np.zeros_like(L)
-    cos_sigma = np.ones_like(L)
-    sigma = np.zeros_like(L)
-    cos2_alpha = np.ones_like(L)
-    cos_2sm = np.zeros_like(L)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        for _ in range(max_iter):
-            sin_lam, cos_lam = np.sin(lam), np.cos(lam)
-            sin_sigma = np.sqrt((cosU2 * sin_lam) ** 2
-                                + (cosU1 * sinU2 - sinU1 * cosU2 * cos_lam) ** 2)
-            cos_sigma = sinU1 * sinU2 + cosU1 * cosU2 * cos_lam
-            sigma = np.arctan2(sin_sigma, cos_sigma)
-            sin_alpha = np.where(sin_sigma == 0, 0.0, cosU1 * cosU2 * sin_lam / sin_sigma)
-            cos2_alpha = 1 - sin_alpha ** 2
-            cos_2sm = np.where(cos2_alpha == 0, 0.0, cos_sigma - 2 * sinU1 * sinU2 / cos2_alpha)
-            C = f / 16 * cos2_alpha * (4 + f * (4 - 3 * cos2_alpha))
-            lam_new = L + (1 - C) * f * sin_alpha * (
-                sigma + C * sin_sigma * (cos_2sm + C * cos_sigma * (-1 + 2 * cos_2sm ** 2)))
-            converged = np.abs(lam_new - lam) < tol
-            lam = np.where(done, lam, lam_new)
-            done |= converged | np.isnan(lam_new)
-            if done.all():
-                break
-        u2 = cos2_alpha * (a * a - b * b) / (b * b)
-        A = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
-        B = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
-        d_sigma = B * sin_sigma * (cos_2sm + B / 4 * (
-            cos_sigma * (-1 + 2 * cos_2sm ** 2)
-            - B / 6 * cos_2sm * (-3 + 4 * sin_sigma ** 2) * (-3 + 4 * cos_2sm ** 2)))
-        s = b * A * (sigma - d_sigma)
-        s = np.where(sin_sigma == 0, 0.0, s)
-
-        # Nearly antipodal points may not converge: no distance rather than a wrong one.
-        s = np.where(done | np.isnan(L), s, np.nan)
-    return s
-
-
-@pandas_udf(DoubleType())
-def _ellipsoid_udf(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
-    s = vincenty_np(lat1.to_numpy("float64", na_value=np.nan), lon1.to_numpy("float64", na_value=np.nan),
-                    lat2.to_numpy("float64", na_value=np.nan), lon2.to_numpy("float64", na_value=np.nan))
-    return pd.Series(s).where(~np.isnan(s), None)
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
+def _on_sphere(p: Column, lam: Column, body) -> Column:
+    """``body(g)`` with ``g`` the geometry on the auxiliary sphere at longitude difference ``lam``:
+    sine, cosine and size of the arc, the azimuth at the equator and the arc's midpoint."""
+    def arc(c: Column) -> Column:
+        across, along = p["c2"] * F.sin(lam), p["c1"] * p["s2"] - p["s1"] * p["c2"] * c
+        return F.struct(F.sqrt(across * across + along * along).alias("sin"),
+                        (p["s1"] * p["s2"] + p["c1"] * p["c2"] * c).alias("cos"))
+
+    def azimuth(g: Column) -> Column:
+        sin_alpha = F.when(g["sin"] == 0, 0.0).otherwise(p["c1"] * p["c2"] * F.sin(lam) / g["sin"])
+        return _let(sin_alpha, lambda x: F.struct(
+            g["sin"].alias("sin"), g["cos"].alias("cos"), F.atan2(g["sin"], g["cos"]).alias("arc"),
+            x.alias("sin_alpha"), (1 - x * x).alias("cos2_alpha")))
+
+    def midpoint(g: Column) -> Column:
+        m = F.when(g["cos2_alpha"] == 0, 0.0).otherwise(g["cos"] - 2 * p["s1"] * p["s2"] / g["cos2_alpha"])
+        return _let(m, lambda x: body(g, x))
+
+    return _let(_let(F.cos(lam), arc), lambda g: _let(azimuth(g), midpoint))
 
 
 def ellipsoid_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Geodesic distance on WGS-84 in metres (Arrow-batched UDF)."""
-    return _ellipsoid_udf(lat1.cast("double"), lon1.cast("double"),
-                          lat2.cast("double"), lon2.cast("double"))
+    """Geodesic distance on WGS-84 in metres: Vincenty's inverse solution in built-in functions.
+
+    Null where a coordinate is null, and where the iteration does not converge
+    (nearly antipodal points): no distance rather than a wrong one.
+    """
+    f = WGS84_F
+    a, b = WGS84_A, WGS84_A * (1 - WGS84_F)
+
+    def reduced(lat: Column) -> Column:
+        return F.atan((1 - f) * F.tan(F.radians(lat.cast("double"))))
+
+    def step(p: Column, lam: Column) -> Column:
+        def moved(g: Column, m: Column) -> Column:
+            c = f / 16 * g["cos2_alpha"] * (4 + f * (4 - 3 * g["cos2_alpha"]))
+            return _let(c, lambda c: p["lon"] + (1 - c) * f * g["sin_alpha"] * (
+                g["arc"] + c * g["sin"] * (m + c * g["cos"] * (2 * m * m - 1))))
+
+        return _on_sphere(p, lam, moved)
+
+    def solve(p: Column) -> Column:
+        start = F.struct(p["lon"].alias("lam"), p["lon"].isNull().alias("done"))
+
+        def advance(s: Column, _: Column) -> Column:
+            return F.when(s["done"], s).otherwise(_let(step(p, s["lam"]), lambda x: F.struct(
+                x.alias("lam"), F.coalesce(F.abs(x - s["lam"]) < TOLERANCE, F.lit(True)).alias("done"))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_ITER)), start, advance,
+                           lambda s: F.when(s["done"], _on_sphere(p, s["lam"], length)))
+
+    def length(g: Column, m: Column) -> Column:
+        def series(u: Column) -> Column:
+            big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+            big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+            return _let(big_b, lambda k: b * big_a * (g["arc"] - k * g["sin"] * (m + k / 4 * (
+                g["cos"] * (2 * m * m - 1) - k / 6 * m * (4 * g["sin"] * g["sin"] - 3) * (4 * m * m - 3)))))
+
+        return F.when(g["sin"] == 0, F.when(g["cos"] > 0, 0.0)).otherwise(
+            _let(g["cos2_alpha"] * ((a * a - b * b) / (b * b)), series))
+
+    u1, u2 = reduced(lat1), reduced(lat2)
+    return _let(F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"),
+                         F.radians(lon2.cast("double") - lon1.cast("double")).alias("lon")), solve)
+
+
+def ellipsoid_sql(points: str, key: str, lat: str, lon: str, lat0: float, lon0: float) -> str:
+    """The inverse solution as CTEs for the oracle: ``geo_dist(key, dist)`` of the table ``points``
+    from one point, the iteration written as a recursion over rounds."""
+    f, a = WGS84_F, WGS84_A
+    b = a * (1 - f)
+    sphere = """sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2)) as ss,
+        s1 * s2 + c1 * c2 * cos(lam) as cs"""
+    alpha = "case when ss = 0 then 0 else c1 * c2 * sin(lam) / ss end as sa"
+    mid = "case when sa * sa = 1 then 0 else cs - 2 * s1 * s2 / (1 - sa * sa) end as m, 1 - sa * sa as c2a"
+    cc = f"({f!r} / 16 * c2a * (4 + {f!r} * (4 - 3 * c2a)))"
+    return f"""geo_in as (select {key} as k, sin(u1) as s1, cos(u1) as c1, sin(u2) as s2, cos(u2) as c2, l from (
+    select {key}, atan((1 - {f!r}) * tan(radians({lat}))) as u1, atan((1 - {f!r}) * tan(radians({lat0!r}))) as u2,
+      radians({lon0!r} - {lon}) as l from {points})),
+geo_it as (select *, l as lam, 0 as i, cast(1 as double) as moved from geo_in
+  union all
+  select k, s1, c1, s2, c2, l, nxt, i + 1, abs(nxt - lam) from (
+    select *, l + (1 - {cc}) * {f!r} * sa * (atan2(ss, cs) + {cc} * ss * (m + {cc} * cs * (2 * m * m - 1))) as nxt from (
+      select *, {mid} from (select *, {alpha} from (select *, {sphere} from geo_it where moved >= {TOLERANCE!r} and i < {MAX_ITER}))))),
+geo_end as (select * from geo_it where moved < {TOLERANCE!r}),
+geo_arc as (select *, c2a * {(a * a - b * b) / (b * b)!r} as u from (
+    select *, {mid} from (select *, {alpha} from (select *, {sphere} from geo_end)))),
+geo_ab as (select *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) as ga,
+    u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) as gb from geo_arc),
+geo_dist as (select k as {key}, case when ss = 0 then 0 else {b!r} * ga * (atan2(ss, cs) - gb * ss * (m + gb / 4 * (
+    cs * (2 * m * m - 1) - gb / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))) end as dist from geo_ab)"""

@@ -1,9 +1,9 @@
 """Points within / outside a radius of a location.
 
-``method="ellipsoid"`` (default) measures on WGS-84 with an Arrow-batched
-UDF; ``method="sphere"`` uses the native haversine expression.  For
-``within_radius`` a native bounding-box filter runs first, so the Python
-worker only sees candidate rows and parquet can skip row groups.  Rows
+``method="ellipsoid"`` (default) measures on WGS-84, ``method="sphere"`` by
+the haversine; both are built-in expressions.  For ``within_radius`` a
+bounding-box filter runs first, so that the iteration sees candidate rows
+only and parquet can skip row groups.  Rows
 without usable coordinates are in neither result.
 """
 

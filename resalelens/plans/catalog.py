@@ -767,9 +767,32 @@ def q_proximity_list(spark, d):
     return geo.proximity_list(S.supplier_points(spark, d), POINT, RADIUS, method="sphere")
 
 
-@query("within_radius_ellipsoid")
+def _ell_sql() -> str:
+    from resalelens.functions.geodesy import ellipsoid_sql
+    return f"recursive p as ({S.POINTS_SQL}), " + ellipsoid_sql("p", "poi_id", "LATITUDE", "LONGITUDE", *POINT)
+
+
+@query("within_radius_ellipsoid", f"""with {_ell_sql()}
+select poi_id, loc_info, LATITUDE, LONGITUDE, round(dist, 3) as dist from p join geo_dist using (poi_id)
+where dist <= {RADIUS!r}""")
 def q_within_radius_ellipsoid(spark, d):
-    return geo.within_radius(S.supplier_points(spark, d), POINT, RADIUS, method="ellipsoid")
+    w = geo.within_radius(S.supplier_points(spark, d), POINT, RADIUS)
+    return w.withColumn("dist", round_half_away("dist", 3))
+
+
+@query("outside_radius_ellipsoid", f"""with {_ell_sql()}
+select poi_id, loc_info, LATITUDE, LONGITUDE, round(dist, 3) as dist from p join geo_dist using (poi_id)
+where dist > {RADIUS!r}""")
+def q_outside_radius_ellipsoid(spark, d):
+    w = geo.outside_radius(S.supplier_points(spark, d), POINT, RADIUS)
+    return w.withColumn("dist", round_half_away("dist", 3))
+
+
+@query("proximity_list_ellipsoid", f"""with {_ell_sql()}
+select loc_info, round(dist, 0) as dist_m, 'To ' || loc_info || ' - ' || format('{{:,.0f}}', round(dist, 0)) || 'm' as text
+from p join geo_dist using (poi_id) where dist <= {RADIUS!r}""")
+def q_proximity_list_ellipsoid(spark, d):
+    return geo.proximity_list(S.supplier_points(spark, d), POINT, RADIUS)
 
 
 # ---------------------------------------------------------------------------

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resalelens.functions.binning import bin_bounds, bin_label, bin_ordinal
-from resalelens.functions.geodesy import vincenty_np
+from resalelens.functions.geodesy import ellipsoid_m
 from resalelens.functions.numeric import round_half_away
 from resalelens.functions.text import replace_first
 
@@ -42,17 +42,19 @@ def test_round_half_away_uses_binary_value(spark):
     assert got0[1:3] == [3.0, -3.0]
 
 
-def test_vincenty_known_values():
-    import numpy as np
-    # One degree of longitude on the equator and of latitude at the pole cap.
-    d = vincenty_np(np.array([0.0, 0.0, 1.3521]), np.array([0.0, 0.0, 103.8198]),
-                    np.array([0.0, 0.0, 1.3521]), np.array([1.0, 0.0, 103.8198]))
+def test_ellipsoid_known_values(spark):
+    # Flinders Peak -> Buninyong, the classic test line: 54 972.271 m.
+    peak = (-(37 + 57 / 60 + 3.72030 / 3600), 144 + 25 / 60 + 29.52440 / 3600)
+    buninyong = (-(37 + 39 / 60 + 10.15610 / 3600), 143 + 55 / 60 + 35.38390 / 3600)
+    lines = [(0.0, 0.0, 0.0, 1.0),  # one degree of longitude on the equator
+             (0.0, 0.0, 0.0, 0.0), (1.3521, 103.8198, 1.3521, 103.8198), (*peak, *buninyong),
+             (90.0, 0.0, -90.0, 0.0),  # pole to pole along a meridian
+             (0.0, 0.0, 0.3, 179.9),  # nearly antipodal: no convergence, no distance
+             (None, 0.0, 0.0, 1.0), (0.0, None, 0.0, 1.0), (float("nan"), 0.0, 0.0, 1.0)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(lines)], "i int, a double, b double, c double, d double")
+    d = [r.m for r in df.select("i", ellipsoid_m(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("m")).orderBy("i").collect()]
     assert math.isclose(d[0], 111319.490793, rel_tol=1e-9)
     assert d[1] == 0.0 and d[2] == 0.0
-    # Flinders Peak -> Buninyong, the classic test line: 54 972.271 m.
-    lat1 = -(37 + 57 / 60 + 3.72030 / 3600)
-    lon1 = 144 + 25 / 60 + 29.52440 / 3600
-    lat2 = -(37 + 39 / 60 + 10.15610 / 3600)
-    lon2 = 143 + 55 / 60 + 35.38390 / 3600
-    d = vincenty_np(np.array([lat1]), np.array([lon1]), np.array([lat2]), np.array([lon2]))
-    assert abs(d[0] - 54972.271) < 1e-3
+    assert abs(d[3] - 54972.271) < 1e-3
+    assert abs(d[4] - 20003931.4586) < 1e-2
+    assert d[5:] == [None] * 4
