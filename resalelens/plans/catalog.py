@@ -51,20 +51,21 @@ def query(name: str, sql: str | None = None):
 # Inputs
 # ---------------------------------------------------------------------------
 
+def _clean_table(spark: SparkSession, sf_dir: str) -> dict:
+    return dict(spark=spark, name="clean_txn", inputs=[table_path(sf_dir, t) for t in S.STANDIN_TABLES],
+                build=lambda: clean.clean_transactions(S.raw_transactions(spark, sf_dir)),
+                schema=TXN_SCHEMA, cluster_by=["town", "street"])
+
+
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean transactions, written once per input state as a month-partitioned
     table in the checkpoint folder (see ``plans.materialize``) and read back."""
-    return materialized(
-        spark, "clean_txn", [table_path(sf_dir, t) for t in S.STANDIN_TABLES],
-        lambda: clean.clean_transactions(S.raw_transactions(spark, sf_dir)),
-        schema=TXN_SCHEMA, cluster_by=["town", "street"])
+    return materialized(**_clean_table(spark, sf_dir))
 
 
 def txn_location(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the month-partitioned clean table (written if needed)."""
-    txn(spark, sf_dir)
-    return table_location(spark, "clean_txn", [table_path(sf_dir, t) for t in S.STANDIN_TABLES],
-                          TXN_SCHEMA)
+    return table_location(**_clean_table(spark, sf_dir))
 
 
 def trend(spark: SparkSession, sf_dir: str, with_ordinal: bool = False) -> DataFrame:
@@ -701,19 +702,56 @@ def q_envelope_scan(spark, d):
     return clean.clean_transactions(envelope.read_envelopes(spark, envelope_files(spark, d)))
 
 
+def _pages(spark: SparkSession, d: str, required: dict | None = None) -> month_source.StoredPages:
+    return month_source.StoredPages(spark, envelope_files(spark, d), required)
+
+
 @query("month_source", f"with {TXN} select * from txn")
 def q_month_source(spark, d):
-    return clean.clean_transactions(month_source.read_month_source(spark, envelope_files(spark, d)))
+    pages = _pages(spark, d)
+    return clean.clean_transactions(month_source.read_month_source(spark, pages, pages.months()))
 
 
 @query("month_source_pruned", f"""with {TXN}
 select * from txn where month in ('1995-03', '1998-07', '2001-11')""")
 def q_month_source_pruned(spark, d):
-    # The month predicate reaches the source (pushFilters): only three
-    # months' files are listed and read.
-    src = month_source.read_month_source(spark, envelope_files(spark, d))
-    picked = src.where(F.col("month").isin("1995-03", "1998-07", "2001-11"))
-    return clean.clean_transactions(picked)
+    # Three requests; a month the store does not know has no records.
+    asked = ["1995-03", "1998-07", "2001-11", "1900-01"]
+    return clean.clean_transactions(month_source.read_month_source(spark, _pages(spark, d), asked))
+
+
+@query("month_source_in_filter", f"""with {TXN}
+select * from txn where month in ('1995-03', '1998-07', '2001-11')""")
+def q_month_source_in_filter(spark, d):
+    # Every record comes a second time without a month: null is not IN the list.
+    pages = _pages(spark, d)
+    src = month_source.read_month_source(spark, S.Undated(pages), pages.months())
+    return clean.clean_transactions(src.where(F.col("month").isin("1995-03", "1998-07", "2001-11")))
+
+
+@query("month_source_limit", f"""with {RAW}
+select month, least(count(*), 5) as n from raw group by month""")
+def q_month_source_limit(spark, d):
+    pages = _pages(spark, d)
+    return (month_source.read_month_source(spark, pages, pages.months(), fields=["month", "town"], limit=5)
+            .groupBy("month").agg(F.count("*").alias("n")))
+
+
+@query("month_source_header", f"""with {RAW}
+select month, town, count(*) as n from raw group by month, town""")
+def q_month_source_header(spark, d):
+    # The store refuses requests without the key.
+    pages = _pages(spark, d, required={"x-api-key": "k1"})
+    return (month_source.read_month_source(spark, pages, pages.months(), fields=["month", "town"], header={"x-api-key": "k1"})
+            .groupBy("month", "town").agg(F.count("*").alias("n")))
+
+
+@query("month_source_skip", f"""with {TXN}
+select * from txn where month not in ('1995-03', '1998-07', '2001-11')""")
+def q_month_source_skip(spark, d):
+    pages = _pages(spark, d)
+    lost = S.Outage(pages, ["1995-03", "1998-07", "2001-11"])
+    return clean.clean_transactions(month_source.read_month_source(spark, lost, pages.months(), on_error="skip"))
 
 
 @query("stored_months_pruned", f"""with {TXN}

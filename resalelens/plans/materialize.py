@@ -11,8 +11,15 @@ writes a DataFrame once as a month-partitioned parquet table under
 * the lineage is cut: a lost executor re-reads files instead of re-running
   the joins;
 * the table is keyed by a fingerprint of its inputs (paths, sizes, modify
-  times), so changed inputs give a new table and a finished table is reused
-  (a table counts as finished only with Spark's ``_SUCCESS`` marker).
+  times), so changed inputs give a new table and a finished table is reused.
+
+Paths are resolved by Spark alone -- listing by its binary-file reader,
+look-up by its Hadoop configuration -- so a path without a scheme means the
+same folder here as in ``spark.read``.  Each writer writes to a folder of its
+own under the table's folder and Spark's ``_SUCCESS`` file commits it: nothing
+is renamed (no atomic rename on object stores) or deleted (another reader may
+hold it), and a folder a crashed run left behind is never read.  If two
+drivers write the same table, the copy that was finished first is read.
 
 Rows are rebalanced on the partition column before the write (AQE's
 ``rebalance``: a month larger than the advisory partition size is split
@@ -31,36 +38,24 @@ import uuid
 from collections import defaultdict
 from collections.abc import Callable, Sequence
 
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from resalelens.session import checkpoint_dir
 
 
-def _info(path: str):
-    uri = path if "://" in path else "file://" + os.path.abspath(path)
-    fs, p = pafs.FileSystem.from_uri(uri)
-    return fs, p
-
-
-def fingerprint(paths: Sequence[str], salt: str = "") -> str:
+def fingerprint(spark: SparkSession, paths: Sequence[str], salt: str = "") -> str:
     """Hash of the input files' names, sizes and modify times.
 
     The files are listed on every call: a new file anywhere below an input
-    gives a new hash, also within one process.
+    gives a new hash, also within one process.  Only the listing is read, never
+    the contents, and it is reduced to one row by Spark.
     """
-    h = hashlib.sha256(salt.encode())
-    for path in sorted(paths):
-        fs, p = _info(path)
-        info = fs.get_file_info(p)
-        if info.type == pafs.FileType.Directory:
-            infos = fs.get_file_info(pafs.FileSelector(p, recursive=True))
-        else:
-            infos = [info]
-        for i in sorted(infos, key=lambda x: x.path):
-            h.update(f"{i.path}|{i.size}|{i.mtime_ns}".encode())
-    return h.hexdigest()[:20]
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .load(sorted(paths)).select(F.xxhash64("path", "length", "modificationTime").alias("h"), "length"))
+    state = files.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"), F.bit_xor("h").alias("h")).first()
+    return hashlib.sha256(f"{salt}|{state.n}|{state.bytes}|{state.h}".encode()).hexdigest()[:20]
 
 
 _CODE: list[str] = []
@@ -81,41 +76,35 @@ def code_version() -> str:
     return _CODE[0]
 
 
-def _finished(path: str) -> bool:
-    fs, p = _info(path)
-    return fs.get_file_info(p.rstrip("/") + "/_SUCCESS").type == pafs.FileType.File
+_LOCKS: dict[str, threading.Lock] = defaultdict(threading.Lock)
+_WRITTEN: dict[str, str] = {}
 
 
-_LOCKS: dict[str, threading.Lock] = defaultdict(threading.Lock)
+def _finished(spark: SparkSession, path: str) -> str | None:
+    """The committed folder under ``path`` that was finished first; None without any."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- Spark Connect: no file look-up, what this process wrote counts
+        return _WRITTEN.get(path)
+    glob = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
+    found = glob.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(glob) or []
+    done = sorted((f.getModificationTime(), f.getPath().getParent().getName()) for f in found)
+    return f"{path}/{done[0][1]}" if done else None
 
 
-def _publish(path: str, write: Callable[[str], None]) -> None:
-    """Run ``write`` into a private folder, then move it to ``path``.
+def _publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> str:
+    """The finished folder under ``path``; ``write`` makes one where there is none.
 
-    Concurrent callers in this process wait for the first; a caller in
-    another process that finishes first wins and the later copy is dropped.
-    A folder left without ``_SUCCESS`` by a crashed run is replaced.
+    Concurrent callers in this process wait for the first.
     """
     with _LOCKS[path]:
-        if _finished(path):
-            return
-        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
-        write(tmp)
-        fs, p = _info(path)
-        _, t = _info(tmp)
-        if _finished(path):
-            fs.delete_dir(t)
-            return
-        if fs.get_file_info(p).type != pafs.FileType.NotFound:
-            fs.delete_dir(p)
-        fs.move(t, p)
-
-
-def table_location(spark: SparkSession, name: str, inputs: Sequence[str], schema: T.StructType,
-                   partition_by: str | None = "month", version: str = "1") -> str:
-    """Folder of the table ``materialized`` writes for these arguments."""
-    key = fingerprint(inputs, salt=f"{name}|{version}|{code_version()}|{partition_by}|{schema.simpleString()}")
-    return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{key}")
+        done = _finished(spark, path)
+        if done is None:
+            target = f"{path}/{uuid.uuid4().hex[:12]}"
+            write(target)
+            _WRITTEN[path] = target
+            done = _finished(spark, path) or target
+    return done
 
 
 def materialized(spark: SparkSession, name: str, inputs: Sequence[str],
@@ -129,26 +118,30 @@ def materialized(spark: SparkSession, name: str, inputs: Sequence[str],
     partition column keeps its declared type); ``version`` must change when
     ``build`` changes meaning.
     """
-    path = table_location(spark, name, inputs, schema, partition_by, version)
+    path = table_location(spark, name, inputs, build, schema, partition_by, cluster_by, version)
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+
+
+def table_location(spark: SparkSession, name: str, inputs: Sequence[str],
+                   build: Callable[[], DataFrame], schema: T.StructType,
+                   partition_by: str | None = "month", cluster_by: Sequence[str] = (),
+                   version: str = "1") -> str:
+    """Folder of the table ``materialized`` reads for these arguments (written if needed)."""
     def write(target: str) -> None:
         df = build().select(*schema.fieldNames())
         if partition_by:
             df = df.hint("rebalance", partition_by).sortWithinPartitions(partition_by, *cluster_by)
-            df.write.mode("overwrite").partitionBy(partition_by).parquet(target)
+            df.write.partitionBy(partition_by).parquet(target)
         else:
-            df.write.mode("overwrite").parquet(target)
+            df.write.parquet(target)
 
-    if not _finished(path):
-        _publish(path, write)
-    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+    key = fingerprint(spark, inputs, salt=f"{name}|{version}|{code_version()}|{partition_by}|{schema.simpleString()}")
+    return _publish(spark, f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{key}", write)
 
 
 def written(spark: SparkSession, name: str, inputs: Sequence[str],
             write: Callable[[str], None], version: str = "1") -> str:
     """Path of files produced once by ``write(path)`` for this input state
     (same keying and completion rule as ``materialized``)."""
-    key = fingerprint(inputs, salt=f"{name}|{version}|{code_version()}")
-    path = os.path.join(checkpoint_dir(spark), "files", f"{name}-{key}")
-    if not _finished(path):
-        _publish(path, write)
-    return path
+    key = fingerprint(spark, inputs, salt=f"{name}|{version}|{code_version()}")
+    return _publish(spark, f"{checkpoint_dir(spark).rstrip('/')}/files/{name}-{key}", write)

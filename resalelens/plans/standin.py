@@ -211,3 +211,28 @@ select p_partkey as post_id,
   (p_size % 4 <> 0) as published, p_name as title, string_split(p_name, ' ') as tags
 from part
 """
+
+
+class Outage:
+    """A fetch that fails for some months, after the first of their records."""
+
+    def __init__(self, fetch, months):
+        self.fetch, self.months = fetch, set(months)
+
+    def __call__(self, month, fields, header):
+        for record in self.fetch(month, fields, header):
+            yield record
+            if month in self.months:
+                raise ConnectionError(f"lost the answer for {month}")
+
+
+class Undated:
+    """A fetch that gives every record a second time without its month."""
+
+    def __init__(self, fetch):
+        self.fetch = fetch
+
+    def __call__(self, month, fields, header):
+        for record in self.fetch(month, fields, header):
+            yield record
+            yield {**record, "month": None}

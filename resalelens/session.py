@@ -17,6 +17,7 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -79,6 +80,15 @@ def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.default.parallelism", "8"))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI on the filesystem Spark resolves it on."""
+    sc = _context(spark)
+    if sc is not None:
+        hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        path = hpath.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(hpath).toString()
+    return "file://" + path.removeprefix("file:") if path.startswith(("file:/", "/")) and "://" not in path else path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")

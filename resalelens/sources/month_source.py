@@ -1,268 +1,167 @@
-"""A month-partitioned source, one request (input partition) per month.
-
-The source application fetches each month with the month equality filter
-and the field list pushed to the remote store, a few months in parallel.
-Here that becomes a Python Data Source:
-
-* ``partitions()`` packs the months' page files into tasks of about
-  ``maxPartitionBytes``, so a hot month is read by many tasks and small
-  months share one; with a per-month ``limit`` (O4, off by default) one
-  task per month applies the cap;
-* ``pushFilters`` accepts ``month = 'YYYY-MM'`` / ``month IN (...)`` and
-  prunes months before any file is opened;
-* the field list is the requested schema (S9-style projection);
-* ``header`` (S5) is handed to an injected ``fetch`` callable, which by
-  default reads the JSON envelope files written by
-  ``sources.envelope.write_envelopes`` under ``path/month=YYYY-MM/``;
-* ``on_error`` = ``fail`` (default) or ``skip`` (a failed month yields no
-  rows, the source's silent behaviour, D15).
-
-For data already stored, a ``partitionBy("month")`` table read through
-Spark's own readers (``read_months``) is the faster path; this source is
-for request-style inputs.
+"""A month-partitioned request source, one request (input partition) per month.
+
+The source application asks a remote store for one month at a time, with the
+month, the field list and a request header, a few months in parallel.  Here
+that is a Python Data Source over ``fetch(month, fields, header)``, which
+returns the records (dicts) of one month:
+
+* ``partitions()`` gives one partition per month asked for; nothing has to
+  exist beforehand, and an empty answer gives no rows;
+* ``month = 'YYYY-MM'`` / ``month IN (...)`` predicates take requests away
+  where the session has ``spark.sql.python.filterPushdown.enabled`` (the
+  defaults of ``session.get_session`` have); Spark still filters the rows;
+* answers stream into Arrow batches of ``BATCH`` records with the declared
+  fields as text; a missing field is null;
+* ``limit`` (O4, off by default) keeps the first records of each month;
+* ``on_error`` = ``fail`` (default) or ``skip`` (D15): a month whose request
+  fails gives none of its rows, every other month all of them.  Only ``skip``
+  holds one month's answer back until it is whole;
+* a record of another month than asked for is an error, never a lost row.
+
+``StoredPages`` answers from JSON envelope files.  Data that is already stored
+is better read by Spark's own readers (``envelope.read_envelopes``,
+``read_months``).
 """
 
 from __future__ import annotations
 
+import base64
 import io
+import itertools
 import json
-import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import pyarrow.json as pajson
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from resalelens.schemas import RAW_FIELDS
-from resalelens.session import default_parallelism
+from resalelens.session import qualified
 
-FORMAT = "monthly_envelopes"
+FORMAT = "monthly_requests"
+#: Records in one Arrow batch.
+BATCH = 10_000
+_PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
+Fetch = Callable[[str, Sequence[str], dict | None], Iterable[dict]]
 
-class MonthPartition(InputPartition):
-    """A read task: ``(month, file)`` pairs, one month or a pack of small files."""
 
-    def __init__(self, key: str, items: list[tuple[str, str]]):
-        super().__init__(key)
-        self.items = items
+class StoredPages:
+    """A fetch over stored pages: JSON Lines envelopes under ``path/month=YYYY-MM/``.
 
+    One page is in memory at a time.  An unknown month has no records.
+    ``required`` names header entries without which a request is refused.
+    """
 
-def _fs(path: str):
-    # Any filesystem pyarrow understands (local, HDFS, object stores).
-    return pafs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
+    def __init__(self, spark: SparkSession, path: str, required: dict | None = None):
+        self.path = qualified(spark, path).rstrip("/")
+        self.required = required or {}
 
+    def _list(self, folder: str):
+        fs, root = pafs.FileSystem.from_uri(folder)
+        return fs, sorted(fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)), key=lambda i: i.path)
 
-def _children(path: str):
-    fs, root = _fs(path)
-    try:
-        infos = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-    except (FileNotFoundError, OSError):
-        return fs, []
-    return fs, infos
+    def months(self) -> list[str]:
+        names = [i.base_name for i in self._list(self.path)[1] if i.type == pafs.FileType.Directory]
+        return [n.split("=", 1)[1] for n in names if n.startswith("month=")]
 
+    def __call__(self, month: str, fields: Sequence[str], header: dict | None) -> Iterator[dict]:
+        if any((header or {}).get(k) != v for k, v in self.required.items()):
+            raise PermissionError(f"request for {month} refused")
+        fs, files = self._list(f"{self.path}/month={month}")
+        for i in files:
+            if i.type == pafs.FileType.File and not i.base_name.startswith((".", "_")):
+                with fs.open_input_stream(i.path) as raw, io.TextIOWrapper(raw, encoding="utf-8") as lines:
+                    for page in filter(str.strip, lines):
+                        for record in (json.loads(page).get("result") or {}).get("records") or []:
+                            yield {f: record.get(f) for f in fields}
 
-def list_month_files(path: str, month: str) -> list[tuple[str, int]]:
-    """``(file, size)`` of the data files of one month."""
-    folder = path.rstrip("/") + f"/month={month}"
-    _, infos = _children(folder)
-    return sorted((f"{folder}/{i.base_name}", i.size or 0) for i in infos
-                  if i.type == pafs.FileType.File and not i.base_name.startswith((".", "_")))
 
-
-def list_months(path: str) -> list[str]:
-    _, infos = _children(path)
-    return sorted(i.base_name.split("=", 1)[1] for i in infos
-                  if i.type == pafs.FileType.Directory and i.base_name.startswith("month="))
-
-
-def read_envelope_file(file: str, header: dict | None = None) -> Iterator[dict]:
-    """Default fetch: records of a JSON Lines envelope file."""
-    fs, p = _fs(file)
-    with fs.open_input_stream(p) as raw, io.TextIOWrapper(raw, encoding="utf-8") as fh:
-        for line in fh:
-            line = line.strip()
-            if not line:
-                continue
-            env = json.loads(line)
-            yield from ((env.get("result") or {}).get("records") or [])
+class MonthRequest(InputPartition):
+    """The request of one month."""
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, schema, options):
-        self.schema = schema
-        self.path = options.get("path")
-        months = options.get("months")
-        self.months = [m.strip() for m in months.split(",")] if months else None
-        self.limit = int(options["limit"]) if options.get("limit") else None
-        self.on_error = options.get("on_error", "fail")
-        self.header = json.loads(options["header"]) if options.get("header") else None
-        self.fetch = options.get("fetch")  # optional "module:function"
-        self.max_bytes = int(options.get("maxPartitionBytes", 128 * 1024 * 1024))
-        self.open_cost = int(options.get("openCostInBytes", 4 * 1024 * 1024))
-        self.parallelism = max(1, int(options.get("parallelism", 8)))
+    def __init__(self, schema: T.StructType, options):
+        self.names = schema.fieldNames()
+        self.months = json.loads(options["months"])
+        self.limit = int(options["limit"]) if "limit" in options else None
+        self.skip = options.get("on_error", "fail") == "skip"
+        self.header = json.loads(options["header"]) if "header" in options else None
+        self.fetch: Fetch = cloudpickle.loads(base64.b64decode(options["fetch"]))
 
+    def partitions(self):
+        return [MonthRequest(m) for m in self.months]
+
+    def read(self, partition: MonthRequest):
+        if partition is None or partition.value is None:  # no month is left to ask for
+            return iter(())
+        batches = self._batches(partition.value)
+        if not self.skip:
+            return batches
+        try:
+            return iter(list(batches))
+        except Exception:  # noqa: BLE001 -- the documented meaning of skip
+            return iter(())
+
+    def _batches(self, month: str) -> Iterator[pa.RecordBatch]:
+        records = itertools.islice(iter(self.fetch(month, self.names, self.header)), self.limit)
+        schema = pa.schema([(n, pa.string()) for n in self.names])
+        while block := list(itertools.islice(records, BATCH)):
+            if any(r.get("month", month) not in (month, None) for r in block):
+                raise ValueError(f"records of another month in the answer for {month}")
+            yield pa.RecordBatch.from_pydict({n: [_text(r.get(n)) for r in block] for n in self.names}, schema=schema)
+
+
+class _PruningReader(_Reader):
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("month",):
-                self._narrow([str(f.value)])
-            elif isinstance(f, In) and f.attribute == ("month",):
-                self._narrow([str(v) for v in f.value])
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("month",):
+                wanted = [f.value] if isinstance(f, EqualTo) else f.value
+                self.months = [m for m in self.months if m in wanted]
             yield f  # months only prune the requests; Spark still filters the rows
 
-    def _narrow(self, months):
-        self.months = [m for m in (self.months or months) if m in months]
 
-    def partitions(self):
-        """With a per-month ``limit`` or ``on_error=skip``: one task per month.  Otherwise files
-        are packed like Spark's file sources do: each file costs its size
-        plus ``openCostInBytes``, and a task takes up to
-        ``min(maxPartitionBytes, max(openCostInBytes, total / parallelism))``
-        -- a large month spreads over many tasks, small months share one,
-        and small inputs still use every core."""
-        months = self.months if self.months is not None else list_months(self.path)
-        parts: list[MonthPartition] = []
-        if self.limit is not None or self.on_error == "skip":
-            for m in months:
-                parts.append(MonthPartition(m, [(m, f) for f, _ in list_month_files(self.path, m)]))
-            return parts or [MonthPartition("empty", [])]
-        listed = [(m, f, n + self.open_cost) for m in months for f, n in list_month_files(self.path, m)]
-        total = sum(n for _, _, n in listed)
-        target = min(self.max_bytes, max(self.open_cost, total // self.parallelism))
-        pack: list[tuple[str, str]] = []
-        size = 0
-        for m, f, n in listed:
-            if pack and size + n > target:
-                parts.append(MonthPartition(f"p{len(parts)}", pack))
-                pack, size = [], 0
-            pack.append((m, f))
-            size += n
-        if pack or not parts:
-            parts.append(MonthPartition(f"p{len(parts)}", pack))
-        return parts
-
-    def _fetch_fn(self):
-        if not self.fetch:
-            return read_envelope_file
-        mod, fn = self.fetch.split(":")
-        return getattr(__import__(mod, fromlist=[fn]), fn)
-
-    def read(self, partition: MonthPartition):
-        """Yield Arrow record batches (parsed by pyarrow's JSON reader) for
-        the default envelope files; an injected ``fetch`` yields records."""
-        if self.on_error == "skip":
-            # One month per task: a month that fails gives none of its rows,
-            # every other month all of them.
-            try:
-                batches = list(self._batches(partition))
-            except Exception:  # noqa: BLE001 -- the documented meaning of skip
-                return
-            yield from batches
-        else:
-            yield from self._batches(partition)
-
-    def _batches(self, partition: MonthPartition):
-        names = [f.name for f in self.schema.fields]
-        left = self.limit
-        for month, file in partition.items:
-            if left is not None and left <= 0:
-                return
-            if self.fetch:
-                batch = _records_to_batch(self._fetch_fn()(file, self.header), names)
-            else:
-                batch = _envelope_file_batch(file, names)
-            _check_month(batch, month)
-            if left is not None:
-                batch = batch.slice(0, left)
-                left -= batch.num_rows
-            if batch.num_rows:
-                yield batch
-
-
-def _records_to_batch(records, names) -> pa.RecordBatch:
-    cols = {n: [] for n in names}
-    for rec in records:
-        for n in names:
-            v = rec.get(n)
-            cols[n].append(None if v is None else str(v))
-    return pa.RecordBatch.from_pydict(cols, schema=pa.schema([(n, pa.string()) for n in names]))
-
-
-def _envelope_file_batch(file: str, names) -> pa.RecordBatch:
-    fs, p = _fs(file)
-    size = fs.get_file_info(p).size
-    if not size:
-        return _records_to_batch([], names)
-    # A page is one JSON object: the reader's block must hold all of it.
-    with fs.open_input_stream(p) as fh:
-        table = pajson.read_json(fh, read_options=pajson.ReadOptions(block_size=max(1 << 20, size + 1)))
-    if "result" not in table.column_names or table.num_rows == 0:
-        return _records_to_batch([], names)
-    result = table.column("result").combine_chunks()
-    if "records" not in [result.type.field(i).name for i in range(result.type.num_fields)]:
-        return _records_to_batch([], names)
-    recs = pc.struct_field(result, "records").flatten()
-    fields = [recs.type.field(i).name for i in range(recs.type.num_fields)]
-    arrays = []
-    for n in names:
-        if n in fields:
-            arr = pc.struct_field(recs, n)
-            arrays.append(arr if arr.type == pa.string() else pc.cast(arr, pa.string()))
-        else:
-            arrays.append(pa.nulls(len(recs), pa.string()))
-    return pa.RecordBatch.from_arrays(arrays, names=list(names))
-
-
-def _check_month(batch: pa.RecordBatch, month: str) -> None:
-    """A record of another month in a month's answer is an error, not a row to lose."""
-    if "month" in batch.schema.names and month:
-        m = batch.column(batch.schema.get_field_index("month"))
-        other = pc.any(pc.not_equal(m, month)).as_py()
-        if other:
-            raise ValueError(f"records of another month in the answer for {month}")
-
-
-class MonthlyEnvelopeSource(DataSource):
-    """``spark.read.format("monthly_envelopes").option("path", ...)``."""
+def _text(v) -> str | None:
+    """A value as the text it has in JSON (numbers keep their digits)."""
+    return v if v is None or isinstance(v, str) else json.dumps(v)
+
+
+class MonthlyRequestSource(DataSource):
+    """``spark.read.format("monthly_requests")``; see ``read_month_source`` for the options."""
 
     @classmethod
     def name(cls):
         return FORMAT
 
     def schema(self):
-        fields = self.options.get("fields")
-        names = [f.strip() for f in fields.split(",")] if fields else RAW_FIELDS
-        return ", ".join(f"{n} string" for n in names)
+        return T.StructType([T.StructField(n, T.StringType()) for n in json.loads(self.options["fields"])])
 
     def reader(self, schema):
-        return _Reader(schema, self.options)
+        return (_PruningReader if self.options.get("pushdown") == "true" else _Reader)(schema, self.options)
 
 
-def register(spark: SparkSession) -> None:
-    """Register the format; month predicates reach ``pushFilters`` only with
-    Python filter pushdown on (off by default in Spark 4.1), so turn it on."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(MonthlyEnvelopeSource)
+def read_month_source(spark: SparkSession, fetch: Fetch, months: Iterable[str], fields: Sequence[str] = tuple(RAW_FIELDS),
+                      limit: int | None = None, header: dict | None = None, on_error: str = "fail") -> DataFrame:
+    """The records ``fetch(month, fields, header)`` gives for each of ``months`` (see module docstring).
 
-
-def read_month_source(spark: SparkSession, path: str, months=None, fields=None, limit=None,
-                      header: dict | None = None, on_error: str = "fail") -> DataFrame:
-    """Read months through the source (see module docstring)."""
-    register(spark)
-    r = (spark.read.format(FORMAT).option("path", path).option("on_error", on_error)
-         .option("parallelism", str(default_parallelism(spark))))
-    if months is not None:
-        r = r.option("months", ",".join(months))
-    if fields is not None:
-        r = r.option("fields", ",".join(fields))
+    A month named twice is asked for once.  ``fetch`` is pickled into the tasks.
+    """
+    if on_error not in ("fail", "skip"):
+        raise ValueError("on_error must be 'fail' or 'skip'")
+    spark.dataSource.register(MonthlyRequestSource)
+    options = {"fetch": base64.b64encode(cloudpickle.dumps(fetch)).decode(), "months": json.dumps(list(dict.fromkeys(months))),
+               "fields": json.dumps(list(fields)), "on_error": on_error,
+               "pushdown": str(spark.conf.get(_PUSHDOWN, "false")).lower()}
     if limit is not None:
-        r = r.option("limit", str(limit))
+        options["limit"] = str(limit)
     if header is not None:
-        r = r.option("header", json.dumps(header))
-    return r.load()
+        options["header"] = json.dumps(header)
+    return spark.read.format(FORMAT).options(**options).load()
 
 
 def write_months(df: DataFrame, path: str, fmt: str = "parquet") -> None:

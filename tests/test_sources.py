@@ -43,14 +43,22 @@ def test_envelope_write_read_roundtrip(spark):
 
 
 def test_month_source_partitions_pushdown_and_limit(spark, env_dir):
-    df = month_source.read_month_source(spark, env_dir)
-    assert df.count() == 3
+    pages = month_source.StoredPages(spark, env_dir)
+    df = month_source.read_month_source(spark, pages, pages.months())
+    assert pages.months() == ["2024-01", "2024-02", "2024-03"] and df.count() == 3
+    assert df.rdd.getNumPartitions() == 3  # one request a month
     pruned = df.where(F.col("month") == "2024-02")
     assert pruned.count() == 1
-    assert month_source.read_month_source(spark, env_dir, months=["2024-01"], limit=1).count() == 1
-    sub = month_source.read_month_source(spark, env_dir, fields=["month", "resale_price"])
+    assert month_source.read_month_source(spark, pages, ["2024-01"], limit=1).count() == 1
+    sub = month_source.read_month_source(spark, pages, pages.months(), fields=["month", "resale_price"])
     assert sub.columns == ["month", "resale_price"]
-    assert month_source.read_month_source(spark, env_dir, months=["1999-01"]).count() == 0
+    assert month_source.read_month_source(spark, pages, ["1999-01"]).count() == 0
+    assert month_source.read_month_source(spark, pages, []).count() == 0
+
+
+def _all(spark, path, **kw):
+    pages = month_source.StoredPages(spark, str(path))
+    return month_source.read_month_source(spark, pages, kw.pop("months", pages.months()), **kw)
 
 
 def test_month_source_error_modes(spark, tmp_path):
@@ -58,8 +66,10 @@ def test_month_source_error_modes(spark, tmp_path):
     d.mkdir()
     (d / "bad.json").write_text("{not json\n")
     with pytest.raises(Exception):
-        month_source.read_month_source(spark, str(tmp_path)).count()
-    assert month_source.read_month_source(spark, str(tmp_path), on_error="skip").count() == 0
+        _all(spark, tmp_path).count()
+    assert _all(spark, tmp_path, on_error="skip").count() == 0
+    with pytest.raises(ValueError):
+        _all(spark, tmp_path, on_error="ignore")
 
 
 def test_union_history_recent_keeps_overlap(spark):
@@ -103,13 +113,39 @@ def test_records_json(spark):
     assert envelope.records_json(df).first().record == '{"x":1,"y":"a"}'
 
 
-def test_month_source_injected_fetch_gets_header(spark, env_dir):
-    spark.sparkContext.addPyFile(os.path.join(os.path.dirname(__file__), "fetch_helper.py"))
-    month_source.register(spark)
-    df = (spark.read.format(month_source.FORMAT).option("path", env_dir)
-          .option("fetch", "fetch_helper:fetch_with_header")
-          .option("header", json.dumps({"x-api-key": "k1"})).load())
-    assert {r.town for r in df.collect()} == {"k1"} and df.count() == 3
+def test_month_source_fetch_gets_month_fields_and_header(spark):
+    def fetch(month, fields, header):
+        yield {"month": month, "town": header["x-api-key"], "resale_price": len(fields), "more": "dropped"}
+        yield {"month": month, "resale_price": 500000.5}
+
+    rows = month_source.read_month_source(spark, fetch, ["2024-01", "2024-02", "2024-01"], header={"x-api-key": "k1"},
+                                          fields=["month", "town", "resale_price"])
+    assert sorted(map(tuple, rows.collect()), key=repr) == sorted(
+        [(m, *r) for m in ("2024-01", "2024-02") for r in (("k1", "3"), (None, "500000.5"))], key=repr)
+    refused = month_source.read_month_source(spark, fetch, ["2024-01"])
+    with pytest.raises(Exception):
+        refused.count()
+
+
+def test_month_source_filters_prune_requests_only_where_enabled(spark):
+    def fetch(month, fields, header):
+        if month == "2024-09":
+            raise ConnectionError("asked for a month that is not needed")
+        yield {"month": month}
+
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    try:
+        for on in ("true", "false"):
+            spark.conf.set("spark.sql.python.filterPushdown.enabled", on)
+            df = month_source.read_month_source(spark, fetch, ["2024-01", "2024-09"], fields=["month"]).where("month = '2024-01'")
+            if on == "true":
+                assert df.count() == 1
+                assert df.where("month = '2023-01'").count() == 0
+            else:
+                with pytest.raises(Exception):
+                    df.count()
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
 
 
 def _page(folder, month, records, name="p.json"):
@@ -123,13 +159,13 @@ def test_month_source_large_pages_bad_months_and_null_months(spark, tmp_path):
     big = [{"month": "2024-01", "town": "T" * 200, "resale_price": str(i)} for i in range(10_000)]
     _page(tmp_path, "2024-01", big)
     _page(tmp_path, "2024-02", [{"month": None, "town": "A"}, {"month": "2024-02", "town": "B"}])
-    df = month_source.read_month_source(spark, str(tmp_path))
+    df = _all(spark, tmp_path)
     assert df.count() == 10_002  # a page larger than one reader block
     assert df.where(df.month.isin("2024-01", "2024-02")).count() == 10_001  # null months are not "in"
     (tmp_path / "month=2024-03").mkdir()
     (tmp_path / "month=2024-03" / "p.json").write_text("{broken")
     _page(tmp_path, "2024-04", [{"month": "2020-01", "town": "lost"}])
     _page(tmp_path, "2024-05", [{"month": "2024-05", "town": "C"}])
-    assert month_source.read_month_source(spark, str(tmp_path), on_error="skip").count() == 10_003
+    assert _all(spark, tmp_path, on_error="skip").count() == 10_003
     with pytest.raises(Exception, match="another month"):
-        month_source.read_month_source(spark, str(tmp_path), months=["2024-04"]).count()
+        _all(spark, tmp_path, months=["2024-04"]).count()
