@@ -231,6 +231,14 @@ def storey_share(txn: DataFrame, threshold: float = MILLION, high_from: int = 10
                       F.coalesce(low >= F.lit(high_from), F.lit(False)).alias("high_floor"))
 
 
+def high_storey_share(txn: DataFrame, threshold: float = MILLION, above: int = 10, digits: int = 2) -> DataFrame:
+    """N11 as one figure: n million-dollar sales, n_high of them wholly above storey ``above``, and their pct."""
+    t = txn.where(F.col("price") >= F.lit(threshold)).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(F.when(storey_low(F.col("floor")) > F.lit(above), 1)).alias("n_high"))
+    return t.select("n", "n_high", percent(F.col("n_high"), F.col("n"), digits).alias("pct"))
+
+
 def min_area_million(txn: DataFrame, threshold: float = MILLION, digits: int = 2) -> DataFrame:
     """Smallest area (sqft) among million-dollar sales (one row)."""
     return txn.where(F.col("price") >= F.lit(threshold)).agg(round_half_away(F.min("area_sqft"), digits).alias("min_area_sqft"))

@@ -442,6 +442,29 @@ def q_box_stats(spark, d):
     return boxstats.box_stats(S.ratio_values(spark, d), "value", ["grp"], digits=4)
 
 
+def _hazen(p: float) -> str:
+    at = f"greatest(1, least(len(l), len(l) * {p} + 0.5))"
+    return f"l[floor({at})::int] + ({at} - floor({at})) * (l[ceil({at})::int] - l[floor({at})::int])"
+
+
+@query("quartiles_hazen", f"""with r as ({S.RATIO_SQL}), a as (select grp, list(value order by value) as l from r where value is not null group by grp)
+select grp, round({_hazen(0.25)}, 4) as q1, round({_hazen(0.5)}, 4) as median, round({_hazen(0.75)}, 4) as q3 from a""")
+def q_quartiles_hazen(spark, d):
+    box = boxstats.box_stats(S.ratio_values(spark, d), "value", ["grp"], digits=4, definition="hazen")
+    return box.select("grp", "q1", "median", "q3")
+
+
+#: Group N has only null values: it is kept, with n = 0 and no quartiles.
+_GAPS_SQL = """select l_returnflag as grp, case when l_returnflag <> 'N' and l_linenumber > 2 then l_quantity end as value from lineitem"""
+
+
+@query("box_stats_null_groups", "with " + box_sql(_GAPS_SQL, "value", ["grp"]))
+def q_box_stats_null_groups(spark, d):
+    gaps = read_table(spark, d, "lineitem").select(F.col("l_returnflag").alias("grp"), F.when(
+        (F.col("l_returnflag") != "N") & (F.col("l_linenumber") > 2), F.col("l_quantity")).alias("value"))
+    return boxstats.box_stats(gaps, "value", ["grp"], digits=4)
+
+
 @query("box_outliers", f"""with r as ({S.RATIO_SQL}),
 q as (select grp, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from r group by grp)
 select r.grp, r.value from r join q on r.grp = q.grp
@@ -616,6 +639,14 @@ def q_storey_share(spark, d):
     return N.storey_share(txn(spark, d))
 
 
+@query("high_storey_share", f"""with {TXN},
+a as (select count(*) as n, count(*) filter (where try_cast(split_part(floor, '-', 1) as integer) > 10) as n_high
+  from txn where {MIL})
+select n, n_high, {pct('n_high', 'n', 2)} as pct from a""")
+def q_high_storey_share(spark, d):
+    return N.high_storey_share(txn(spark, d))
+
+
 @query("min_area_million", f"""with {TXN}
 select round(min(area_sqft), 2) as min_area_sqft from txn where {MIL}""")
 def q_min_area_million(spark, d):
@@ -662,6 +693,12 @@ def q_bulk_sales(spark, d):
     return N.bulk_sales(S.private_sales(txn(spark, d)))
 
 
+@query("single_unit_sales", f"""with p as ({S.PRIVATE_SQL})
+select month, property_type, nettPrice, noOfUnit from p where noOfUnit <= 1""")
+def q_single_unit_sales(spark, d):
+    return N.drop_bulk(S.private_sales(txn(spark, d)))
+
+
 # ---------------------------------------------------------------------------
 # Sources and sinks
 # ---------------------------------------------------------------------------
@@ -678,6 +715,22 @@ def q_union_history_recent(spark, d):
     return history.union_history_recent(hist, recent)
 
 
+@query("history_scan", f"""with {RAW}
+select month, town, cast(resale_price as double) as resale_price from raw""")
+def q_history_scan(spark, d):
+    # Stored documents carry the store's _id; the freshly asked month has no records.
+    path = written(spark, "history", [table_path(d, t) for t in S.STANDIN_TABLES],
+                   lambda p: S.raw_trend(spark, d).withColumn("_id", F.uuid()).write.parquet(p))
+    return history.union_history_recent(history.read_history(spark, path),
+                                        history.empty_frame(spark, history.HISTORY))
+
+
+@query("records_json", """
+select cast(to_json({'event_id': event_id, 'user_id': user_id, 'event_type': event_type}) as varchar) as record from events""")
+def q_records_json(spark, d):
+    return envelope.records_json(read_table(spark, d, "events").select("event_id", "user_id", "event_type"))
+
+
 @query("json_field_exists", """
 select event_id, json_extract_string(props, '$.k') as k from events
 where list_contains(json_keys(props), 'k')""")
