@@ -21,16 +21,31 @@ Defined results: a null text stays null and has no lines; rows that repeat an
 (id, text) get the same result, as one document; a null id sorts first; texts
 of one line never change; an empty table gives no rows; the other columns of
 the documents are returned untouched by ``drop_repeated_chunks``.
+
+Chunks are whole or not found at all: the ends of a shared passage stay, and a
+short passage may hold no whole chunk.  ``drop_repeated_passages`` (the
+pipeline's stage) has no such gaps: every two adjacent lines that hold a word,
+and every line of more than ``LONG_LINE`` words, are a unit; units are counted
+by SHA-256 digest over the whole corpus, the first occurrence stays, and the
+lines of every later one go.  So a repeated run of two lines or more goes
+whole, wherever it starts and whatever stands around it, while the first
+occurrence of each line is never removed.  Null, empty and repeated rows are
+treated as above; a text of one long line that occurred before becomes empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resalelens.llm.common import KeyFilter, let, stored
+from resalelens.llm.common import KeyFilter, let, stored, word_count
 
 MIN_LINES = 2
+#: A line of more words is a passage by itself.
+LONG_LINE = 50
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def chunks(text: Column) -> Column:
@@ -64,7 +79,7 @@ def _chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
                     F.posexplode(F.transform(chunks(text), lambda c: F.when(F.size(c) >= MIN_LINES, F.array_join(c, "\n"))))
                     .alias("no", "chunk"))
-            .where(F.rlike("chunk", F.lit(r"[^\x20\x09-\x0D]")))
+            .where(F.rlike("chunk", F.lit(_WORD)))
             .withColumn("digest", F.xxhash64("chunk")))
 
 
@@ -96,32 +111,97 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     changed.  ``counts`` adds the numbers of removed chunks and lines
     (``n_chunks_gone``, ``n_lines_gone``) as last columns.
     """
-    gone = stored(repeated_chunks(docs, id_col, text_col), "gone").select(
-        F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "gone")
+    gone = stored(repeated_chunks(docs, id_col, text_col), "gone")
+
+    def left(text: Column) -> Column:
+        return let(chunks(text), lambda c: let(
+            F.filter(c, lambda x, i: ~F.array_contains("gone", i)),
+            lambda kept: F.struct(F.array_join(F.flatten(kept), "\n").alias("text"), (F.size(c) - F.size(kept)).alias("chunks"),
+                                  (F.size(F.flatten(c)) - F.size(F.flatten(kept))).alias("lines"))))
+
+    return _rewritten(docs, gone, left, id_col, text_col, n_chars_col, ["chunks", "lines"] if counts else [])
+
+
+def _rewritten(docs: DataFrame, gone: DataFrame, left: Callable[[Column], Column], id_col: str, text_col: str,
+               n_chars_col: str | None, counts: list[str]) -> DataFrame:
+    """``docs`` with ``left(text)["text"]`` for the texts in ``gone`` (doc_id, text_hash, gone); its
+    fields ``counts`` are added as ``n_<field>_gone``."""
+    kind = gone.schema["gone"].dataType
+    n = gone.count()
+    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "gone")
     names = [f"d{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names))
     text = F.col(at[text_col]).cast("string")
-    # Only texts that may lose a chunk are shuffled; the others pass as they are.
+    # Only texts that may lose lines are shuffled; the others pass as they are.
     rows = docs.toDF(*names).withColumn("t_hash", F.xxhash64(text))
-    changed = KeyFilter(gone, F.col("g_hash"), gone.count())
+    changed = KeyFilter(gone, F.col("g_hash"), n)
     joined = (changed.maybe(rows, F.col("t_hash"))
               .join(gone, F.col(at[id_col]).eqNullSafe(F.col("g_id")) & (F.col("t_hash") == F.col("g_hash")), "left")
               .drop("g_id", "g_hash")
-              .unionByName(changed.surely_not(rows, F.col("t_hash")).withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))))
-    left = let(chunks(text), lambda c: let(
-        F.filter(c, lambda x, i: ~F.array_contains("gone", i)),
-        lambda kept: F.struct(F.array_join(F.flatten(kept), "\n").alias("text"), (F.size(c) - F.size(kept)).alias("chunks"),
-                              (F.size(F.flatten(c)) - F.size(F.flatten(kept))).alias("lines"))))
-    joined = joined.withColumn("new", F.when(F.col("gone").isNotNull(), left))
+              .unionByName(changed.surely_not(rows, F.col("t_hash")).withColumn("gone", F.lit(None).cast(kind))))
+    joined = joined.withColumn("new", F.when(F.col("gone").isNotNull(), left(text)))
     out = [F.coalesce("new.text", text).alias(c) if c == text_col
            else F.when(F.col("new").isNotNull(), F.length("new.text").cast(docs.schema[c].dataType)).otherwise(F.col(n)).alias(c)
            if c == n_chars_col else F.col(n).alias(c) for c, n in at.items()]
-    if counts:
-        out += [F.coalesce("new.chunks", F.lit(0)).cast("long").alias("n_chunks_gone"),
-                F.coalesce("new.lines", F.lit(0)).cast("long").alias("n_lines_gone")]
+    out += [F.coalesce(f"new.{c}", F.lit(0)).cast("long").alias(f"n_{c}_gone") for c in counts]
     return joined.select(*out)
 
 
+def _units(text: Column) -> Column:
+    """Array of (no, size, digest) of a text: its units, ``size`` lines from line ``no`` on."""
+    def unit(no: Column, size: int, digest: Column, wanted: Column) -> Column:
+        return F.when(wanted, F.struct(no.alias("no"), F.lit(size).alias("size"), F.unhex(digest).alias("digest")))
+
+    def of(lines: Column) -> Column:
+        h = F.transform(lines, lambda x: F.struct(F.sha2(x, 256).alias("sha"), F.rlike(x, F.lit(_WORD)).alias("word"),
+                                                  F.when(F.length(x) > 2 * LONG_LINE, word_count(x) > LONG_LINE)
+                                                  .otherwise(F.lit(False)).alias("long")))
+
+        def units(h: Column) -> Column:
+            # Digests have one length, so a pair's digest stands for both lines in order.
+            def here(x: Column, i: Column) -> Column:
+                y = F.get(h, i + 1)
+                return F.array(unit(i, 2, F.sha2(F.concat(x["sha"], y["sha"]), 256), y.isNotNull() & (x["word"] | y["word"])),
+                               unit(i, 1, x["sha"], x["long"]))
+
+            return F.filter(F.flatten(F.transform(h, here)), lambda u: u.isNotNull())
+
+        return let(h, units)
+
+    return let(F.split(text, "\n"), of)
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, gone): the lines (numbered from 0) to remove from each document that has any."""
+    text = F.col(text_col).cast("string")
+    rows = (docs.where(text.isNotNull())
+            .select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.inline(_units(text))))
+    at = F.struct("doc_id", "text_hash", "no")
+    often = stored(rows.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+                   .where(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "units")
+    key = F.xxhash64("digest")
+    later = (KeyFilter(often, key, often.count()).maybe(rows, key).join(often, "digest")
+             .where(~at.eqNullSafe(F.col("first"))))
+    spans = later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("no", "size")).alias("spans"))
+    return spans.select("doc_id", "text_hash", F.array_distinct(F.flatten(F.transform(
+        "spans", lambda s: F.sequence(s["no"], s["no"] + s["size"] - 1)))).alias("gone"))
+
+
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                           n_chars_col: str | None = None, counts: bool = False) -> DataFrame:
+    """``docs`` without the lines of repeated passages; parameters as ``drop_repeated_chunks``
+    (``counts`` adds ``n_lines_gone``)."""
+    gone = stored(repeated_passages(docs, id_col, text_col), "gone")
+
+    def left(text: Column) -> Column:
+        return let(F.split(text, "\n"), lambda lines: let(
+            F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")),
+            lambda kept: F.struct(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n").alias("text"),
+                                  (F.size(lines) - F.size(kept)).alias("lines"))))
+
+    return _rewritten(docs, gone, left, id_col, text_col, n_chars_col, ["lines"] if counts else [])
+
+
 #: DuckDB text for ``(doc_id, text, n_chunks_gone, n_lines_gone)`` of table ``{docs}``.
 #: Needs distinct ids (the hash that orders equal ids is Spark's).
 SQL = """
@@ -142,3 +222,18 @@ from {docs} d left join (
         sum(lines) filter (rn > 1) as n_lines_gone
     from k group by doc_id) x on d.doc_id = x.doc_id
 """
+
+#: DuckDB text for ``(doc_id, text, n_lines_gone)`` of table ``{docs}`` by repeated passages; needs distinct ids.
+PASSAGE_SQL = """
+with l as (select doc_id, u.i as i, u.line as line from (
+    select doc_id, unnest([{{'i': k, 'line': string_split(text, chr(10))[k]}} for k in range(1, len(string_split(text, chr(10))) + 1)]) as u
+    from {docs} where text is not null)),
+p as (select doc_id, i, 2 as size, line || chr(10) || lead(line) over (partition by doc_id order by i) as unit from l
+    union all select doc_id, i, 1, line from l where len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) > 50),
+k as (select *, row_number() over (partition by unit order by doc_id, i) as rn from p where regexp_matches(unit, '[^\\x20\\x09-\\x0D]')),
+g as (select distinct doc_id, unnest(range(i, i + size)) as i from k where rn > 1),
+x as (select l.doc_id, string_agg(line, chr(10) order by l.i) filter (g.i is null) as text, count(g.i) as n
+    from l left join g on l.doc_id = g.doc_id and l.i = g.i group by l.doc_id)
+select d.doc_id, case when d.text is null then null else coalesce(x.text, '') end as text, cast(coalesce(x.n, 0) as bigint) as n_lines_gone
+from {docs} d left join x on d.doc_id = x.doc_id
+"""

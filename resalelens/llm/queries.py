@@ -72,6 +72,12 @@ def op4_line_dedup(spark, d):
     return line_dedup.drop_repeated_chunks(docs, counts=True)
 
 
+@query("op4_passage_dedup", line_dedup.PASSAGE_SQL.format(docs="documents"))
+def op4_passage_dedup(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_passages(docs, counts=True)
+
+
 @query("op5_pii")
 def op5_pii(spark, d):
     return pii.replace_pii(table(spark, d, "documents"))

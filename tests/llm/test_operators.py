@@ -201,6 +201,52 @@ def test_line_dedup(spark, docs, empty):
     assert [x for c in cut for x in c] == TEXTS[9].split("\n") and all(len(c) > 1 for c in cut[1:-1])
 
 
+def _without_passages(docs):
+    """(id, text) of distinct ids, in order of id, without the lines of units that occurred before."""
+    seen, out = set(), []
+    for i, text in sorted(docs):
+        lines = text.split("\n")
+        gone = set()
+        for k, x in enumerate(lines):
+            for size, unit in ((2, tuple(lines[k:k + 2])), (1, (x,))):
+                if len(unit) != size or not re.search(r"[^\x20\x09-\x0D]", "".join(unit)) \
+                        or size == 1 and len(re.findall(r"[^\x20\x09-\x0D]+", x)) <= line_dedup.LONG_LINE:
+                    continue
+                gone.update(range(k, k + size) if unit in seen else ())
+                seen.add(unit)
+        out.append((i, "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return out
+
+
+def test_repeated_passages_go_whole(spark, docs, empty):
+    # Passages of 2 to 6 lines (and one long line) shared mid-text, 12 of each length.
+    rows, want, i = [], {}, 0
+    for size in range(1, 7):
+        for k in range(12):
+            passage = [f"shared {size} {k} {j}" + (" word" * 60 if size == 1 else "") for j in range(size)]
+            for _ in range(2):
+                own = [f"own line {i} {j}" for j in range(6)]
+                rows.append((i, "\n".join([*own[:3], *passage, *own[3:]]), 0, "x"))
+                want[i] = "\n".join(own) if i % 2 else rows[-1][1]
+                i += 1
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, gone string")
+    out = line_dedup.drop_repeated_passages(d.unionByName(d.where("doc_id < 3")), n_chars_col="n_chars", counts=True)
+    assert out.columns == [*d.columns, "n_lines_gone"] and out.count() == len(rows) + 3
+    got = out.collect()
+    assert {r.doc_id: r.text for r in got} == want == dict(_without_passages([r[:2] for r in rows]))
+    assert all(r.n_chars == (len(r.text) if r.doc_id % 2 else 0) and r.gone == "x" for r in got)
+    assert all(r.n_lines_gone == (r.doc_id // 24 + 1 if r.doc_id % 2 else 0) for r in got)
+
+
+def test_repeated_passages_edges(spark, docs, empty):
+    rows = [(1, "a\nb\nc"), (2, "x\na\nb"), (3, "b\nc\nx\na"), (4, "\n\n\n"), (5, "\n\n\n"), (6, ""), (7, "a"), (8, "a"), (9, "r\nr\nr\nr")]
+    d = spark.createDataFrame(rows + [(10, None), (None, "a\nb")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.drop_repeated_passages(d).collect()}
+    assert out.pop(10) is None and out.pop(None) == "a\nb"  # the null id is first
+    assert out == {i: t for i, t in _without_passages([(0, "a\nb"), *rows]) if i}
+    assert line_dedup.drop_repeated_passages(docs).count() == docs.count() and line_dedup.drop_repeated_passages(empty).count() == 0
+
+
 def test_pii(spark, empty):
     texts = ["Mail A.B7@x.example.org or a.b7@X.example.org, call +1 (017) 555-7713.", "call 1-017-555-7713? no: 017-555-7713",
              "ip 10.0.0.1 and 4111 1111 1111 1111 x", "Mr John Smith met Mrs Anna Smith. Mr Smith left. Господин Иванов", None, "", "nothing here",
