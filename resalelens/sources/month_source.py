@@ -15,10 +15,17 @@ returns the records (dicts) of one month:
 * ``limit`` (O4, off by default) keeps the first records of each month;
 * ``on_error`` = ``fail`` (default) or ``skip`` (D15): a month whose request
   fails gives none of its rows, every other month all of them.  Only ``skip``
-  holds one month's answer back until it is whole;
-* a record of another month than asked for is an error, never a lost row.
-
-``StoredPages`` answers from JSON envelope files.  Data that is already stored
+  holds one month's answer back until it is whole, in a file on the worker's
+  disk and not in memory;
+* a request has failed where ``fetch`` raises ``FetchError`` or an ``OSError``
+  (connection errors, refusals), or where a record of another month than asked
+  for is in the answer.  Anything else (memory, a full disk, a fault in
+  ``fetch``) ends the query, also with ``skip``;
+* a fetch with ``parts(month)`` answers a month in parts, ``fetch.part(name,
+  fields, header)`` each; every part is a partition of its own.  ``limit`` and
+  ``skip`` are about whole months, so with them a month is one request.
+
+``StoredPages`` answers from JSON envelope files, one part each.  Data that is already stored
 is better read by Spark's own readers (``envelope.read_envelopes``,
 ``read_months``).
 """
@@ -29,6 +36,7 @@ import base64
 import io
 import itertools
 import json
+import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -50,6 +58,14 @@ _PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 Fetch = Callable[[str, Sequence[str], dict | None], Iterable[dict]]
 
 
+class FetchError(Exception):
+    """A request failed; ``on_error="skip"`` leaves its month out."""
+
+
+class WrongMonthError(ValueError):
+    """The answer for a month has records of another one."""
+
+
 class StoredPages:
     """A fetch over stored pages: JSON Lines envelopes under ``path/month=YYYY-MM/``.
 
@@ -69,20 +85,33 @@ class StoredPages:
         names = [i.base_name for i in self._list(self.path)[1] if i.type == pafs.FileType.Directory]
         return [n.split("=", 1)[1] for n in names if n.startswith("month=")]
 
+    def parts(self, month: str) -> list[str]:
+        files = self._list(f"{self.path}/month={month}")[1]
+        return [f"month={month}/{i.base_name}" for i in files
+                if i.type == pafs.FileType.File and not i.base_name.startswith((".", "_"))]
+
+    def part(self, name: str, fields: Sequence[str], header: dict | None) -> Iterator[dict]:
+        if any((header or {}).get(k) != v for k, v in self.required.items()):
+            raise PermissionError(f"request for {name} refused")
+        fs, root = pafs.FileSystem.from_uri(self.path)
+        with fs.open_input_stream(f"{root}/{name}") as raw, io.TextIOWrapper(raw, encoding="utf-8") as lines:
+            for page in filter(str.strip, lines):
+                try:
+                    records = (json.loads(page).get("result") or {}).get("records") or []
+                except ValueError as e:
+                    raise FetchError(f"a page of {name} cannot be read: {e}") from e
+                for record in records:
+                    yield {f: record.get(f) for f in fields}
+
     def __call__(self, month: str, fields: Sequence[str], header: dict | None) -> Iterator[dict]:
         if any((header or {}).get(k) != v for k, v in self.required.items()):
             raise PermissionError(f"request for {month} refused")
-        fs, files = self._list(f"{self.path}/month={month}")
-        for i in files:
-            if i.type == pafs.FileType.File and not i.base_name.startswith((".", "_")):
-                with fs.open_input_stream(i.path) as raw, io.TextIOWrapper(raw, encoding="utf-8") as lines:
-                    for page in filter(str.strip, lines):
-                        for record in (json.loads(page).get("result") or {}).get("records") or []:
-                            yield {f: record.get(f) for f in fields}
+        for name in self.parts(month):
+            yield from self.part(name, fields, header)
 
 
 class MonthRequest(InputPartition):
-    """The request of one month."""
+    """The request of one month, or of one part of it: (month, part or None)."""
 
 
 class _Reader(DataSourceReader):
@@ -95,26 +124,54 @@ class _Reader(DataSourceReader):
         self.fetch: Fetch = cloudpickle.loads(base64.b64decode(options["fetch"]))
 
     def partitions(self):
-        return [MonthRequest(m) for m in self.months]
+        split = hasattr(self.fetch, "parts") and not self.skip and self.limit is None
+        return [MonthRequest((m, part)) for m in self.months for part in (split and self.fetch.parts(m)) or [None]]
 
     def read(self, partition: MonthRequest):
         if partition is None or partition.value is None:  # no month is left to ask for
             return iter(())
-        batches = self._batches(partition.value)
+        month, part = partition.value
         if not self.skip:
-            return batches
-        try:
-            return iter(list(batches))
-        except Exception:  # noqa: BLE001 -- the documented meaning of skip
-            return iter(())
-
-    def _batches(self, month: str) -> Iterator[pa.RecordBatch]:
-        records = itertools.islice(iter(self.fetch(month, self.names, self.header)), self.limit)
-        schema = pa.schema([(n, pa.string()) for n in self.names])
+            return self._batches(month, self._records(month, part))
+        return self._whole(month)
+
+    def _records(self, month: str, part: str | None = None) -> Iterator[dict]:
+        if part is not None:
+            return iter(self.fetch.part(part, self.names, self.header))
+        return itertools.islice(iter(self.fetch(month, self.names, self.header)), self.limit)
+
+    def _whole(self, month: str) -> Iterator[pa.RecordBatch]:
+        """The batches of a month once its request has succeeded; none if it fails."""
+        failed = []
+
+        def records():
+            # Only what the request itself raises is a failed request, not the writing below.
+            try:
+                yield from self._records(month)
+            except (FetchError, OSError) as e:
+                failed.append(e)
+
+        with tempfile.TemporaryFile() as spool:
+            with pa.ipc.new_stream(spool, self._schema()) as out:
+                try:
+                    for batch in self._batches(month, records()):
+                        out.write_batch(batch)
+                except WrongMonthError as e:
+                    failed.append(e)
+            if failed:
+                return
+            spool.seek(0)
+            with pa.ipc.open_stream(spool) as back:
+                yield from back
+
+    def _schema(self) -> pa.Schema:
+        return pa.schema([(n, pa.string()) for n in self.names])
+
+    def _batches(self, month: str, records: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         while block := list(itertools.islice(records, BATCH)):
             if any(r.get("month", month) not in (month, None) for r in block):
-                raise ValueError(f"records of another month in the answer for {month}")
-            yield pa.RecordBatch.from_pydict({n: [_text(r.get(n)) for r in block] for n in self.names}, schema=schema)
+                raise WrongMonthError(f"records of another month in the answer for {month}")
+            yield pa.RecordBatch.from_pydict({n: [_text(r.get(n)) for r in block] for n in self.names}, schema=self._schema())
 
 
 class _PruningReader(_Reader):

@@ -169,3 +169,57 @@ def test_month_source_large_pages_bad_months_and_null_months(spark, tmp_path):
     assert _all(spark, tmp_path, on_error="skip").count() == 10_003
     with pytest.raises(Exception, match="another month"):
         _all(spark, tmp_path, months=["2024-04"]).count()
+
+
+def test_month_source_skip_leaves_out_failed_requests_only(spark):
+    def read(error, months=("2024-01", "2024-02")):
+        def fetch(month, fields, header):
+            yield {"month": month}
+            if month == "2024-02":
+                raise error
+        return month_source.read_month_source(spark, fetch, months, fields=["month"], on_error="skip")
+
+    for error in (ConnectionError("gone"), TimeoutError("late"), PermissionError("no"), month_source.FetchError("declared")):
+        assert [r.month for r in read(error).collect()] == ["2024-01"]
+    for error in (MemoryError("worker memory"), KeyError("fault in fetch"), ValueError("fault in fetch")):
+        with pytest.raises(Exception, match=type(error).__name__):
+            read(error).collect()
+
+
+def test_month_source_skip_holds_a_month_on_disk():
+    import base64
+
+    import pyarrow as pa
+    from pyspark import cloudpickle
+    from pyspark.sql import types as T
+
+    n = 40 * month_source.BATCH
+
+    def fetch(month, fields, header):
+        for i in range(n):
+            yield {"month": month, "town": f"{i:0100d}"}
+
+    schema = T.StructType([T.StructField("month", T.StringType()), T.StructField("town", T.StringType())])
+    reader = month_source._Reader(schema, {"months": '["2024-01"]', "on_error": "skip",
+                                           "fetch": base64.b64encode(cloudpickle.dumps(fetch)).decode()})
+    part, = reader.partitions()
+    rows = most = 0
+    for batch in reader.read(part):
+        rows += batch.num_rows
+        del batch
+        most = max(most, pa.total_allocated_bytes())
+    assert rows == n and most < n * 100 / 4  # a few batches, not the month
+
+
+def test_stored_pages_split_a_month_by_file(spark, tmp_path):
+    for k in range(3):
+        _page(tmp_path, "2024-01", [{"month": "2024-01", "town": f"{k}{i}"} for i in range(2)], f"p{k}.json")
+    _page(tmp_path, "2024-02", [{"month": "2024-02", "town": "x"}])
+    df = _all(spark, tmp_path)
+    assert df.rdd.getNumPartitions() == 4 and sorted(r.town for r in df.collect()) == ["00", "01", "10", "11", "20", "21", "x"]
+    # A limit and a skipped month are about the whole month.
+    assert _all(spark, tmp_path, limit=1).count() == 2
+    (tmp_path / "month=2024-01" / "p9.json").write_text("{broken")
+    assert [r.town for r in _all(spark, tmp_path, on_error="skip").collect()] == ["x"]
+    with pytest.raises(Exception, match="FetchError"):
+        _all(spark, tmp_path).count()
