@@ -92,9 +92,10 @@ def segment_plan(n: int, max_bits: int = MAX_BITS) -> list[tuple[int, int, int]]
     """[(first bit, width, radius)] covering 64 bits with sum(radius + 1) = max_bits + 1.
 
     Chosen for ``n`` fingerprints: least probes plus expected candidates of
-    one fingerprint, over 1 to max_bits + 1 segments.  Radii above 2 are not used.
+    one fingerprint, over 1 to max_bits + 1 segments.  Radii above 2 are not used,
+    nor cuts without any ball (all radii 0) where another one fits.
     """
-    best = None
+    best = bare = None
     for m in range(1, max_bits + 2):
         base, extra = divmod(max_bits + 1, m)
         radii = [base + (i < extra) - 1 for i in range(m)]
@@ -112,12 +113,15 @@ def segment_plan(n: int, max_bits: int = MAX_BITS) -> list[tuple[int, int, int]]
                 continue
             balls = [sum(math.comb(w, r) for r in range(radius + 1)) for w, radius in zip(widths, radii)]
             cost = sum(balls) + n * sum(b / 2.0 ** w for b, w in zip(balls, widths))
-            if best is None or cost < best[0]:
-                starts = list(itertools.accumulate([0, *widths[:-1]]))
-                best = (cost, list(zip(starts, widths, radii)))
-    if best is None:
+            starts = list(itertools.accumulate([0, *widths[:-1]]))
+            cut = (cost, list(zip(starts, widths, radii)))
+            if max(radii) == 0:
+                bare = cut if bare is None else min(bare, cut)
+            elif best is None or cost < best[0]:
+                best = cut
+    if best is None and bare is None:
         raise ValueError("max_bits is too large for 64-bit fingerprints")
-    return best[1]
+    return (best or bare)[1]
 
 
 def _bit(i: int) -> int:

@@ -178,6 +178,15 @@ def test_links_connect_like_brute_force(spark, bits, limit):
     assert all(got.get(f, f) == find(f) for f in fps)
 
 
+def test_segment_plan_has_a_ball_at_every_size():
+    for bits in (2, 3, 4, 5):
+        for n in (0, 1, 100, 10_000, 25_000, 40_000, 10**6, 10**9):
+            plan = simhash.segment_plan(n, bits)
+            assert max(r for _, _, r in plan) >= 1 and sum(r + 1 for _, _, r in plan) == bits + 1, (n, bits)
+            assert [s for s, _, _ in plan] == [sum(w for _, w, _ in plan[:k]) for k in range(len(plan))] and sum(w for _, w, _ in plan) == 64
+    assert sum(r + 1 for _, _, r in simhash.segment_plan(100, 1)) == 2  # one bit: two bare halves
+
+
 def test_simhash_keeps_one_row_each(docs, empty):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
