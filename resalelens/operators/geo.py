@@ -4,7 +4,9 @@
 the haversine; both are built-in expressions.  For ``within_radius`` a
 bounding-box filter runs first, so that the iteration sees candidate rows
 only and parquet can skip row groups.  Rows
-without usable coordinates are in neither result.
+without usable coordinates are in neither result.  Where the ellipsoid
+iteration does not converge (nearly antipodal points) a row is outside with a
+null ``dist`` if the haversine, less its error, is beyond the radius.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from resalelens.operators.clean import as_double
 from resalelens.functions.geodesy import bounding_box, ellipsoid_m, haversine_m
 
 
+#: The sphere's distance is off the ellipsoid's by less than this share (0.56 % at most).
+_SPHERE_ERROR = 0.01
+
+
 def _coords(df: DataFrame, lat: str, lon: str) -> DataFrame:
     # Coordinates may arrive as text: parse leniently.
     return df.withColumns({lat: as_double(df, lat), lon: as_double(df, lon)}).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
@@ -47,9 +53,12 @@ def within_radius(df: DataFrame, point: tuple[float, float], radius: float = 100
 
 def outside_radius(df: DataFrame, point: tuple[float, float], radius: float = 1000.0,
                    method: str = "ellipsoid", lat: str = "LATITUDE", lon: str = "LONGITUDE") -> DataFrame:
-    """Rows with ``dist > radius``, ``dist`` added."""
-    return (with_distance(df, point, method, lat, lon)
-            .where(F.col("dist") > F.lit(float(radius))))
+    """Rows with ``dist > radius``, ``dist`` added (null where it does not converge, see above)."""
+    r = F.lit(float(radius))
+    usable = F.col(lat).between(-90, 90) & F.col(lon).between(-360, 360)
+    # Lazy: the haversine is evaluated for the rows without a distance only.
+    beyond = F.when(F.col("dist").isNull() & usable, _dist(lat, lon, *point, "sphere") * (1 - _SPHERE_ERROR) > r)
+    return with_distance(df, point, method, lat, lon).where(F.coalesce(F.col("dist") > r, beyond))
 
 
 def proximity_list(df: DataFrame, point: tuple[float, float], radius: float = 1000.0,

@@ -54,3 +54,14 @@ def test_proximity_list_text(spark):
     out = geo.proximity_list(points(spark), PT, 1000, "sphere").collect()
     assert out[0].text == "To same - 0m"
     assert out[1].text.startswith("To near - ") and out[1].text.endswith("m")
+
+
+def test_antipodal_rows_are_outside(spark):
+    data = [("antipode", -PT[0], PT[1] - 180), ("nearly", -PT[0] + 0.1, PT[1] - 179.7), ("near", 1.36, 103.8198),
+            ("nan", float("nan"), 103.8), ("nan lon", 1.3, float("nan")), ("off", 95.0, 1.0)]
+    df = spark.createDataFrame(data, "loc_info string, LATITUDE double, LONGITUDE double")
+    out = {r.loc_info: r.dist for r in geo.outside_radius(df, PT, 1000).collect()}
+    assert {k: out[k] for k in ("antipode", "nearly")} == {"antipode": None, "nearly": None}
+    assert "near" not in out and "nan" not in out and "nan lon" not in out
+    # Not surely beyond: a radius of about half the way round.
+    assert "antipode" not in {r.loc_info for r in geo.outside_radius(df, PT, 20_000_000).collect()}
