@@ -134,7 +134,7 @@ def million_count(trend: DataFrame, threshold: float = MILLION) -> DataFrame:
 
 
 def global_median(trend: DataFrame, value: str = "price", method: str = "sort") -> DataFrame:
-    """Median over all rows (one row).  With ``sort`` the single group
-    is spread over all tasks by value range."""
+    """Median over all rows (one row).  With ``sort`` one task holds the
+    distinct values of the single group in turn."""
     q = group_quantiles(trend.withColumn("_all", F.lit(1)), value, ["_all"], [0.5], ["median_price"], method)
     return q.select("median_price")
