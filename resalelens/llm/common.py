@@ -28,8 +28,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     is removed through Spark's own filesystem layer when the application ends.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, f"llm-{name}")
+    path = temporary_path(spark, name)
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, deleted when the application ends."""
+    path = scratch_path(spark, f"llm-{name}")
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 -- Spark Connect: the service owns clean-up
@@ -37,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if sc is not None:
         hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
         hpath.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hpath)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def lower_ascii(c: Column) -> Column:

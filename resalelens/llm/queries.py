@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from resalelens.llm import (chat, exact_dedup, language_id, line_dedup, mixing, packing, pii, quality,
-                            simhash, url_filter)
-from resalelens.llm.common import table
+from resalelens.llm import (chat, cross_tokens, exact_dedup, language_id, line_dedup, mixing, packing, pii, quality,
+                            simhash, spelling, token_files, url_filter)
+from resalelens.llm.common import table, temporary_path
 from resalelens.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,27 @@ def op10_language_id(spark, d):
     return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op11_cross_tokenizer_alignment")
+def op11_cross_tokenizer_alignment(spark, d):
+    path = corpus_pipeline.tokenizer_path
+    aligned = cross_tokens.align(
+        table(spark, d, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"),
+        payload={"groups_sha256": lambda g: F.when(g == "", "").otherwise(F.sha2(g, 256))})
+    return aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op12_token_files")
+def op12_token_files(spark, d):
+    path = temporary_path(spark, "token-files")
+    token_files.write(table(spark, d, "documents"), path, corpus_pipeline.tokenizer_path("byte_bpe_50k.json"))
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark, d):
+    return spelling.variants(table(spark, d, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, d):
     return corpus_pipeline.run(spark, os.fspath(d))
