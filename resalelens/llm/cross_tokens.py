@@ -41,14 +41,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resalelens.llm.common import stored
-from resalelens.llm.token_ids import byte_bpe, parts, strings
+from resalelens.llm.token_ids import byte_bpe, byte_values, parts, strings
 
 RADIX_BITS = 6
 RUN_RECORDS = 1 << 20
@@ -73,14 +72,6 @@ def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             | (a >> np.uint64(RADIX_BITS)) << np.uint64(_B_BITS) | b.astype(np.uint64))
 
 
-def _byte_values() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable
-    Latin-1 characters are themselves, the other bytes follow from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    others = [x for x in range(256) if x not in set(own)]
-    return {**{chr(x): x for x in own}, **{chr(0x100 + k): x for k, x in enumerate(others)}}
-
-
 class _Bytes:
     """The bytes of every id of a vocabulary."""
 
@@ -101,7 +92,7 @@ class Linker:
         import sentencepiece
         self.a = byte_bpe(byte_path, space=True, plain=True)
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
-        value = _byte_values()
+        value = byte_values()
         vocab = self.a.tokenizer.get_vocab()
         tokens = [b""] * (max(vocab.values()) + 1)
         for t, i in vocab.items():

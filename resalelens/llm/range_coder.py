@@ -61,10 +61,9 @@ class _Model:
     """Predictions, mixing weights and order-0 counts of one block."""
 
     def __init__(self, vocab: int, lanes: int):
-        self.guess1 = np.full(vocab, -1, np.int32)
-        self.sure1 = np.zeros(vocab, np.int8)
-        self.guess2 = np.full(1 << HASH_BITS, -1, np.int32)
-        self.sure2 = np.zeros(1 << HASH_BITS, np.int8)
+        # Predicted id * 8 + confidence.
+        self.table1 = np.full(vocab, -8, np.int32)
+        self.table2 = np.full(1 << HASH_BITS, -8, np.int32)
         self.hits = np.tile(np.array([4, 4, 8], np.int64), (128, 1))  # weights by confidences: order 2, 1, 0
         self.bounds = np.zeros((128, 4), _U)
         self.bounds[:, 3] = 1 << _WEIGHT_BITS
@@ -78,9 +77,10 @@ class _Model:
 
     def predict(self, n: int) -> None:
         """Guesses and confidences for the next id of the first ``n`` lanes; where their share of the interval begins."""
-        self.last, self.place = last, place = self.last[:n], self.place[:n]
-        self.g1, self.s1, self.g2, self.s2 = self.guess1[last], self.sure1[last], self.guess2[place], self.sure2[place]
-        self.mix = ((self.s2 << 4) + (self.s1 << 1) + (self.g1 == self.g2)).astype(np.int64) << 2
+        self.last, self.place = self.last[:n], self.place[:n]
+        self.t1, self.t2 = self.table1.take(self.last), self.table2.take(self.place)
+        self.g1, self.g2 = self.t1 >> 3, self.t2 >> 3
+        self.mix = (((self.t2 & 7) << 4) + ((self.t1 & 7) << 1) + (self.g1 == self.g2)).astype(np.int64) << 2
         share = self.hits * ((1 << _WEIGHT_BITS) - 3) // self.hits.sum(axis=1)[:, None] + 1
         self.bounds[:, 1] = share[:, 0]
         self.bounds[:, 2] = share[:, 0] + share[:, 1]
@@ -106,12 +106,11 @@ class _Model:
         if self.step % 16 == 0:
             self.hits = (self.hits + 1) >> 1
         np.add.at(self.seen, rare, np.int32(32))
-        for at, guess, sure, g, s in ((self.last, self.guess1, self.sure1, self.g1, self.s1),
-                                      (self.place, self.guess2, self.sure2, self.g2, self.s2)):
-            hit = g == small
+        fresh = (small << 3) + 1
+        for at, table, now, guess in ((self.last, self.table1, self.t1, self.g1), (self.place, self.table2, self.t2, self.g2)):
+            sure = now & 7
             # A hit: one surer, 7 at most; a miss: half as sure, and a new guess from 1 or 0 on.
-            sure[at] = _SURER.take((s + (hit.view(np.int8) << 3)).astype(np.int64))
-            guess[at] = np.where(hit | (s <= 1), small, g)
+            table[at] = np.where(guess == small, now + (sure < 7), np.where(sure <= 1, fresh, now - sure + (sure >> 1)))
         self.place = _context(self.last, ids)
         self.last = ids
 
@@ -122,9 +121,6 @@ def _context(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint32(32 - HASH_BITS)).astype(np.int64)
 
 
-_SURER = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.int8)
-
-
 def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     """The block's bytes; ``ids`` are integers below ``vocab``, at least one."""
     ids = np.ascontiguousarray(ids, "<u4")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 CACHE_BYTES = 80_000_000  # each of the two generations of a cache
-PART_BYTES = 4_000_000  # text whose words are looked up together
+PART_BYTES = 8_000_000  # text whose words are looked up together
 _ENTRY = 150  # bytes of an entry beside key and ids
 _LONG = 4096  # keys and ids beyond this size are not kept
 
@@ -38,11 +38,24 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: White space of any kind, then a space (RE2).
 _BEFORE_SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
+#: Letters in every version of Unicode tables.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ʯΑ-ΡΣ-ωА-я]+")
 _AFTER_WORD = re.compile(r"(?<=\S) ")
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ASCII_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
+def byte_values() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable
+    Latin-1 characters are themselves, the other bytes follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [x for x in range(256) if x not in set(own)]
+    return {**{chr(x): x for x in own}, **{chr(0x100 + k): x for k, x in enumerate(others)}}
+
+
+_WRITTEN = {byte: char for char, byte in byte_values().items()}
+
+
 class Cache:
     """Bounded map of words to ids with two generations."""
 
@@ -70,8 +83,9 @@ class Cache:
 
 
 def _looked_up(cache: Cache, keys: list[bytes], learn: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
+    """The ids of each of the distinct ``keys``."""
     got = cache.find(keys)
-    new = list({k for k, v in zip(keys, got) if v is None})
+    new = [k for k, v in zip(keys, got) if v is None]
     if not new:
         return got
     fresh = dict(zip(new, learn(new)))
@@ -182,7 +196,7 @@ class WordBpe(_Encoder):
 
     def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        words = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+        words = lists.flatten().cast(pa.binary()).dictionary_encode()
         flat, n = _joined(words.indices.to_numpy(), self._ids(words.dictionary.to_pylist()))
         return flat, _counts(lists, n)
 
@@ -275,7 +289,7 @@ class ByteBpe(_Encoder):
 
     def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.split_pattern(texts, " ")
-        words = lists.flatten().cast(pa.large_binary()).dictionary_encode()
+        words = lists.flatten().cast(pa.binary()).dictionary_encode()
         codes, known = words.indices.to_numpy(), words.dictionary.to_pylist()
         if self.space:
             ids = self._led(known)
@@ -298,18 +312,28 @@ class ByteBpe(_Encoder):
         return _looked_up(self.bare, texts, lambda new: self._each([t.decode() for t in new]))
 
     def _learn(self, words: list[bytes]) -> list[bytes]:
-        """Words with no space in them and none of any kind at their start are encoded as one
-        text and cut before every id that begins with a space; the rest one by one."""
-        texts = [w.decode() for w in words]
-        plain = [w.isalpha() or (b" " not in w and t != "" and not t[0].isspace() and not any(s in t for s in self.specials))
-                 for w, t in zip(words, texts)]
-        joined = [t for t, p in zip(texts, plain) if p]
-        ids = np.frombuffer(self._each(["".join([" " + t for t in joined])])[0], "<u4")
-        cut = _cut_after(ids, np.append(self.starts[ids[1:]], True)[:len(ids)], len(joined))
+        """Words of letters alone are one piece: its bytes, as the vocabulary writes them, go to the
+        model (marks after ASCII letters are another piece).  Other words with no space in them and none of any kind at their start are encoded
+        as one text and cut before every id that begins with a space; the rest one by one."""
+        one, out, other, rest = self.tokenizer.model.tokenize, {}, [], []
+        for w in words:
+            stem = w if w.isalpha() else w.rstrip(_MARKS)
+            if stem.isalpha():
+                ids = array("I", [t.id for t in one("Ġ" + stem.decode())]).tobytes()
+                out[w] = ids if stem == w else ids + self._bare([w[len(stem):]])[0]
+            elif not w.isascii() and _LETTERS.fullmatch(w.decode()):
+                out[w] = array("I", [t.id for t in one("Ġ" + w.decode("latin-1").translate(_WRITTEN))]).tobytes()
+            elif b" " in w or not w or w.decode()[0].isspace() or any(s.encode() in w for s in self.specials):
+                rest.append(w)
+            else:
+                other.append(w)
+        ids = np.frombuffer(self._each([b"".join([b" " + w for w in other]).decode()])[0], "<u4")
+        cut = _cut_after(ids, np.append(self.starts[ids[1:]], True)[:len(ids)], len(other))
         if cut is None:
-            return self._each([" " + t for t in texts])
-        mine, rest = iter(cut), iter(self._each([" " + t for t, p in zip(texts, plain) if not p]))
-        return [next(mine if p else rest) for p in plain]
+            rest, cut = rest + other, []
+        out.update(zip(other, cut))
+        out.update(zip(rest, self._each([" " + w.decode() for w in rest])))
+        return [out[w] for w in words]
 
 
 @functools.lru_cache(maxsize=4)
