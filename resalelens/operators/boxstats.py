@@ -9,13 +9,12 @@ Plan: pass 1 computes the quartiles per group (see ``method``);
 its result has one row per group and is joined back to the rows on the
 group key -- the planner broadcasts it when its estimate is small and
 shuffles otherwise, and AQE splits a skewed group across tasks.  Pass 2
-aggregates again for whiskers and outlier counts.  With ``sort`` one task
-holds a group's distinct values, for continuous values nearly all its rows.
+aggregates again for whiskers and outlier counts.  No pass gathers a group.
 
 ``method`` picks how quantiles are computed:
 
-* ``"sort"`` (default): exact, by value counts and their running count
-  (``operators.quantiles``); one task sorts a group's distinct values;
+* ``"sort"`` (default): exact, by refinement of the ranges that hold the
+  wanted ranks (``operators.quantiles``; runs a job a round);
 * ``"hash"``: exact, Spark's ``percentile`` (fastest when groups have few
   distinct values; its final merge keeps a group's distinct values in one
   task);

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from resalelens.session import temporary_path
+
 _KEY = "__one"
 
 
@@ -24,3 +28,19 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 def year_of(month_col: str = "month"):
     """``YYYY-MM`` -> ``YYYY`` as int."""
     return F.substring(F.col(month_col), 1, 4).try_cast("int")
+
+
+def same(left: list[str], right: list[str]):
+    """Condition that the columns agree pair by pair, null with null."""
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back.
+
+    Cuts the lineage: what is lost later is read from the files.  The folder
+    goes when the application ends.
+    """
+    path = temporary_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

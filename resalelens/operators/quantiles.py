@@ -1,16 +1,28 @@
-"""Exact per-group quantiles from value counts.
-
-1. rows are counted by (group, value): a partial aggregate, so a repeated
-   value of a hot group collapses in every task before the shuffle;
-2. a running count over the distinct values of a group gives each value's
-   ranks, and the order statistics around ``(n-1)*p`` are the smallest values
-   whose running count passes them; they are interpolated linearly -- the
-   definition of ``quantile_cont`` / ``percentile``.
-
-Every step is a function of the data alone (no partition numbers, no second
-evaluation of a sort).  One task holds the distinct values of a group in
-turn, not its rows.  Null values count for nothing, but their group stays:
-``n = 0`` and null quantiles.
+"""Exact per-group quantiles by refinement.
+
+A quantile needs the values at one or two ranks of its group.  Those are found
+without ever sorting a group:
+
+1. one aggregate gives each group's number of values and the range they lie in;
+2. a range of more than ``SMALL`` rows is cut into ``BRACKETS`` equal brackets
+   and its rows are counted by bracket -- a partial aggregate, so a task ships at
+   most ``BRACKETS`` counts a range however many rows it has.  Running counts over
+   the brackets tell which of them hold a wanted rank; only those (narrowed to
+   the values in them) are left, and step 2 repeats until every range is small or
+   holds one value;
+3. the rows of the remaining ranges are counted by value, and running counts
+   over these few values give the values at the wanted ranks.
+
+Brackets are not cut on the values but on ``order_key``, a 62-bit integer
+that grows with the value and has equal room for each power of two, so
+1e-300 and 1e300 in one group cost a round or two, not hundreds.  Each round
+divides a range by ``BRACKETS``: one round up to four million rows a group, two up
+to four billion.  Windows see at most ``BRACKETS`` brackets, or ``SMALL`` rows' values,
+of a range; rows are never shuffled by their group.
+
+The ranges -- a few rows a group -- are written to the shared folder after each round,
+which also cuts the lineage.  Null values count for nothing, but their group stays:
+``n = 0`` and null quantiles.  NaN is greater than any number, as elsewhere in Spark.
 """
 
 from __future__ import annotations
@@ -20,6 +32,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from resalelens.operators.common import same, stored
+
+#: Brackets of a range in a round, and rows up to which a range is counted by value.
+BRACKETS = 1024
+SMALL = 4096
+
+_SCALE = float(1 << 50)
+_TOP = 2_800_000_000_000_000_000  # infinity; beyond every finite value's key
+_NAN = 3_000_000_000_000_000_000
+
+
+def order_key(value: Column) -> Column:
+    """A long that never falls as the double ``value`` rises; null for null.
+
+    Some 1,000 neighbouring doubles share a key at most.
+    """
+    size = F.abs(value)
+    # The exponent may come out one too high next to a power of two; the key stays monotone.
+    exponent = F.least(F.floor(F.log2(size)).cast("double"), F.lit(1023.0))
+    finite = ((exponent + 1075 + (size / F.pow(F.lit(2.0), exponent) - 1)) * _SCALE).cast("long")
+    key = F.when(size == float("inf"), F.lit(_TOP)).when(size == 0, F.lit(0)).otherwise(finite)
+    return F.when(F.isnan(value), F.lit(_NAN)).when(value < 0, -key).otherwise(key)
+
 
 def _names(ps: Sequence[float]) -> list[str]:
     return [f"q{i}" for i in range(len(ps))]
@@ -35,19 +70,32 @@ def _position(n, p: float, definition: str):
     raise ValueError("definition must be 'linear' or 'hazen'")
 
 
-def ranked_counts(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
-    """(groups, _v, _c, n, _cum): distinct values with their counts, the
-    group's non-null rows and the running count."""
-    g = list(groups)
-    counts = df.select(*g, F.col(value).cast("double").alias("_v")).groupBy(*g, "_v").agg(F.count("_v").alias("_c"))
-    group = Window.partitionBy(*g)
-    upto = group.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("_cum", F.sum("_c").over(upto)).withColumn("n", F.sum("_c").over(group))
+def bracket(key: Column, low: Column, high: Column, brackets: int) -> Column:
+    """Number of the bracket of ``low``..``high`` that holds ``key``, in exact integer arithmetic."""
+    return F.call_function("div", key - low, F.call_function("div", high - low, F.lit(brackets)) + 1)
+
+
+def _refined(keyed: DataFrame, ranges: DataFrame, groups: list[str]) -> DataFrame:
+    """The brackets of ``ranges`` that hold a wanted rank, as ranges."""
+    cut = (_inside(keyed, ranges, groups)
+           .groupBy(*groups, "lo", bracket(F.col("k"), F.col("lo"), F.col("hi"), BRACKETS).alias("b"))
+           .agg(F.count(F.lit(1)).alias("rows"), F.min("k").alias("lo_"), F.max("k").alias("hi_"),
+                F.first("below").alias("below"), F.first("ranks").alias("ranks"), F.first("n").alias("n")))
+    upto = F.col("below") + F.sum("rows").over(Window.partitionBy(*groups, "lo").orderBy("b"))
+    return (cut.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("rows"))
+            .withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("upto"))))
+            .where(F.size("ranks") > 0)
+            .select(*groups, F.col("lo_").alias("lo"), F.col("hi_").alias("hi"), "below", "rows", "n", "ranks"))
+
 
+def _inside(keyed: DataFrame, ranges: DataFrame, groups: list[str]) -> DataFrame:
+    """The rows that lie in a range of their group, with the range's columns.
 
-def value_at(rank: Column) -> Column:
-    """Aggregate: the value at a rank, from ``ranked_counts``."""
-    return F.min(F.when(F.col("_cum") > rank, F.col("_v")))
+    The ranges are small; how they meet the rows is left to the planner's size check.
+    """
+    r = ranges.select(*[F.col(c).alias(f"r_{c}") for c in groups], "lo", "hi", "below", "n", "ranks")
+    on = same(groups, [f"r_{c}" for c in groups]) & F.col("k").between(F.col("lo"), F.col("hi"))
+    return keyed.join(r, on).drop(*[f"r_{c}" for c in groups])
 
 
 def sorted_quantiles(df: DataFrame, value: str, groups: Sequence[str], ps: Sequence[float],
@@ -55,15 +103,27 @@ def sorted_quantiles(df: DataFrame, value: str, groups: Sequence[str], ps: Seque
     """Per group: ``n`` (non-null values) and one column per ``p`` in ``ps``,
     interpolated linearly between the order statistics around the position
     given by ``definition``: ``linear`` = (n-1)p (``quantile_cont``), or
-    ``hazen`` = n*p + 1/2 (1-based)."""
-    g = list(groups)
+    ``hazen`` = n*p + 1/2 (1-based).  Runs a job for each round of refinement."""
+    g = [f"g{i}" for i in range(len(groups))]
     names = list(names or _names(ps))
-    ranked = ranked_counts(df, value, g)
-    ends = [end for p in ps for end in (F.floor(_position(F.col("n"), p, definition)), F.ceil(_position(F.col("n"), p, definition)))]
-    per = ranked.groupBy(*g).agg(F.first("n").alias("n"), *[value_at(r).alias(f"_e{i}") for i, r in enumerate(ends)])
-    out = [*g, "n"]
-    for k, (name, p) in enumerate(zip(names, ps)):
+    keyed = df.select(*[F.col(c).alias(k) for c, k in zip(groups, g)], F.col(value).cast("double").alias("v")).withColumn(
+        "k", order_key(F.col("v")))
+    ends = [end(_position(F.col("n"), p, definition)).cast("long") for p in ps for end in (F.floor, F.ceil)]
+    sizes = stored(keyed.groupBy(*g).agg(F.count("v").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")), "sizes")
+    ranges = sizes.where("n > 0").select(*g, "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("rows"), "n",
+                                         F.array_distinct(F.array(*ends)).alias("ranks"))
+    wide = (F.col("rows") > SMALL) & (F.col("lo") < F.col("hi"))
+    while not (more := ranges.where(wide)).isEmpty():
+        ranges = stored(_refined(keyed, more, g).unionByName(ranges.where(~wide)), "ranges")
+    counts = _inside(keyed, ranges, g).groupBy(*g, "lo", "v").agg(
+        F.count(F.lit(1)).alias("c"), F.first("below").alias("below"), F.first("n").alias("n"))
+    upto = F.col("below") + F.sum("c").over(Window.partitionBy(*g, "lo").orderBy("v"))
+    found = counts.withColumn("upto", upto).groupBy(*g).agg(
+        *[F.min(F.when(F.col("upto") > end, F.col("v"))).alias(f"e{i}") for i, end in enumerate(ends)])
+    found = found.select(*[F.col(c).alias(f"f_{c}") for c in g], *[f"e{i}" for i in range(len(ends))])
+    out = [*[F.col(k).alias(c) for c, k in zip(groups, g)], F.col("n")]
+    for i, (name, p) in enumerate(zip(names, ps)):
         pos = _position(F.col("n"), p, definition)
-        lo, hi = F.col(f"_e{2 * k}"), F.col(f"_e{2 * k + 1}")
+        lo, hi = F.col(f"e{2 * i}"), F.col(f"e{2 * i + 1}")
         out.append((lo + (pos - F.floor(pos)) * (hi - lo)).alias(name))
-    return per.select(*out)
+    return sizes.join(found, same(g, [f"f_{c}" for c in g]), "left").select(*out)

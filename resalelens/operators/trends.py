@@ -21,8 +21,8 @@ def median_by_month(trend: DataFrame, value: str = "price", method: str = "sort"
                     accuracy: int = 10000) -> DataFrame:
     """A1: median price per month -> month, median_price.
 
-    ``method`` as in ``operators.boxstats``: ``sort`` (exact, from value
-    counts), ``hash`` (Spark ``percentile``: a value->count map per
+    ``method`` as in ``operators.boxstats``: ``sort`` (exact, by
+    refinement), ``hash`` (Spark ``percentile``: a value->count map per
     month, fastest when prices repeat) or ``approx`` (bounded sketch).
     Months whose prices are all null have a null median.
     """
@@ -134,7 +134,6 @@ def million_count(trend: DataFrame, threshold: float = MILLION) -> DataFrame:
 
 
 def global_median(trend: DataFrame, value: str = "price", method: str = "sort") -> DataFrame:
-    """Median over all rows (one row).  With ``sort`` one task holds the
-    distinct values of the single group in turn."""
+    """Median over all rows (one row)."""
     q = group_quantiles(trend.withColumn("_all", F.lit(1)), value, ["_all"], [0.5], ["median_price"], method)
     return q.select("median_price")

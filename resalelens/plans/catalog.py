@@ -807,6 +807,26 @@ def q_month_source_skip(spark, d):
     return clean.clean_transactions(month_source.read_month_source(spark, lost, pages.months(), on_error="skip"))
 
 
+@query("month_source_paged", f"with {TXN} select * from txn")
+def q_month_source_paged(spark, d):
+    # The store answers at most 100 records a call and names the next page.
+    pages = _pages(spark, d)
+    return clean.clean_transactions(month_source.read_month_source(spark, month_source.CursorPages(pages.page), pages.months()))
+
+
+@query("month_source_report", f"""with {RAW}
+select month, count(*) as n, month in ('1995-03', '1998-07', '2001-11') as failed from raw group by month""")
+def q_month_source_report(spark, d):
+    # The report of a load that leaves three months out, beside the counts of the others.
+    pages = _pages(spark, d)
+    lost = ["1995-03", "1998-07", "2001-11"]
+    rows, failed = month_source.request_months(spark, S.Outage(pages, lost), pages.months(), fields=["month"])
+    whole = month_source.read_month_source(spark, pages, lost, fields=["month"])
+    marks = failed.select("month").distinct().withColumn("failed", F.lit(True))
+    return (rows.unionByName(whole).groupBy("month").agg(F.count("*").alias("n")).join(marks, "month", "left")
+            .select("month", "n", F.coalesce("failed", F.lit(False)).alias("failed")))
+
+
 @query("stored_months_pruned", f"""with {TXN}
 select * from txn where month in ('1995-03', '1998-07', '2001-11')""")
 def q_stored_months_pruned(spark, d):

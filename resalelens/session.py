@@ -94,6 +94,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """``scratch_path`` that Spark's filesystem layer deletes when the application ends."""
+    path = scratch_path(spark, name)
+    sc = _context(spark)
+    if sc is not None:
+        hpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    return path
+
+
 _SHIPPED: set[str] = set()
 
 
