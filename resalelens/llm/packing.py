@@ -1,8 +1,7 @@
 """Packing tokenised documents into sequences: first-fit decreasing per random group.
 
-Documents are tokenised inside Arrow batches (by distinct words: the tokenizer
-never joins anything across white space, so the ids of a word are looked up in
-a bounded per-worker cache) and cut into full sequences plus a remainder.  The
+Documents are tokenised inside Arrow batches (``token_ids``: by distinct words,
+through a bounded cache) and cut into full sequences plus a remainder.  The
 pieces are dealt into randomised groups of about ``group_docs`` documents and
 each group is packed on its own by first-fit decreasing.
 
@@ -23,14 +22,8 @@ columns are not read.
 
 from __future__ import annotations
 
-import functools
-import itertools
-import json
 import math
-import os
-import re
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Callable
 
@@ -40,151 +33,15 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+
+from resalelens.llm.token_ids import strings, word_bpe
 
 MAX_TOKENS = 4096
 END_ID = 2
 GROUP_DOCS = 8192
-CACHE_BYTES = 80_000_000  # cached words and ids of one worker
-PART_BYTES = 2_000_000  # text whose words are looked up together
 SEED = 23
 
 
-# Fixed value: the piece pattern of the word-ending vocabulary, and what it is on lower-case ASCII.
-_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_ASCII_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-
-
-class _Encoder:
-    """Ids (little-endian unsigned 32-bit) of whole texts, through their distinct words."""
-
-    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        # Word-wise look-up needs a model that cuts at white space before
-        # anything else; other tokenizers get whole texts.  (Pieces are the
-        # pattern's matches, none of which holds white space.)
-        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        pattern = (split.get("pattern") or {}).get("Regex", "")
-        suffix = spec["model"].get("end_of_word_suffix")
-        self.by_word = (split.get("type") == "Split" and bool(split.get("invert")) and pattern == _PATTERN and bool(suffix)
-                        and '"Lowercase"' in json.dumps(spec.get("normalizer")))
-        self.specials = [t["content"].encode() for t in spec.get("added_tokens", [])]
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
-        self.cache: dict[bytes, bytes] = {}
-        self.room = self.cache_bytes = cache_bytes
-
-    def whole(self, text: bytes) -> bytes:
-        return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
-
-    def many(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, in memory proportional to PART_BYTES beside the result."""
-        out: list[list[bytes]] = [[] for _ in texts]
-        todo: list[tuple[int, list[bytes]]] = []
-        size = 0
-        for k, text in enumerate(texts):
-            # Special tokens are found in the raw text, before lower-casing.
-            if not self.by_word or any(s[:2] in text for s in self.specials):
-                out[k].append(self.whole(text))
-                continue
-            for part in _parts(text):
-                todo.append((k, part.lower().split()))
-                size += len(part)
-                if size >= PART_BYTES:
-                    self._encode(todo, out)
-                    todo, size = [], 0
-        self._encode(todo, out)
-        return [b"".join(x) for x in out]
-
-    def _encode(self, todo: list[tuple[int, list[bytes]]], out: list[list[bytes]]) -> None:
-        words = pa.array(itertools.chain.from_iterable(w for _, w in todo), pa.binary()).dictionary_encode()
-        if not len(words):
-            return
-        ids = self._ids(words.dictionary.to_pylist())
-        code = words.indices.to_numpy()
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.cumsum(length) - length
-        n = length[code]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first[code] - upto[:-1], n) + np.arange(upto[-1])]
-        at = 0
-        for k, w in todo:
-            out[k].append(flat[upto[at]:upto[at + len(w)]].tobytes())
-            at += len(w)
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        if self.room < 0:
-            self.cache.clear()
-            self.room = self.cache_bytes
-        cache = self.cache
-        ids = list(map(cache.get, words))
-        missing = [w for w, i in zip(words, ids) if i is None]
-        if missing:
-            # ASCII words fall into the pattern's own pieces, which repeat far
-            # more often than the words; other words may lose a stop or comma
-            # after an ASCII letter.
-            parts = {}
-            for w in missing:
-                if not w.isalpha():
-                    if w.isascii():
-                        parts[w] = _ASCII_PIECE.findall(w)
-                    elif w[-1:] in (b".", b",") and w[-2:-1].isalnum():
-                        parts[w] = [w[:-1], w[-1:]]
-            stems = {w for w in missing if w not in parts}.union(*parts.values())
-            new = [w for w in stems if w not in cache]
-            self._learn(new)
-            for w, of in parts.items():
-                if len(of) != 1:
-                    cache[w] = b"".join([cache[x] for x in of])
-            self.room -= sum(len(w) + len(cache[w]) + 150 for w in itertools.chain(new, parts))
-            ids = [cache[w] if i is None else i for w, i in zip(words, ids)]
-        return ids
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Words of letters alone are one piece each: they are encoded as one
-        text and cut after every id that ends a word; the rest one by one."""
-        texts = [w.decode() for w in words]
-        plain = [t.isalpha() and t.lower().isalpha() for t in texts]
-        joined = [w for w, p in zip(words, plain) if p]
-        rest = [w for w, p in zip(words, plain) if not p]
-        if joined:
-            found = self.tokenizer.encode_batch_fast([" ".join(t for t, p in zip(texts, plain) if p)], add_special_tokens=False)
-            ids = np.array(found[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(joined):
-                raw = ids.tobytes()
-                for w, a, b in zip(joined, itertools.chain([0], cuts.tolist()), cuts.tolist()):
-                    self.cache[w] = raw[4 * a:4 * b]
-            else:
-                rest = words
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
-            self.cache[w] = array("I", e.ids).tobytes()
-
-
-_SPACE = re.compile(rb"[\x20\x09-\x0d]")
-
-
-def _parts(text: bytes):
-    """The text in parts of about PART_BYTES, cut at white space."""
-    at = 0
-    while len(text) - at > PART_BYTES:
-        cut = _SPACE.search(text, at + PART_BYTES)
-        if cut is None:
-            break
-        yield text[at:cut.start()]
-        at = cut.end()
-    yield text[at:] if at else text
-
-
-@functools.lru_cache(maxsize=1)
-def _encoder(path: str) -> _Encoder:
-    return _Encoder(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                  max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:
     """(doc_id, start, length, doc_tokens, deal, ids) per piece of at most ``max_tokens``.
@@ -198,13 +55,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     step = 4 * max_tokens
 
     def run(batches):
-        encode = _encoder(tokenizer)
+        encoder = word_bpe(tokenizer)
         task = TaskContext.get().partitionId()
         seen: Counter = Counter()
         for b in batches:
             out = [[], [], [], [], [], []]
-            texts = [t or b"" for t in b.column(1).cast(pa.large_binary()).to_pylist()]
-            for doc_id, ids in zip(b.column(0).to_pylist(), _in_turn(encode.many, texts)):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.each(strings(b.column(1)))):
                 ids += end
                 who = (doc_id, zlib.crc32(ids), len(ids))
                 seen[who] += 1
@@ -221,18 +77,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     return src.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, deal long, ids binary")
 
 
-def _in_turn(encode, texts: list[bytes]):
-    """Results of ``encode`` for runs of texts of about PART_BYTES, one by one."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t)
-        if size >= PART_BYTES:
-            yield from encode(run)
-            run, size = [], 0
-    yield from encode(run)
-
-
 def _batch(out) -> pa.RecordBatch:
     kinds = [pa.int64()] * 5 + [pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
