@@ -18,10 +18,9 @@
    grouped by an ordinary shuffle.
 
 Of equal texts the row with the largest id stays.  Defined results: null
-texts are empty texts; a null id never stays while another id has the text; if
-only null ids have it, or the id that stays is repeated, ``keep_id`` names that
-id and every row that carries it is marked kept.  Empty tables give no rows;
-extra columns are not read.
+texts are empty texts; a null id never stays while another id has the text;
+rows that repeat an id are copies like any other: exactly one row of a group is marked
+kept, and ``keep_id`` names its id.  Empty tables give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -39,16 +38,17 @@ HEAVY_SHARE = 256
 
 
 def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest): SHA-256 of each normalised text, one row per document."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """(doc_id, row, digest): SHA-256 of each normalised text, one row per document; ``row`` tells equal rows apart."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
+                      F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for b in batches:
             out = [hashlib.sha256((t or b"").lower()).digest()
-                   for t in b.column(1).cast(pa.large_binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "digest"])
+                   for t in b.column(2).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "row", "digest"])
 
-    return src.mapInArrow(run, "doc_id long, digest binary")
+    return src.mapInArrow(run, "doc_id long, row long, digest binary")
 
 
 def misra_gries(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
@@ -87,12 +87,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("counters must be at least 2 * heavy_share - 1 for the broadcast bound to hold")
     digests = stored(text_digests(docs, id_col, text_col), "digests")
     rows = digests.count()
-    size = [F.count(F.lit(1)).alias("group_size"), F.max("doc_id").alias("keep_id")]
+    size = [F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("keep")]
     candidates = heavy_digests(digests, rows, counters, heavy_share)
     winners = stored(digests.join(F.broadcast(candidates), "digest", "left_semi").groupBy("digest").agg(*size), "winners")
     heavy = digests.join(F.broadcast(winners), "digest")
     rest = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     light = rest.join(rest.groupBy("digest").agg(*size), "digest")
     return (heavy.unionByName(light)
-            .select("doc_id", "digest", "keep_id", "group_size",
-                    F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")))
+            .select("doc_id", "digest", F.col("keep.doc_id").alias("keep_id"), "group_size",
+                    (F.col("row") == F.col("keep.row")).alias("kept")))

@@ -1,36 +1,34 @@
 """Line dedup with content-defined chunks.
 
-The lines of a text are cut into chunks where the *content* says so: every
-line gets a hash, a rolling hash covers each line and the one before it, and a
-new chunk starts at a line whose rolling hash is smaller than both neighbours'.
-The cut depends on four lines only, so a passage inserted elsewhere is cut at
-the same places (after its first lines), and two cuts are never adjacent:
-inner chunks have two lines or more.
-
-Chunks of at least two lines and one word are counted by digest over the whole
-corpus (partial counts per task, digests only).  Of a repeated chunk the first
-occurrence -- smallest (id, text hash, chunk number) -- stays; every other one
-is removed after its text has been compared, byte for byte, with the text of
-the first.  Only rows with a repeated digest meet in that comparison, and only
-documents that may lose a chunk are shuffled to be rewritten: bitmaps of
-bounded size (``common.KeyFilter``) hold all others back.
+The lines of a text are cut where the *content* says so: a line is a boundary if
+its own hash, or a rolling hash over it and the line before, falls into a dense
+class (all but ``SPARSE`` of 256 values); the first and the last line of a text are
+boundaries too.  A chunk runs from a boundary to the next one, both included,
+so it has two lines or more and shares an end line with its neighbours.  Whether a
+line is a boundary depends on two lines at most, so a passage is cut at the same places
+wherever it is inserted; and as chunks reach up to the next boundary, a passage of two lines
+is a whole chunk if its first line is a boundary by its own hash (15 in 16) and its
+second by either hash.  A line of more than ``LONG_LINE`` words is a chunk by itself.
+
+Chunks that hold a word are counted by SHA-256 digest over the whole corpus
+(partial counts per task, digests only).  Of a repeated chunk the first
+occurrence -- smallest (id, text hash, line) -- stays; the lines of every other one
+are removed after its text has been compared, byte for byte, with the text of
+the first.  (So the first occurrence of a line in the corpus always stays.)  Only
+rows with a repeated digest meet in that comparison, and only documents that may lose
+a line are shuffled to be rewritten: bitmaps of bounded size (``common.KeyFilter``)
+hold all others back.
 
 Everything is built-in DataFrame expressions.
 
 Defined results: a null text stays null and has no lines; rows that repeat an
-(id, text) get the same result, as one document; a null id sorts first; texts
-of one line never change; an empty table gives no rows; the other columns of
-the documents are returned untouched by ``drop_repeated_chunks``.
-
-Chunks are whole or not found at all: the ends of a shared passage stay, and a
-short passage may hold no whole chunk.  ``drop_repeated_passages`` (the
-pipeline's stage) has no such gaps: every two adjacent lines that hold a word,
-and every line of more than ``LONG_LINE`` words, are a unit; units are counted
-by SHA-256 digest over the whole corpus, the first occurrence stays, and the
-lines of every later one go.  So a repeated run of two lines or more goes
-whole, wherever it starts and whatever stands around it, while the first
-occurrence of each line is never removed.  Null, empty and repeated rows are
-treated as above; a text of one long line that occurred before becomes empty.
+(id, text) get the same result, as one document; a null id sorts first; short texts
+of one line never change, a text of one long line that occurred before becomes empty;
+an empty table gives no rows; the other columns of the documents are returned
+untouched by ``drop_repeated_chunks``.
+
+``drop_repeated_passages`` is the limit of that rule: every line is a boundary, so every
+two adjacent lines are a chunk, and digests alone are compared.
 """
 
 from __future__ import annotations
@@ -42,65 +40,87 @@ from pyspark.sql import functions as F
 
 from resalelens.llm.common import KeyFilter, let, stored, word_count
 
-MIN_LINES = 2
+#: Of 256 hash values, those that are no boundary.
+SPARSE = 16
 #: A line of more words is a passage by itself.
 LONG_LINE = 50
 _WORD = r"[^\x20\x09-\x0D]"
 
 
-def chunks(text: Column) -> Column:
-    """Array of chunks, each an array of lines, in order; their lines are the lines of the text."""
+def _hex_limit(sparse: int) -> str:
+    """Two hex digits; a hash is in the dense class from there on."""
+    return f"{sparse:02x}"
+
+
+def chunks(text: Column, sparse: int = SPARSE) -> Column:
+    """Array of the chunks of a text in order, as (no, size, digest, chunk): ``size`` lines from line ``no`` on.
+
+    ``chunk`` is their text.  Chunks without a word are left out.
+    """
+    def dense(sha: Column) -> Column:
+        return F.substring(sha, 1, 2) >= _hex_limit(sparse)
+
     def cut(lines: Column) -> Column:
-        def start(r: Column) -> Column:
-            # r[i]: rolling hash of line i with the line before it (none for the first).
-            def here(i: Column) -> Column:
-                return ((F.get(r, i) < F.coalesce(F.get(r, i - 1), F.lit("g")))
-                        & (F.get(r, i) < F.coalesce(F.get(r, i + 1), F.lit("g"))))
+        def hashed(x: Column) -> Column:
+            return F.struct(F.sha2(x, 256).alias("sha"), F.rlike(x, F.lit(_WORD)).alias("word"),
+                            F.when(F.length(x) > 2 * LONG_LINE, word_count(x) > LONG_LINE).otherwise(F.lit(False)).alias("long"))
+
+        def pieces(h: Column) -> Column:
+            last = F.size(h) - 1
+
+            def boundary(i: Column) -> Column:
+                return (i == 0) | (i == last) | dense(F.get(h, i)["sha"]) | dense(F.sha2(F.concat(F.get(h, i - 1)["sha"], F.get(h, i)["sha"]), 256))
 
-            return F.filter(F.sequence(F.lit(1), F.size(r) - 1), here)
+            def of(at: Column) -> Column:
+                def one(i: Column, k: Column) -> Column:
+                    size = F.get(at, k + 1) - i + 1
+                    part = F.slice(h, i + 1, size)
+                    return F.when(size > 1, F.struct(
+                        i.alias("no"), size.alias("size"), F.unhex(F.sha2(F.array_join(part["sha"], ""), 256)).alias("digest"),
+                        F.exists(part, lambda x: x["word"]).alias("word")))
 
-        def pieces(s: Column) -> Column:
-            ends = F.concat(s, F.array(F.size(lines)))
-            return F.zip_with(F.concat(F.array(F.lit(0)), s), ends,
-                              lambda a, b: F.slice(lines, a + 1, b - a))
+                # Each long line, wherever the cuts are.
+                longs = F.filter(F.transform(h, lambda x, i: F.when(x["long"], F.struct(
+                    i.alias("no"), F.lit(1).alias("size"), F.unhex(x["sha"]).alias("digest"), F.lit(True).alias("word")))), lambda u: u.isNotNull())
+                return F.concat(F.filter(F.transform(at, one), lambda u: u.isNotNull() & u["word"]), longs)
 
-        rolling = let(F.transform(lines, lambda x: F.md5(x)),
-                      lambda h: F.transform(h, lambda x, i: F.when(i > 0, F.md5(F.concat(F.get(h, i - 1), x)))))
-        starts = F.when(F.size(lines) > 1, let(rolling, start)).otherwise(F.array().cast("array<int>"))
-        return let(starts, pieces)
+            found = let(F.filter(F.sequence(F.lit(0), last), boundary), of)
+            return F.transform(found, lambda u: F.struct(u["no"].alias("no"), u["size"].alias("size"), u["digest"].alias("digest"),
+                                                         F.array_join(F.slice(lines, u["no"] + 1, u["size"]), "\n").alias("chunk")))
 
-    return let(F.split(F.coalesce(text, F.lit("")), "\n"), cut)
+        return let(F.transform(lines, hashed), pieces)
+
+    return let(F.split(text, "\n"), cut)
 
 
 def _chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, no, chunk, digest): chunks that may be removed, one row each."""
+    """(doc_id, text_hash, no, size, digest, chunk): one row for each chunk."""
     text = F.col(text_col).cast("string")
     return (docs.where(text.isNotNull())
-            .select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"),
-                    F.posexplode(F.transform(chunks(text), lambda c: F.when(F.size(c) >= MIN_LINES, F.array_join(c, "\n"))))
-                    .alias("no", "chunk"))
-            .where(F.rlike("chunk", F.lit(_WORD)))
-            .withColumn("digest", F.xxhash64("chunk")))
+            .select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.inline(chunks(text))))
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, gone): the chunk numbers to remove from each document that has any."""
+    """(doc_id, text_hash, gone, chunks): the lines to remove from each document that has any, and how many chunks they are."""
     rows = _chunk_rows(docs, id_col, text_col)
-    at = F.struct("doc_id", "text_hash", "no")
+    at = F.struct("doc_id", "text_hash", "no", "size")
     # One document repeated as a row is one occurrence: first == last then.
     often = stored(rows.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last"))
                    .where(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "digests")
     n = often.count()
     # The text of each first occurrence, fetched by its place, one a digest.
-    place = F.xxhash64("doc_id", "text_hash", "no")
+    place = F.xxhash64("doc_id", "text_hash", "no", "size")
     some = KeyFilter(often.select("first.*"), place, n).maybe(rows, place)
-    firsts = stored(some.join(often, "digest").where(at.eqNullSafe(F.col("first")))
+    firsts = stored(some.join(often.hint("merge"), "digest").where(at.eqNullSafe(F.col("first")))
                     .groupBy("digest").agg(F.first("first").alias("first"), F.first("chunk").alias("first_chunk")), "firsts")
     # Texts of chunks that occur once stay where they are: a bitmap of the
     # repeated digests holds them back before the one shuffle of texts.
-    met = KeyFilter(often, F.col("digest"), n).maybe(rows, F.col("digest")).join(firsts, "digest")
+    key = F.xxhash64("digest")
+    met = KeyFilter(often, key, n).maybe(rows, key).join(firsts.hint("merge"), "digest")
     gone = met.where(~at.eqNullSafe(F.col("first")) & (F.col("chunk") == F.col("first_chunk")))
-    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("no").alias("gone"))
+    spans = gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("no", "size")).alias("spans"))
+    return spans.select("doc_id", "text_hash", F.array_distinct(F.flatten(F.transform(
+        "spans", lambda s: F.sequence(s["no"], s["no"] + s["size"] - 1)))).alias("gone"), F.size("spans").alias("chunks"))
 
 
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -111,13 +131,14 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     changed.  ``counts`` adds the numbers of removed chunks and lines
     (``n_chunks_gone``, ``n_lines_gone``) as last columns.
     """
-    gone = stored(repeated_chunks(docs, id_col, text_col), "gone")
+    gone = stored(repeated_chunks(docs, id_col, text_col), "gone").select(
+        "doc_id", "text_hash", F.struct("gone", "chunks").alias("gone"))
 
     def left(text: Column) -> Column:
-        return let(chunks(text), lambda c: let(
-            F.filter(c, lambda x, i: ~F.array_contains("gone", i)),
-            lambda kept: F.struct(F.array_join(F.flatten(kept), "\n").alias("text"), (F.size(c) - F.size(kept)).alias("chunks"),
-                                  (F.size(F.flatten(c)) - F.size(F.flatten(kept))).alias("lines"))))
+        return let(F.split(text, "\n"), lambda lines: let(
+            F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone.gone")),
+            lambda kept: F.struct(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n").alias("text"),
+                                  F.col("gone.chunks").alias("chunks"), (F.size(lines) - F.size(kept)).alias("lines"))))
 
     return _rewritten(docs, gone, left, id_col, text_col, n_chars_col, ["chunks", "lines"] if counts else [])
 
@@ -205,22 +226,24 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
 #: DuckDB text for ``(doc_id, text, n_chunks_gone, n_lines_gone)`` of table ``{docs}``.
 #: Needs distinct ids (the hash that orders equal ids is Spark's).
 SQL = """
-with l as (select doc_id, u.i as i, u.line as line from (
+with l as (select doc_id, u.i as i, u.line as line, sha256(u.line) as s from (
     select doc_id, unnest([{{'i': k, 'line': string_split(text, chr(10))[k]}} for k in range(1, len(string_split(text, chr(10))) + 1)]) as u
     from {docs} where text is not null)),
-r as (select *, case when i > 1 then md5(lag(md5(line)) over w || md5(line)) end as r from l window w as (partition by doc_id order by i)),
-s as (select *, case when i > 1 and r < coalesce(lag(r) over w, 'g') and r < coalesce(lead(r) over w, 'g') then 1 else 0 end as s
-    from r window w as (partition by doc_id order by i)),
-n as (select *, sum(s) over (partition by doc_id order by i) as no from s),
-c as (select doc_id, no, string_agg(line, chr(10) order by i) as chunk, count(*) as lines from n group by all),
-k as (select *, case when lines >= 2 and regexp_matches(chunk, '[^\\x20\\x09-\\x0D]')
-    then row_number() over (partition by chunk, lines >= 2 order by doc_id, no) else 1 end as rn from c)
+b as (select doc_id, i, lead(i) over w as j from (
+    select *, substr(s, 1, 2) >= '10' or coalesce(substr(sha256(lag(s) over w || s), 1, 2) >= '10', false)
+        or lag(i) over w is null or lead(i) over w is null as cut from l window w as (partition by doc_id order by i)) where cut
+    window w as (partition by doc_id order by i)),
+p as (select b.doc_id, b.i, b.j - b.i + 1 as size, string_agg(l.line, chr(10) order by l.i) as unit
+    from b join l on b.doc_id = l.doc_id and l.i between b.i and b.j group by b.doc_id, b.i, b.j
+    union all select doc_id, i, 1, line from l where len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) > 50),
+k as (select *, row_number() over (partition by unit order by doc_id, i) as rn from p where regexp_matches(unit, '[^\\x20\\x09-\\x0D]')),
+c as (select doc_id, count(*) as n from k where rn > 1 group by doc_id),
+g as (select distinct doc_id, unnest(range(i, i + size)) as i from k where rn > 1),
+x as (select l.doc_id, string_agg(line, chr(10) order by l.i) filter (g.i is null) as text, count(g.i) as n
+    from l left join g on l.doc_id = g.doc_id and l.i = g.i group by l.doc_id)
 select d.doc_id, case when d.text is null then null else coalesce(x.text, '') end as text,
-    cast(coalesce(x.n_chunks_gone, 0) as bigint) as n_chunks_gone, cast(coalesce(x.n_lines_gone, 0) as bigint) as n_lines_gone
-from {docs} d left join (
-    select doc_id, string_agg(chunk, chr(10) order by no) filter (rn = 1) as text, count(*) filter (rn > 1) as n_chunks_gone,
-        sum(lines) filter (rn > 1) as n_lines_gone
-    from k group by doc_id) x on d.doc_id = x.doc_id
+    cast(coalesce(c.n, 0) as bigint) as n_chunks_gone, cast(coalesce(x.n, 0) as bigint) as n_lines_gone
+from {docs} d left join x on d.doc_id = x.doc_id left join c on d.doc_id = c.doc_id
 """
 
 #: DuckDB text for ``(doc_id, text, n_lines_gone)`` of table ``{docs}`` by repeated passages; needs distinct ids.

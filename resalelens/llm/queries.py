@@ -91,7 +91,8 @@ def op6_chat(spark, d):
 @query("op7_exact_dedup", """
 with t as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256
     from documents)
-select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, text_sha256
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
+    row_number() over (partition by text_sha256 order by doc_id desc nulls last) = 1 as kept, text_sha256
 from t window w as (partition by text_sha256)
 """)
 def op7_exact_dedup(spark, d):

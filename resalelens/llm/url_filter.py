@@ -1,6 +1,7 @@
 """URL filter: host-suffix / path-prefix expressions joined on short hash prefixes.
 
-Every URL is expanded into ``host suffix + path up to a slash`` expressions;
+Every URL is expanded into ``host suffix + path up to a slash`` expressions, as deep as
+the rules go (most labels of a host, most slashes of a path: a one-row aggregate);
 every rule has one such key (its path up to the last slash).  Both sides meet
 in an equi-join on the first 32 bits of the SHA-256 of the expression; a match
 counts only if the full digests are equal and the URL's path starts with the
@@ -41,21 +42,22 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _host_suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.")
-    n = F.size(labels)
-    return F.transform(F.sequence(F.lit(1), n),
-                       lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+def _host_suffixes(host: Column, labels: int) -> Column:
+    """The host's suffixes of at most ``labels`` labels."""
+    return F.array_distinct(F.array(*[F.substring_index(host, ".", -k) for k in range(1, labels + 1)]))
 
 
-def _path_prefixes(path: Column) -> Column:
-    """Every prefix of the path that ends in a slash, and the empty one."""
-    parts = F.split(path, "/")
-    n = F.size(parts)
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.when(i == 0, F.lit("")).otherwise(
-            F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
+def _path_prefixes(path: Column, slashes: int) -> Column:
+    """The empty prefix of the path, and those that end in one of its first ``slashes`` slashes."""
+    has = F.size(F.split(path, "/", slashes + 1)) - 1
+    ends = [F.when(has >= k, F.concat(F.substring_index(path, "/", k), F.lit("/"))) for k in range(1, slashes + 1)]
+    return F.filter(F.array(F.lit(""), *ends), lambda p: p.isNotNull())
+
+
+def _depth(rules: DataFrame) -> tuple[int, int]:
+    """Most labels of a rule's host and most slashes of a rule's path: no URL needs to be expanded further."""
+    r = rules.agg(F.max(F.size(F.split("r_host", r"\."))), F.max(F.size(F.split("r_path", "/")) - 1)).first()
+    return r[0] or 1, r[1] or 0
 
 
 def rules_frame(spark, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
@@ -72,17 +74,18 @@ def judge_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url",
     """
     u = urls.select(F.col(url_col).alias("url")).distinct().select(
         "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    expr = (u.where(F.col("host") != "")
-            .select("url", "host", "path", F.explode(_host_suffixes(F.col("host"))).alias("suffix"))
-            .select("url", "path", "suffix", F.explode(_path_prefixes(F.col("path"))).alias("prefix"))
-            .select("url", "path", F.sha2(F.concat("suffix", "prefix"), 256).alias("digest"))
-            .withColumn("short", F.substring("digest", 1, PREFIX_HEX)))
     r = (rules.where("verdict is not null and host is not null and host != '' and path is not null")
          .select("verdict", lower_ascii(F.col("host")).alias("host"), "path").distinct()
-         .select(F.col("verdict").alias("r_verdict"), F.col("path").alias("r_path"),
+         .select(F.col("verdict").alias("r_verdict"), F.col("host").alias("r_host"), F.col("path").alias("r_path"),
                  F.concat("host", "path").alias("rule"),
                  F.sha2(F.concat("host", F.regexp_extract("path", r"(?s)^(.*/)?", 0)), 256).alias("r_digest"))
          .withColumn("r_short", F.substring("r_digest", 1, PREFIX_HEX)))
+    labels, slashes = _depth(r)
+    expr = (u.where(F.col("host") != "")
+            .select("url", "host", "path", F.explode(_host_suffixes(F.col("host"), labels)).alias("suffix"))
+            .select("url", "path", "suffix", F.explode(_path_prefixes(F.col("path"), slashes)).alias("prefix"))
+            .select("url", "path", F.sha2(F.concat("suffix", "prefix"), 256).alias("digest"))
+            .withColumn("short", F.substring("digest", 1, PREFIX_HEX)))
     fits = (expr.join(r, F.col("short") == F.col("r_short"))
             .where((F.col("digest") == F.col("r_digest")) & F.startswith(F.col("path"), F.col("r_path"))))
     rank = F.struct(F.length("rule"), F.col("r_verdict") == "block", F.col("rule"))

@@ -207,7 +207,10 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.drop_repeated_chunks(d).count() == 7
     assert line_dedup.drop_repeated_chunks(docs).count() == docs.count() and line_dedup.drop_repeated_chunks(empty).count() == 0
     cut = docs.where("doc_id = 9").select(line_dedup.chunks(F.col("text")).alias("c")).first().c
-    assert [x for c in cut for x in c] == TEXTS[9].split("\n") and all(len(c) > 1 for c in cut[1:-1])
+    lines = TEXTS[9].split("\n")
+    # Chunks reach from the first line to the last, each from where the one before it ends.
+    assert cut[0].no == 0 and [c.no + c.size - 1 for c in cut] == [c.no for c in cut[1:]] + [len(lines) - 1]
+    assert all(c.size > 1 and c.chunk == "\n".join(lines[c.no:c.no + c.size]) for c in cut)
 
 
 def _without_passages(docs):
