@@ -7,7 +7,7 @@ stage's rows to the shared checkpoint folder and reading them again.  All but
 the last stage return the columns of ``documents``.
 
 1. ``quality``     documents that the weakly supervised rules reject go;
-2. ``line_dedup``  repeated passages of two lines or more, or of one long line,
+2. ``line_dedup``  repeated chunks of two lines or more, or of one long line,
                    are cut out of the texts (``n_chars`` follows); documents
                    stay, if need be empty;
 3. ``simhash``     one document of each near-duplicate group stays;
@@ -38,7 +38,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_repeated_passages(docs, n_chars_col="n_chars")
+    return line_dedup.drop_repeated_chunks(docs, n_chars_col="n_chars")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
