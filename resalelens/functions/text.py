@@ -80,3 +80,9 @@ def split_names(text: str) -> list[str]:
 def money(c: Column, digits: int = 2) -> Column:
     """``$1,234.50`` style text; null stays null."""
     return F.concat(F.lit("$"), F.format_number(c, digits))
+
+
+def grouped_number(c: Column) -> Column:
+    """A number rounded to two decimals as text: thousands separated by commas, and no
+    more decimals than it has, but one at least (``1,234,567.5``, ``1,000,000.0``)."""
+    return F.regexp_replace(F.format_number(c, 2), r"0$", "")

@@ -109,9 +109,22 @@ def town_year_crosstab(trend: DataFrame, threshold: float = MILLION) -> DataFram
     return long.select("town", "year", "count", total.alias("town_total"))
 
 
-def crosstab_wide(long: DataFrame, years: Sequence[str]) -> DataFrame:
-    """Pivot the long cross-tab to one column per year plus ``All``, with
-    explicit pivot values (no distinct pass, no missing columns)."""
+#: Year columns of a wide cross-tab at most.
+MOST_YEARS = 200
+
+
+def crosstab_wide(long: DataFrame, years: Sequence[str] | None = None, most_years: int = MOST_YEARS) -> DataFrame:
+    """Pivot the long cross-tab to one column per year plus ``All``.
+
+    ``years`` names the columns; without it they are the years of the data, found by
+    an aggregate over the cross-tab (towns x years rows).  More than ``most_years`` of them
+    are an error: no year is left out.
+    """
+    if years is None:
+        found = long.where(F.col("year") != ALL).select("year").distinct().limit(most_years + 1).collect()
+        if len(found) > most_years:
+            raise ValueError(f"more than {most_years} years: name the columns")
+        years = sorted(r.year for r in found)
     values = [str(y) for y in years] + [ALL]
     return (long.groupBy("town", "town_total").pivot("year", values).agg(F.first("count"))
             .orderBy(F.col("town_total").desc(), "town"))

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resalelens.functions.numeric import round_half_away
-from resalelens.functions.text import lease_years, unit_suffix
+from resalelens.functions.text import grouped_number, lease_years, unit_suffix
+from resalelens.operators.paging import sorted_page
 from resalelens.schemas import ALL_TOWNS
 
 AREA_TYPES = ("area_sqft", "area_sqm")
@@ -233,9 +234,9 @@ def summary_text(searched: DataFrame, p: SearchParams) -> DataFrame:
     price_label = "price" if p.price_type == "price" else f"Price / {unit_suffix(p.area_type)}"
     parts = [
         F.lit(f"You searched : Town: {p.town} | {price_label}: $"),
-        F.format_number("price_min", 2), F.lit(" - $"), F.format_number("price_max", 2),
+        grouped_number(F.col("price_min")), F.lit(" - $"), grouped_number(F.col("price_max")),
         F.lit(f" | {p.area_type}: "),
-        F.format_number("area_min", 2), F.lit(" - "), F.format_number("area_max", 2),
+        grouped_number(F.col("area_min")), F.lit(" - "), grouped_number(F.col("area_max")),
     ]
     if p.min_lease and p.max_lease:
         parts.append(F.lit(f" | Lease from {int(p.min_lease):,} - {int(p.max_lease):,}"))
@@ -251,9 +252,7 @@ def summary_text(searched: DataFrame, p: SearchParams) -> DataFrame:
 def page(df: DataFrame, sort_col: str, ascending: bool = True, offset: int = 0,
          size: int = 20) -> DataFrame:
     """O3: one page of a result table sorted by ``sort_col``; every other
-    column breaks ties so pages are stable.  Planned as a per-partition
-    top-(offset+size) followed by a small merge, never a full sort to one
-    task."""
-    key = F.col(sort_col).asc_nulls_first() if ascending else F.col(sort_col).desc_nulls_last()
-    ties = [F.col(c).asc_nulls_first() for c in df.columns if c != sort_col]
-    return df.orderBy(key, *ties).offset(offset).limit(size)
+    column breaks ties so pages are stable.  The first pages are a
+    per-partition top-(offset+size); deep ones go through a rank index
+    (``operators.paging``) and sort about one bracket of the rows."""
+    return sorted_page(df, [(sort_col, ascending), *[(c, True) for c in df.columns if c != sort_col]], offset, size)

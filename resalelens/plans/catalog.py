@@ -22,7 +22,7 @@ from resalelens.plans import standin as S
 from resalelens.plans.materialize import materialized, table_location, written
 from resalelens.schemas import TXN as TXN_SCHEMA
 from resalelens.session import scratch_path, ship_package
-from resalelens.sources import envelope, history, month_source, months
+from resalelens.sources import envelope, history, month_source, months, record_files
 from resalelens.sources.tables import read_table, table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -262,12 +262,17 @@ def q_search_summary(spark, d):
     return search.summary(search.select_rows(txn(spark, d), SP1), SP1)
 
 
+def _grouped(c: str) -> str:
+    """SQL twin of ``functions.text.grouped_number``."""
+    return "regexp_replace(format('{:,.2f}', " + c + "), '0$', '')"
+
+
 @query("summary_text", f"""with {SEARCH2},
 a as (select count(*) as records, min(price_sqm) as pmin, max(price_sqm) as pmax,
         min(area_sqm) as amin, max(area_sqm) as amax from s where {ALL2})
 select records, case when records > 0 then
-  'You searched : Town: NATION_7 | Price / sqm: $' || format('{{:,.2f}}', pmin) || ' - $' || format('{{:,.2f}}', pmax)
-  || ' | area_sqm: ' || format('{{:,.2f}}', amin) || ' - ' || format('{{:,.2f}}', amax)
+  'You searched : Town: NATION_7 | Price / sqm: $' || {_grouped('pmin')} || ' - $' || {_grouped('pmax')}
+  || ' | area_sqm: ' || {_grouped('amin')} || ' - ' || {_grouped('amax')}
   || ' | Lease >= 60 | Total records: ' || format('{{:,}}', records)
   else '<< YOUR SEARCH HAS NO RESULTS >>' end as text from a""")
 def q_summary_text(spark, d):
@@ -283,6 +288,15 @@ def q_page_of_results(spark, d):
                        ascending=False, offset=20, size=20)
 
 
+@query("deep_page_of_results", f"""with {TXN}
+select * from txn order by price desc nulls last, month nulls first, town nulls first, flat nulls first, street nulls first, floor nulls first,
+  lease nulls first, area_sqm nulls first, area_sqft nulls first, price_sqm nulls first, price_sqft nulls first
+limit 20 offset (select 7 * count(*) // 10 from txn)""")
+def q_deep_page_of_results(spark, d):
+    t = txn(spark, d).select("month", "town", "flat", "street", "floor", "lease", "area_sqm", "area_sqft", "price_sqm", "price_sqft", "price")
+    return search.page(t, "price", ascending=False, offset=7 * t.count() // 10, size=20)
+
+
 @query("global_min_max", f"""with {TXN}
 select min(price) as price_min, max(price) as price_max, min(area_sqft) as area_min,
   max(area_sqft) as area_max from txn""")
@@ -578,6 +592,19 @@ def q_town_year_crosstab_wide(spark, d):
     return N.crosstab_wide(N.town_year_crosstab(trend(spark, d)), [str(y) for y in YEARS])
 
 
+@query("town_year_crosstab_by_data", f"""with {TREND},
+m as (select town, cast({YEAR} as varchar) as year from trend where {MIL}),
+l as (select coalesce(town, '-') as town, year, count(*) as n from m group by town, year)
+select town, max(n) as most, count(*) as years, sum(n)::bigint as town_total from l group by town""")
+def q_town_year_crosstab_by_data(spark, d):
+    # Read from the wide table: its year columns come from the data.
+    wide = N.crosstab_wide(N.town_year_crosstab(trend(spark, d)))
+    years = [F.col(c) for c in wide.columns if c not in ("town", "town_total", "All")]
+    return wide.where("town != 'All'").select(
+        "town", F.greatest(*years).alias("most"), F.size(F.array_compact(F.array(*years))).cast("long").alias("years"),
+        F.col("All").alias("town_total"))
+
+
 TOWN_YEAR = f"""{TREND},
 ty as (select town, {YEAR} as year, count(*) as count from trend where {MIL} group by 1, 2)"""
 
@@ -844,6 +871,16 @@ def q_records_sink(spark, d):
     return spark.read.schema(TXN_SCHEMA).json(path)
 
 
+@query("records_committed", f"with {TXN} select * from txn")
+def q_records_committed(spark, d):
+    # Two commits of a job each: the second replaces the first.
+    path = scratch_path(spark, "committed")
+    rows = txn(spark, d)
+    record_files.write_committed(rows.where("month < '1994-01'"), path)
+    record_files.write_committed(rows, path, "overwrite")
+    return record_files.read_committed(spark, path, TXN_SCHEMA)
+
+
 # ---------------------------------------------------------------------------
 # Geo
 # ---------------------------------------------------------------------------
