@@ -37,7 +37,9 @@ from resalelens.llm.common import KeyFilter, let, stored
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _MALE = "Mr|Herr|Monsieur|Señor|Господин"
 _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Señora|Госпожа"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+# A local part has at most 64 characters, a domain 253; nothing longer is an address.
+EMAIL = (r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?=[\p{L}\p{N}.-]{1,253}+(?![\p{L}\p{N}.-]))"
+         r"[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++")
 NAME = rf"(?<![\p{{L}}])(?:{_MALE}|{_FEMALE})\.?\x20\p{{Lu}}\p{{Ll}}+(?:\x20\p{{Lu}}\p{{Ll}}+)?"
 IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 NUMBER = r"(?<![\d])\d(?:[\x20-]?\d){12,18}(?!\d)"
@@ -118,8 +120,10 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, s: Column) -> Colum
     extra = F.when(attempt >= EXTEND_AT, F.substring(s, 1, 12)).otherwise("")
     chars = F.concat(F.when(kind == "email", extra).otherwise(""),
                      F.array_join(F.transform(F.split(canon, ""), char), ""), F.when(kind == "secret", extra).otherwise(""))
+    # Digit strings of one length and first digit can run out: later attempts are longer.
+    digits = F.greatest(F.length(canon), F.lit(2)) + F.when(attempt >= EXTEND_AT, attempt - EXTEND_AT + 2).otherwise(0)
     raw = F.concat(F.substring(canon, 1, 1),
-                   F.array_join(F.transform(F.sequence(F.lit(2), F.greatest(F.length(canon), F.lit(2))), lambda i: r(i, 10).cast("string")), ""))
+                   F.array_join(F.transform(F.sequence(F.lit(2), digits), lambda i: r(i, 10).cast("string")), ""))
     # A valid check digit stays valid.
     body = F.substring(raw, F.lit(1), F.length(raw) - 1)
     check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10

@@ -108,3 +108,15 @@ def test_the_dense_class_can_be_set(spark, sparse):
     d = spark.createDataFrame([("\n".join(str(k) for k in range(40)),)], "t string")
     got = d.select(line_dedup.chunks(F.col("t"), sparse).alias("c")).first().c
     assert all(c.size == 2 for c in got) if sparse == 0 else max(c.size for c in got) > 2
+
+
+def test_pii_long_domains_and_digits_that_run_out(spark):
+    from resalelens.llm import pii
+    text = "x@" + "a." * 500_000 + "org and b.c@d.org"
+    d = spark.createDataFrame([(1, text), (2, "plain")], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace_pii(d).collect()}
+    assert out[1].n_entities == 1 and out[1].text.startswith(text[:1_000_000]) and "b.c@d.org" not in out[1].text and out[2].text == "plain"
+    from pyspark.sql import functions as F
+    e = spark.createDataFrame([(f"1{k}",) for k in range(10)], "canon string").select(F.lit("phone").alias("kind"), "canon")
+    got = [r.surrogate for r in pii.assign(e).collect()]
+    assert len(set(got)) == 10 and not set(got) & {f"1{k}" for k in range(10)} and all(g.startswith("1") for g in got)
