@@ -52,10 +52,10 @@ def _hex_limit(sparse: int) -> str:
     return f"{sparse:02x}"
 
 
-def chunks(text: Column, sparse: int = SPARSE) -> Column:
+def chunks(text: Column, sparse: int = SPARSE, with_text: bool = True) -> Column:
     """Array of the chunks of a text in order, as (no, size, digest, chunk): ``size`` lines from line ``no`` on.
 
-    ``chunk`` is their text.  Chunks without a word are left out.
+    ``chunk`` is their text (not there without ``with_text``).  Chunks without a word are left out.
     """
     def dense(sha: Column) -> Column:
         return F.substring(sha, 1, 2) >= _hex_limit(sparse)
@@ -85,6 +85,8 @@ def chunks(text: Column, sparse: int = SPARSE) -> Column:
                 return F.concat(F.filter(F.transform(at, one), lambda u: u.isNotNull() & u["word"]), longs)
 
             found = let(F.filter(F.sequence(F.lit(0), last), boundary), of)
+            if not with_text:
+                return found
             return F.transform(found, lambda u: F.struct(u["no"].alias("no"), u["size"].alias("size"), u["digest"].alias("digest"),
                                                          F.array_join(F.slice(lines, u["no"] + 1, u["size"]), "\n").alias("chunk")))
 
@@ -93,11 +95,11 @@ def chunks(text: Column, sparse: int = SPARSE) -> Column:
     return let(F.split(text, "\n"), cut)
 
 
-def _chunk_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _chunk_rows(docs: DataFrame, id_col: str, text_col: str, with_text: bool = True) -> DataFrame:
     """(doc_id, text_hash, no, size, digest, chunk): one row for each chunk."""
     text = F.col(text_col).cast("string")
     return (docs.where(text.isNotNull())
-            .select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.inline(chunks(text))))
+            .select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.inline(chunks(text, with_text=with_text))))
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +107,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = _chunk_rows(docs, id_col, text_col)
     at = F.struct("doc_id", "text_hash", "no", "size")
     # One document repeated as a row is one occurrence: first == last then.
-    often = stored(rows.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    often = stored(_chunk_rows(docs, id_col, text_col, with_text=False).groupBy("digest")
+                   .agg(F.min(at).alias("first"), F.max(at).alias("last"))
                    .where(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "digests")
     n = often.count()
     # The text of each first occurrence, fetched by its place, one a digest.
