@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-CACHE_BYTES = 80_000_000  # each of the two generations of a cache
+CACHE_BYTES = 45_000_000  # each of the two generations of a cache
 PART_BYTES = 8_000_000  # text whose words are looked up together
 _ENTRY = 150  # bytes of an entry beside key and ids
 _LONG = 4096  # keys and ids beyond this size are not kept
