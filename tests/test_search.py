@@ -95,7 +95,7 @@ def test_summary_and_text(txn):
     r = S.summary(s, p).first()
     assert (r.records, r.price_min, r.price_max) == (2, 350000.0, 900000.0)
     t = S.summary_text(s, p).first().text
-    assert t.startswith("You searched : Town: BISHAN | price: $350,000.00 - $900,000.00 | area_sqft: ")
+    assert t.startswith("You searched : Town: BISHAN | price: $350,000.0 - $900,000.0 | area_sqft: ")
     assert t.endswith("| Lease from 60 - 99 | Total records: 2")
     none = S.SearchParams(town="NOWHERE")
     r = S.summary_text(S.search(txn, none), none).first()
