@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from resalelens.functions.numeric import round_half_away
 from resalelens.operators import analyses as N
-from resalelens.operators import boxstats, clean, facets, geo, search, trends
+from resalelens.operators import boxstats, clean, facets, geo, robust, search, trends
 from resalelens.plans import standin as S
 from resalelens.plans.materialize import materialized, table_location, written
 from resalelens.schemas import TXN as TXN_SCHEMA
 from resalelens.session import scratch_path, ship_package
-from resalelens.sources import envelope, history, month_source, months, record_files
+from resalelens.sources import documents, envelope, history, month_source, months, record_files
 from resalelens.sources.tables import read_table, table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -713,6 +713,36 @@ def q_trend_residual_outliers(spark, d):
     return N.residual_outliers(txn(spark, d), z_min=2.5)
 
 
+def _robust_sql() -> str:
+    cut, to_scale = robust.CUT, robust.MEDIAN_TO_SCALE
+    return f"""recursive {TXN},
+t as (select price_sqft as x, price as y from txn where price_sqft is not null and price is not null),
+c as (select quantile_cont(x, 1 / 3.0::double) as lo, quantile_cont(x, 2 / 3.0::double) as hi, avg(x) as mx from t),
+s as (select median(x) filter (x <= lo) as x0, median(y) filter (x <= lo) as y0,
+    median(x) filter (x >= hi) as x2, median(y) filter (x >= hi) as y2 from t, c),
+b as (select (y2 - y0) / (x2 - x0) as b0 from s),
+a as (select median(y - b0 * x) as a0 from t, b),
+sc as (select {to_scale!r}::double * median(abs(y - a0 - b0 * x)) as s0 from t, a, b),
+z as (select x - mx as x, y from t, c),
+it as (select 0 as i, a0 + b0 * mx as a, b0 as b, false as done from a, b, c
+  union all
+  select i + 1, (sy - nb * sx) / sw, nb, abs((sy - nb * sx) / sw - a) <= {robust.STOP!r} * abs((sy - nb * sx) / sw) and abs(nb - b) <= {robust.STOP!r} * abs(nb)
+  from (select i, a, b, sw, sx, sy, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) as nb from (
+    select i, a, b, sum(w) as sw, sum(w * x) as sx, sum(w * y) as sy, sum(w * x * x) as sxx, sum(w * x * y) as sxy from (
+      select i, a, b, x, y, case when abs(y - a - b * x) < {cut!r} * s0 then pow(1 - pow((y - a - b * x) / ({cut!r} * s0), 2), 2) else 0 end as w
+      from z, it, sc where i < {robust.ROUNDS} and not done) group by i, a, b))),
+f as (select a - b * mx as a, b from it, c where i = (select max(i) from it)),
+fs as (select a, b, {to_scale!r}::double * (select median(abs(y - a - b * x)) from t) as sd from f)"""
+
+
+@query("trend_robust_outliers", f"""with {_robust_sql()}
+select month, town, street, price, price_sqft, round(a + b * price_sqft, 2) as fitted,
+  round(price - (a + b * price_sqft), 2) as residual, round((price - (a + b * price_sqft)) / sd, 4) as z
+from txn, fs where abs((price - (a + b * price_sqft)) / sd) >= 2.5""")
+def q_trend_robust_outliers(spark, d):
+    return robust.robust_outliers(txn(spark, d), z_min=2.5).select("month", "town", "street", "price", "price_sqft", "fitted", "residual", "z")
+
+
 @query("bulk_sales", f"""with p as ({S.PRIVATE_SQL})
 select month, property_type, nettPrice, noOfUnit, noOfUnit > 1 as is_bulk,
   nettPrice / cast(noOfUnit as double) as unit_price from p""")
@@ -752,6 +782,46 @@ def q_history_scan(spark, d):
                                         history.empty_frame(spark, history.HISTORY))
 
 
+def document_files(spark: SparkSession, d: str) -> str:
+    """Stored documents of mixed types as JSON lines, written once per input state."""
+    return written(spark, "documents", [table_path(d, t) for t in S.STANDIN_TABLES],
+                   lambda path: S.stored_documents(spark, d).write.text(path))
+
+
+@query("history_documents", f"""with r as ({S.DOCUMENTS_SQL})
+select month, case when k <> 3 then town end as town, case when k in (0, 1, 3) then resale_price end as resale_price,
+  case when k = 2 then '"S$' || p || '"' end as unparsed from r""")
+def q_history_documents(spark, d):
+    docs = documents.read_documents(spark, document_files(spark, d))
+    return documents.typed(docs, history.HISTORY).select(
+        "month", "town", "resale_price", F.col("rest")["resale_price"].alias("unparsed"))
+
+
+@query("history_document_types", f"""with r as ({S.DOCUMENTS_SQL}),
+t as (select 'month' as field, 'text' as type from r
+  union all select 'town', 'text' from r where k <> 3
+  union all select 'note', 'object' from r where k = 4
+  union all select 'resale_price', case when k in (0, 3) then 'double' when k = 4 then 'null' else 'text' end from r)
+select field, type, count(*) as n from t group by field, type""")
+def q_history_document_types(spark, d):
+    return documents.observed_types(documents.read_documents(spark, document_files(spark, d)))
+
+
+@query("history_documents_relaxed", f"""with r as ({S.DOCUMENTS_SQL}),
+e as (select month, town, cast(floor(resale_price) as bigint) as whole, resale_price from r where month >= '1998-10')
+select month, case when k <> 3 then town end as town,
+  case when k in (0, 3) then regexp_replace(regexp_replace(p, '0+$', ''), '[.]$', '') when k = 1 then p
+    when k = 2 then 'S$' || p end as resale_price,
+  case when k = 4 then '{{"asked":' || whole || '}}' end as note from r
+union all select month, town, cast(whole as varchar), null from e""")
+def q_history_documents_relaxed(spark, d):
+    # History with the types found in it, and recent months whose price is a whole number.
+    docs = documents.read_documents(spark, document_files(spark, d))
+    hist = documents.typed(docs, documents.widened_schema(docs), rest=None)
+    recent = S.raw_trend(spark, d).where(F.col("month") >= "1998-10").withColumn("resale_price", F.floor("resale_price"))
+    return documents.relaxed_union(hist, recent)
+
+
 @query("records_json", """
 select cast(to_json({'event_id': event_id, 'user_id': user_id, 'event_type': event_type}) as varchar) as record from events""")
 def q_records_json(spark, d):

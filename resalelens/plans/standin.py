@@ -94,6 +94,20 @@ def raw_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_transactions(spark, sf_dir).select("month", "town", "resale_price")
 
 
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend records as a document store holds them, a JSON line each: by whole price mod 5 the price
+    is a number, number text, other text, a number without a town, or null beside a nested note."""
+    r = raw_trend(spark, sf_dir).withColumn("p", F.col("resale_price").cast("decimal(18,2)"))
+    r = r.withColumn("k", F.floor("resale_price") % 5).withColumn("id", F.uuid())
+    number = F.concat(F.lit(', "resale_price": '), F.col("p").cast("string"))
+    text = F.concat(F.lit(', "resale_price": "'), F.col("p").cast("string"), F.lit('"'))
+    other = F.concat(F.lit(', "resale_price": "S$'), F.col("p").cast("string"), F.lit('"'))
+    nothing = F.concat(F.lit(', "resale_price": null, "note": {"asked": '), F.floor("resale_price").cast("string"), F.lit("}"))
+    price = F.when(F.col("k").isin(0, 3), number).when(F.col("k") == 1, text).when(F.col("k") == 2, other).otherwise(nothing)
+    town = F.when(F.col("k") == 3, "").otherwise(F.concat(F.lit(', "town": "'), F.col("town"), F.lit('"')))
+    return r.select(F.concat(F.lit('{"_id": "'), "id", F.lit('", "month": "'), "month", F.lit('"'), town, price, F.lit("}")).alias("value"))
+
+
 def ratio_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-item unit value by return flag: the fixture that has box-plot outliers."""
     li = read_table(spark, sf_dir, "lineitem")
@@ -175,6 +189,13 @@ select month, town,
 from ({RAW_TXN_SQL}) r
 """
 
+# What ``stored_documents`` holds: the price as text and the class of each record.
+DOCUMENTS_SQL = f"""
+select month, town, cast(cast(resale_price as decimal(18, 2)) as double) as resale_price, cast(cast(resale_price as decimal(18, 2)) as varchar) as p,
+  cast(floor(resale_price) as bigint) as whole, cast(floor(resale_price) as bigint) % 5 as k
+from ({RAW_TXN_SQL}) r
+"""
+
 TREND_SQL = f"""
 select month, town, cast(resale_price as double) as price, cast(1 as integer) as count,
   case when resale_price is null then null
