@@ -6,7 +6,8 @@ bounding-box filter runs first, so that the iteration sees candidate rows
 only and parquet can skip row groups.  Rows
 without usable coordinates are in neither result.  Where the ellipsoid
 iteration does not converge (nearly antipodal points) a row is outside with a
-null ``dist`` if the haversine, less its error, is beyond the radius.
+null ``dist`` if the haversine, less its error, is beyond the radius;
+``method="geodesic"`` is the same measure with a distance there too.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from resalelens.functions.numeric import round_half_away
 from resalelens.operators.clean import as_double
+from resalelens.functions.antipodal import geodesic_m
 from resalelens.functions.geodesy import bounding_box, ellipsoid_m, haversine_m
 
 
@@ -34,7 +36,9 @@ def _dist(lat: str, lon: str, lat0: float, lon0: float, method: str):
         return ellipsoid_m(F.col(lat), F.col(lon), a, b)
     if method == "sphere":
         return haversine_m(F.col(lat), F.col(lon), a, b)
-    raise ValueError("method must be 'ellipsoid' or 'sphere'")
+    if method == "geodesic":
+        return geodesic_m(F.col(lat), F.col(lon), a, b)
+    raise ValueError("method must be 'ellipsoid', 'geodesic' or 'sphere'")
 
 
 def with_distance(df: DataFrame, point: tuple[float, float], method: str = "ellipsoid",

@@ -1013,6 +1013,31 @@ def q_proximity_list_ellipsoid(spark, d):
     return geo.proximity_list(S.supplier_points(spark, d), POINT, RADIUS)
 
 
+def _far_sql() -> str:
+    from resalelens.functions.antipodal import geodesic_sql
+    return f"recursive p as ({S.OPPOSITE_SQL}), " + geodesic_sql("p", "poi_id", "LATITUDE", "LONGITUDE", *POINT)
+
+
+#: Metres; the farthest point on the globe is about four kilometres beyond.
+FAR_RADIUS = 20_000_000.0
+
+
+@query("within_radius_geodesic", f"""with {_far_sql()}
+select poi_id, loc_info, LATITUDE, LONGITUDE, round(dist, 3) as dist from p join far_dist using (poi_id)
+where dist <= {FAR_RADIUS!r}""")
+def q_within_radius_geodesic(spark, d):
+    w = geo.within_radius(S.opposite_points(spark, d), POINT, FAR_RADIUS, method="geodesic")
+    return w.withColumn("dist", round_half_away("dist", 3))
+
+
+@query("outside_radius_geodesic", f"""with {_far_sql()}
+select poi_id, loc_info, LATITUDE, LONGITUDE, round(dist, 3) as dist from p join far_dist using (poi_id)
+where dist > {FAR_RADIUS!r}""")
+def q_outside_radius_geodesic(spark, d):
+    w = geo.outside_radius(S.opposite_points(spark, d), POINT, FAR_RADIUS, method="geodesic")
+    return w.withColumn("dist", round_half_away("dist", 3))
+
+
 # ---------------------------------------------------------------------------
 # Tag facets
 # ---------------------------------------------------------------------------

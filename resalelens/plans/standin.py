@@ -128,6 +128,13 @@ def supplier_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def opposite_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of interest and, under negative ids, the points opposite them on the globe."""
+    p = supplier_points(spark, sf_dir)
+    return p.unionByName(p.select((-1 - F.col("poi_id")).alias("poi_id"), "loc_info", (-F.col("LATITUDE")).alias("LATITUDE"),
+                                  (F.col("LONGITUDE") - 180).alias("LONGITUDE")))
+
+
 def private_sales(txn: DataFrame) -> DataFrame:
     """Private-sale records from clean transactions: month, property_type
     (the flat type), nettPrice, noOfUnit (7 for the 19-21 storeys, a bulk
@@ -220,6 +227,12 @@ select s_suppkey as poi_id, s_name as loc_info,
 from supplier
 """
 
+# The points of interest and, under negative ids, the points opposite them on the globe.
+OPPOSITE_SQL = f"""
+select * from ({POINTS_SQL}) p
+union all select -1 - poi_id, loc_info, -LATITUDE, LONGITUDE - 180 from ({POINTS_SQL}) p
+"""
+
 PRIVATE_SQL = f"""
 select month, flat as property_type, price as nettPrice,
   case when floor = '19-21' then 7 else 1 end as noOfUnit
