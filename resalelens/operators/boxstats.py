@@ -9,7 +9,7 @@ Plan: pass 1 computes the quartiles per group (see ``method``);
 its result has one row per group and is joined back to the rows on the
 group key -- the planner broadcasts it when its estimate is small and
 shuffles otherwise, and AQE splits a skewed group across tasks.  Pass 2
-aggregates again for whiskers and outlier counts.  No pass gathers a group.
+aggregates again for whiskers and outlier counts, a buffer a group in each task.  No pass gathers a group.
 
 ``method`` picks how quantiles are computed:
 
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resalelens.functions.numeric import round_half_away
+from resalelens.operators.common import same, stored
 from resalelens.operators.quantiles import sorted_quantiles
 from resalelens.schemas import FENCE_K
 
@@ -74,28 +75,24 @@ def box_stats(df: DataFrame, value: str, groups: Sequence[str], k: float = FENCE
               digits: int | None = None, **kw) -> DataFrame:
     """Per group n, q1, median, q3, iqr, fences, whiskers, n_outliers.
 
-    The rows are counted by value once; whiskers and outlier counts come from
-    the same value counts joined to their group's fences, so no input row is
-    joined.  ``digits`` rounds the statistics.
+    The fences, a row a group, are written to the shared folder, so that the planner knows their
+    size; each row meets them where it is read, and a task holds one buffer a group, however many
+    values there are.  ``digits`` rounds the statistics.
     """
     groups = list(groups)
     stats = ["n", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
-    f = fences(df, value, groups, k, **kw)
-    counts = (df.select(*groups, F.col(value).cast("double").alias(value))
-              .groupBy(*groups, value).agg(F.count(value).alias("_c")))
-    cond = None
-    for c in groups:
-        eq = counts[c].eqNullSafe(f[c])
-        cond = eq if cond is None else cond & eq
-    joined = counts.join(f, cond).select(*[counts[c] for c in groups], counts[value], "_c", *[f[c] for c in stats])
-    v = F.col(value)
+    g, fg = [f"g{i}" for i in range(len(groups))], [f"f{i}" for i in range(len(groups))]
+    f = stored(fences(df, value, groups, k, **kw).toDF(*fg, *stats), "fences")
+    # -0.0 + 0.0 is 0.0
+    rows = df.select(*[F.col(c).alias(x) for c, x in zip(groups, g)], (F.col(value).cast("double") + F.lit(0.0)).alias("v"))
+    v = F.col("v")
     inside = v.between(F.col("lower_fence"), F.col("upper_fence"))
-    out = joined.groupBy(*groups).agg(
+    out = rows.join(f, same(g, fg)).groupBy(*g).agg(
         *[F.first(c).alias(c) for c in stats],
         F.min(F.when(inside, v)).alias("lower_whisker"),
         F.max(F.when(inside, v)).alias("upper_whisker"),
-        F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).alias("n_outliers"),
-    )
+        F.count_if(~inside).alias("n_outliers"),
+    ).withColumnsRenamed(dict(zip(g, groups)))
     if digits is not None:
         rounded = stats[1:] + ["lower_whisker", "upper_whisker"]
         out = out.select(*[round_half_away(c, digits).alias(c) if c in rounded else F.col(c)
