@@ -76,11 +76,16 @@ def bracket(key: Column, low: Column, high: Column, brackets: int) -> Column:
 
 
 def _refined(keyed: DataFrame, ranges: DataFrame, groups: list[str]) -> DataFrame:
-    """The brackets of ``ranges`` that hold a wanted rank, as ranges."""
-    cut = (_inside(keyed, ranges, groups)
-           .groupBy(*groups, "lo", bracket(F.col("k"), F.col("lo"), F.col("hi"), BRACKETS).alias("b"))
-           .agg(F.count(F.lit(1)).alias("rows"), F.min("k").alias("lo_"), F.max("k").alias("hi_"),
-                F.first("below").alias("below"), F.first("ranks").alias("ranks"), F.first("n").alias("n")))
+    """The brackets of ``ranges`` that hold a wanted rank, as ranges.
+
+    The rows are counted in fixed-size buffers (a hash aggregate); the ranks, an array, join the
+    counts afterwards -- as an aggregate of their own they would have all rows of a task sorted.
+    """
+    counts = (_inside(keyed, ranges, groups).select(*groups, "k", "lo", "hi")
+              .groupBy(*groups, "lo", bracket(F.col("k"), F.col("lo"), F.col("hi"), BRACKETS).alias("b"))
+              .agg(F.count(F.lit(1)).alias("rows"), F.min("k").alias("lo_"), F.max("k").alias("hi_")))
+    of = ranges.select(*[F.col(c).alias(f"r_{c}") for c in [*groups, "lo"]], "below", "ranks", "n")
+    cut = counts.join(of, same([*groups, "lo"], [f"r_{c}" for c in [*groups, "lo"]])).drop(*[f"r_{c}" for c in [*groups, "lo"]])
     upto = F.col("below") + F.sum("rows").over(Window.partitionBy(*groups, "lo").orderBy("b"))
     return (cut.withColumn("upto", upto).withColumn("below", F.col("upto") - F.col("rows"))
             .withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("upto"))))
