@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +49,8 @@ class WrittenFile(WriterCommitMessage):
 class RecordWriter(DataSourceArrowWriter):
     """Writes one file a task; the driver's ``commit`` makes them visible at once."""
 
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, path: str, overwrite: bool, lines: bool = False):
+        self.path, self.overwrite, self.lines = path, overwrite, lines
 
     def _folder(self, name: str):
         fs, root = pafs.FileSystem.from_uri(self.path)
@@ -64,9 +65,8 @@ class RecordWriter(DataSourceArrowWriter):
         try:
             with fs.open_output_stream(f"{folder}/{name}") as out:
                 for batch in iterator:
-                    lines = [json.dumps(r, ensure_ascii=False, default=str) for r in batch.to_pylist()]
-                    records += len(lines)
-                    out.write("".join([x + "\n" for x in lines]).encode())
+                    records += batch.num_rows
+                    out.write(_joined(batch.column(0)) if self.lines else _records(batch))
         except BaseException:
             fs.delete_file(f"{folder}/{name}")
             raise
@@ -88,20 +88,35 @@ class RecordWriter(DataSourceArrowWriter):
                 fs.delete_file(f"{folder}/{m.name}")
 
 
+def _records(batch: pa.RecordBatch) -> bytes:
+    return "".join([json.dumps(r, ensure_ascii=False, default=str) + "\n" for r in batch.to_pylist()]).encode()
+
+
+def _joined(lines: pa.Array) -> pa.Buffer | bytes:
+    """The lines, each with its line end, joined by Arrow."""
+    if not len(lines):
+        return b""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(lines) + 1], pa.int32()), pa.concat_arrays([lines.cast(pa.binary()), pa.array([b""], pa.binary())]))
+    return pc.binary_join(whole, b"\n")[0].as_buffer()
+
+
 class RecordFiles(DataSource):
     @classmethod
     def name(cls):
         return FORMAT
 
     def writer(self, schema: T.StructType, overwrite: bool):
-        return RecordWriter(self.options["path"], overwrite)
+        return RecordWriter(self.options["path"], overwrite, self.options.get("lines") == "true")
 
 
 def write_committed(df: DataFrame, path: str, mode: str = "append") -> None:
     """Appends the rows of ``df`` to the table at ``path`` in one commit (``overwrite``: replaces it)."""
     spark = df.sparkSession
     spark.dataSource.register(RecordFiles)
-    df.write.format(FORMAT).mode(mode).save(qualified(spark, path))
+    # Spark makes the JSON text; the writer's tasks only join the lines.
+    record = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+    lines = df.select(F.to_json(record, {"ignoreNullFields": "false"}).alias("value"))
+    lines.write.format(FORMAT).option("lines", "true").mode(mode).save(qualified(spark, path))
 
 
 def read_committed(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
