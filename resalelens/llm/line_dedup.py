@@ -38,13 +38,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resalelens.llm.common import KeyFilter, let, stored, word_count
+from resalelens.llm.common import KeyFilter, let, stored
 
 #: Of 256 hash values, those that are no boundary.
 SPARSE = 16
 #: A line of more words is a passage by itself.
 LONG_LINE = 50
 _WORD = r"[^\x20\x09-\x0D]"
+#: More than LONG_LINE words, in one pass without going back.
+_LONG = rf"^[\x20\x09-\x0D]*+(?:{_WORD}++[\x20\x09-\x0D]++){{{LONG_LINE}}}{_WORD}"
+
+
+def _is_long(line: Column) -> Column:
+    return F.when(F.length(line) > 2 * LONG_LINE, F.rlike(line, F.lit(_LONG))).otherwise(F.lit(False))
 
 
 def _hex_limit(sparse: int) -> str:
@@ -57,13 +63,24 @@ def chunks(text: Column, sparse: int = SPARSE, with_text: bool = True) -> Column
 
     ``chunk`` is their text (not there without ``with_text``).  Chunks without a word are left out.
     """
+    found = _cuts(text, sparse)
+    return _with_text(text, found) if with_text else found
+
+
+def _with_text(text: Column, found: Column) -> Column:
+    """The chunks ``found`` of a text with their own texts."""
+    return let(F.split(text, "\n"), lambda lines: F.transform(found, lambda u: F.struct(
+        u["no"].alias("no"), u["size"].alias("size"), u["digest"].alias("digest"),
+        F.array_join(F.slice(lines, u["no"] + 1, u["size"]), "\n").alias("chunk"))))
+
+
+def _cuts(text: Column, sparse: int) -> Column:
     def dense(sha: Column) -> Column:
         return F.substring(sha, 1, 2) >= _hex_limit(sparse)
 
     def cut(lines: Column) -> Column:
         def hashed(x: Column) -> Column:
-            return F.struct(F.sha2(x, 256).alias("sha"), F.rlike(x, F.lit(_WORD)).alias("word"),
-                            F.when(F.length(x) > 2 * LONG_LINE, word_count(x) > LONG_LINE).otherwise(F.lit(False)).alias("long"))
+            return F.struct(F.sha2(x, 256).alias("sha"), F.rlike(x, F.lit(_WORD)).alias("word"), _is_long(x).alias("long"))
 
         def pieces(h: Column) -> Column:
             last = F.size(h) - 1
@@ -84,30 +101,24 @@ def chunks(text: Column, sparse: int = SPARSE, with_text: bool = True) -> Column
                     i.alias("no"), F.lit(1).alias("size"), F.unhex(x["sha"]).alias("digest"), F.lit(True).alias("word")))), lambda u: u.isNotNull())
                 return F.concat(F.filter(F.transform(at, one), lambda u: u.isNotNull() & u["word"]), longs)
 
-            found = let(F.filter(F.sequence(F.lit(0), last), boundary), of)
-            if not with_text:
-                return found
-            return F.transform(found, lambda u: F.struct(u["no"].alias("no"), u["size"].alias("size"), u["digest"].alias("digest"),
-                                                         F.array_join(F.slice(lines, u["no"] + 1, u["size"]), "\n").alias("chunk")))
+            return let(F.filter(F.sequence(F.lit(0), last), boundary), of)
 
         return let(F.transform(lines, hashed), pieces)
 
     return let(F.split(text, "\n"), cut)
 
 
-def _chunk_rows(docs: DataFrame, id_col: str, text_col: str, with_text: bool = True) -> DataFrame:
-    """(doc_id, text_hash, no, size, digest, chunk): one row for each chunk."""
-    text = F.col(text_col).cast("string")
-    return (docs.where(text.isNotNull())
-            .select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.inline(chunks(text, with_text=with_text))))
-
-
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, gone, chunks): the lines to remove from each document that has any, and how many chunks they are."""
-    rows = _chunk_rows(docs, id_col, text_col)
+    text = F.col(text_col).cast("string")
+    # Lines are hashed once; the texts lie beside their cuts for the passes that need a chunk's text.
+    cut = stored(docs.where(text.isNotNull()).select(
+        F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"),
+        chunks(text, with_text=False).alias("cuts")), "cuts")
+    rows = cut.select("doc_id", "text_hash", F.inline(_with_text(F.col("text"), F.col("cuts"))))
     at = F.struct("doc_id", "text_hash", "no", "size")
     # One document repeated as a row is one occurrence: first == last then.
-    often = stored(_chunk_rows(docs, id_col, text_col, with_text=False).groupBy("digest")
+    often = stored(cut.select("doc_id", "text_hash", F.inline("cuts")).groupBy("digest")
                    .agg(F.min(at).alias("first"), F.max(at).alias("last"))
                    .where(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first"), "digests")
     n = often.count()
@@ -178,8 +189,7 @@ def _units(text: Column) -> Column:
 
     def of(lines: Column) -> Column:
         h = F.transform(lines, lambda x: F.struct(F.sha2(x, 256).alias("sha"), F.rlike(x, F.lit(_WORD)).alias("word"),
-                                                  F.when(F.length(x) > 2 * LONG_LINE, word_count(x) > LONG_LINE)
-                                                  .otherwise(F.lit(False)).alias("long")))
+                                                  _is_long(x).alias("long")))
 
         def units(h: Column) -> Column:
             # Digests have one length, so a pair's digest stands for both lines in order.

@@ -120,3 +120,27 @@ def test_pii_long_domains_and_digits_that_run_out(spark):
     e = spark.createDataFrame([(f"1{k}",) for k in range(10)], "canon string").select(F.lit("phone").alias("kind"), "canon")
     got = [r.surrogate for r in pii.assign(e).collect()]
     assert len(set(got)) == 10 and not set(got) & {f"1{k}" for k in range(10)} and all(g.startswith("1") for g in got)
+
+
+def test_lines_are_hashed_by_one_pass_over_the_texts(spark, monkeypatch):
+    plans = []
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    stored = line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", noted)
+    docs = spark.createDataFrame([(1, "a b\nc d\ne"), (2, "x\na b\nc d\ny"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_chunks(docs).collect()}
+    assert got == without_chunks([(1, "a b\nc d\ne"), (2, "x\na b\nc d\ny")]) | {3: None}
+    assert sum("sha2(" in p for p in plans) == 1
+
+
+def test_long_lines_have_more_words_than_the_limit(spark):
+    n = line_dedup.LONG_LINE
+    lines = [sep.join(["woé \U0001f600"] * k) for k in (n - 1, n, n + 1, 3 * n) for sep in (" ", "\t \x0b", "\r\x0c", " ")]
+    lines += [f" \t{x}" for x in lines] + [f"{x}\r " for x in lines] + ["a" * 500, " " * 500, "", "\x85".join("a" * 200), " ".join("a" * (n + 1))]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = df.select("line", line_dedup._is_long(df.line).alias("long")).collect()
+    assert {r["line"]: r["long"] for r in got} == {x: len(WORD.findall(x)) > n for x in lines}
