@@ -16,6 +16,7 @@ Ids are little-endian unsigned 32-bit.  Null texts have no ids.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import json
 import os
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 CACHE_BYTES = 45_000_000  # each of the two generations of a cache
-PART_BYTES = 8_000_000  # text whose words are looked up together
+PART_BYTES = 4_000_000  # text whose words are looked up together
 _ENTRY = 150  # bytes of an entry beside key and ids
 _LONG = 4096  # keys and ids beyond this size are not kept
 
@@ -42,6 +43,8 @@ _BEFORE_SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{202
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ʯΑ-ΡΣ-ωА-я]+")
 _AFTER_WORD = re.compile(r"(?<=\S) ")
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: glibc's; other C libraries may not have it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _ASCII_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
@@ -99,8 +102,10 @@ def _joined(codes: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray
     first = np.cumsum(length) - length
     n = length[codes]
     begin = np.cumsum(n) - n
-    at = np.repeat(first[codes] - begin, n)
-    return np.frombuffer(b"".join(ids), "<u4")[at + np.arange(len(at))], n
+    # Fewer than 2^31 ids in a part: its texts are shorter than that.
+    at = np.repeat((first[codes] - begin).astype(np.int32), n)
+    at += np.arange(len(at), dtype=np.int32)
+    return np.frombuffer(b"".join(ids), "<u4")[at], n
 
 
 def parts(texts: pa.Array, part_bytes: int = PART_BYTES) -> Iterator[pa.Array]:
@@ -114,6 +119,13 @@ def parts(texts: pa.Array, part_bytes: int = PART_BYTES) -> Iterator[pa.Array]:
         at = to
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system: Arrow's pool and the C library keep what a part took at most."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def strings(column: pa.Array) -> pa.Array:
     """A text column as 64-bit strings, null as empty."""
     return pc.fill_null(column.cast(pa.large_string()), "")
@@ -160,6 +172,8 @@ class _Encoder:
         for part in parts(texts):
             flat, n = self.encode(part)
             raw, at = flat.tobytes(), 0
+            del flat
+            _give_back()
             for k in (4 * n).tolist():
                 yield raw[at:at + k]
                 at += k
@@ -186,6 +200,7 @@ class WordBpe(_Encoder):
                         and (split.get("pattern") or {}).get("Regex") == WORD_PATTERN
                         and '"Lowercase"' in json.dumps(self.spec.get("normalizer")))
         self.ends = self._starting(lambda t: bool(suffix) and t.endswith(suffix))
+        del self.spec  # the vocabulary in Python objects
 
     def _not_by_word(self, texts: pa.Array) -> pa.Array:
         # Special tokens are found in the raw text, before lower-casing.
@@ -273,6 +288,7 @@ class ByteBpe(_Encoder):
         self.space = space
         self.bare = Cache(cache_bytes // 4)
         self.starts = self._starting(lambda t: t.startswith("Ġ"))
+        del self.spec  # the vocabulary in Python objects
 
     def _not_by_word(self, texts: pa.Array) -> pa.Array:
         if not self.by_word:
@@ -316,11 +332,20 @@ class ByteBpe(_Encoder):
         model (marks after ASCII letters are another piece).  Other words with no space in them and none of any kind at their start are encoded
         as one text and cut before every id that begins with a space; the rest one by one."""
         one, out, other, rest = self.tokenizer.model.tokenize, {}, [], []
+        stems: dict[bytes, bytes] = {}
+        marks: dict[bytes, bytes] = {}
         for w in words:
             stem = w if w.isalpha() else w.rstrip(_MARKS)
             if stem.isalpha():
-                ids = array("I", [t.id for t in one("Ġ" + stem.decode())]).tobytes()
-                out[w] = ids if stem == w else ids + self._bare([w[len(stem):]])[0]
+                ids = stems.get(stem)
+                if ids is None:
+                    stems[stem] = ids = array("I", [t.id for t in one("Ġ" + stem.decode())]).tobytes()
+                if len(stem) < len(w):
+                    after = w[len(stem):]
+                    if after not in marks:
+                        marks[after] = self._bare([after])[0]
+                    ids += marks[after]
+                out[w] = ids
             elif not w.isascii() and _LETTERS.fullmatch(w.decode()):
                 out[w] = array("I", [t.id for t in one("Ġ" + w.decode("latin-1").translate(_WRITTEN))]).tobytes()
             elif b" " in w or not w or w.decode()[0].isspace() or any(s.encode() in w for s in self.specials):

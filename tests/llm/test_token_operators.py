@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -218,3 +221,25 @@ def test_spelling_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {tuple(r) for r in queries.QUERIES["op13_spelling_variants"](spark, SF).collect()}
     assert got == variants(rows) and len(got) > 1000
+
+
+_HELD = r"""
+import random, re
+import pyarrow as pa
+import public_tokenizers
+from resalelens.llm.token_ids import WordBpe, strings
+rng = random.Random(7)
+texts = pa.array([" ".join("".join(rng.choices("aeinorst", k=9)) for _ in range(400)) for _ in range(3000)])
+held = lambda: sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", open("/proc/self/smaps_rollup").read()))) // 1024
+encoder, before = WordBpe(str(public_tokenizers.path("word_bpe_49k.json")), cache_bytes=1 << 20), held()
+for ids in encoder.each(strings(texts)):
+    pass
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="reads Linux' figures")
+def test_a_worker_gives_the_memory_of_its_parts_back():
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", _HELD], env={**os.environ, "PYTHONPATH": root}, capture_output=True, text=True, check=True).stdout
+    assert int(out) < 300, f"{out} MB beside a cache of 1 MB"
