@@ -38,7 +38,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resalelens.llm.common import KeyFilter, let, stored
+from resalelens.llm.common import KeyFilter, discard, let, stored
 
 #: Of 256 hash values, those that are no boundary.
 SPARSE = 16
@@ -109,7 +109,9 @@ def _cuts(text: Column, sparse: int) -> Column:
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, gone, chunks): the lines to remove from each document that has any, and how many chunks they are."""
+    """(doc_id, text_hash, gone, chunks): the lines to remove from each document that has any, and how many chunks they are.
+
+    Written once; the copy of the texts that it is made from is deleted then."""
     text = F.col(text_col).cast("string")
     # Lines are hashed once; the texts lie beside their cuts for the passes that need a chunk's text.
     cut = stored(docs.where(text.isNotNull()).select(
@@ -133,8 +135,10 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = KeyFilter(often, key, n).maybe(rows, key).join(firsts.hint("merge"), "digest")
     gone = met.where(~at.eqNullSafe(F.col("first")) & (F.col("chunk") == F.col("first_chunk")))
     spans = gone.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("no", "size")).alias("spans"))
-    return spans.select("doc_id", "text_hash", F.array_distinct(F.flatten(F.transform(
-        "spans", lambda s: F.sequence(s["no"], s["no"] + s["size"] - 1)))).alias("gone"), F.size("spans").alias("chunks"))
+    lost = stored(spans.select("doc_id", "text_hash", F.array_distinct(F.flatten(F.transform(
+        "spans", lambda s: F.sequence(s["no"], s["no"] + s["size"] - 1)))).alias("gone"), F.size("spans").alias("chunks")), "gone")
+    discard(cut, firsts)
+    return lost
 
 
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -145,7 +149,7 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     changed.  ``counts`` adds the numbers of removed chunks and lines
     (``n_chunks_gone``, ``n_lines_gone``) as last columns.
     """
-    gone = stored(repeated_chunks(docs, id_col, text_col), "gone").select(
+    gone = repeated_chunks(docs, id_col, text_col).select(
         "doc_id", "text_hash", F.struct("gone", "chunks").alias("gone"))
 
     def left(text: Column) -> Column:

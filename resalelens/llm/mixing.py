@@ -79,6 +79,11 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
                     _fraction(_digest(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")), seed)).alias("start")))
 
 
+def _named(source: str, prefix: str) -> dict[str, Column]:
+    """A source as two columns that are never null."""
+    return {f"{prefix}name": F.coalesce(source, F.lit("")), f"{prefix}none": F.col(source).isNull()}
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED,
         carry: Sequence[str] | None = None) -> DataFrame:
@@ -107,10 +112,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
              .join(t, F.col("m_source").eqNullSafe(F.col("source")))
              .select(F.col("m_source").alias("p_source"), F.col("size").alias("p_size"), F.col("m_bucket").alias("p_bucket"),
                      (F.col("size_start") + F.col("bucket_start")).alias("before"), "source_size", "target", "rate", "start"))
-    within = F.row_number().over(W.partitionBy("m_source", "size", "m_bucket").orderBy("m_key", "m_hash"))
-    placed = (rows.withColumn("k", within)
-              .join(place, F.col("m_source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))
-                    & (F.col("m_bucket") == F.col("p_bucket"))))
+    # Keys without nulls, the same for the window and the join: the rows are shuffled once for both.
+    keys = ["p_name", "p_none", "p_size", "p_bucket"]
+    place = place.withColumns(_named("p_source", "p_")).drop("p_source")
+    within = F.row_number().over(W.partitionBy("m_name", "m_none", "size", "m_bucket").orderBy("m_key", "m_hash"))
+    placed = (rows.withColumns(_named("m_source", "m_")).drop("m_source").withColumn("k", within)
+              .join(place, [F.col(m) == F.col(p) for m, p in zip(("m_name", "m_none", "size", "m_bucket"), keys)]))
     upto = (F.col("before") + F.col("k")).cast("double")
     copies = F.floor(F.col("start") + F.col("rate") * upto) - F.floor(F.col("start") + F.col("rate") * (upto - 1))
     return placed.select(*[f"c{i}" for i in range(len(carry))], "size", "source_size", "target",

@@ -1,6 +1,7 @@
 """Content-defined chunks against brute force, and how much of a passage they find."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -144,3 +145,12 @@ def test_long_lines_have_more_words_than_the_limit(spark):
     df = spark.createDataFrame([(x,) for x in lines], "line string")
     got = df.select("line", line_dedup._is_long(df.line).alias("long")).collect()
     assert {r["line"]: r["long"] for r in got} == {x: len(WORD.findall(x)) > n for x in lines}
+
+
+def test_the_copy_of_the_texts_is_deleted_once_the_lines_are_found(spark):
+    top = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(top))
+    out = line_dedup.drop_repeated_chunks(spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc\nd"), (3, None)], "doc_id long, text string"))
+    made = {x.split("-")[1] for x in set(os.listdir(top)) - before}
+    assert "gone" in made and not made & {"cuts", "firsts"}
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "a\nb\nc", 2: "d", 3: None}

@@ -352,6 +352,19 @@ def test_mixing(docs, empty):
     assert sorted(map(repr, mixing.emit(docs).collect())) == sorted(map(repr, out.collect()))
 
 
+def test_mixing_shuffles_the_texts_once(spark):
+    rows = [(i, "word " * (i % 7), [None, "", "a", "b"][i % 4], i) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, kept long")
+    plan = mixing.emit(df)._jdf.queryExecution().executedPlan().toString()
+    by_bucket = re.findall(r"Exchange hashpartitioning\([^)]*m_bucket#", plan)
+    assert len(by_bucket) == 1 and not re.search(r"Exchange hashpartitioning\(coalesce\(m_source", plan)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    want = con.sql(mixing.SQL).fetchall()
+    got = [(r.c0, r.size, r.source_size, r.target, r.size * r.copies) for r in mixing.mix(df, carry=["doc_id"]).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 400
+
+
 def test_mixing_targets(spark):
     s = spark.createDataFrame([("a", 10), ("b", 1000), (None, 0), ("c", 1000)], "source string, source_size long")
     t = {r.source: r.target for r in mixing.targets(s).collect()}
