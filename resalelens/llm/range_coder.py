@@ -45,7 +45,6 @@ _32 = _U(32)
 _LOW32 = _U(0xFFFFFFFF)
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
 _WEIGHT_BITS = 16
-_PAGE = 256
 _HEAD = struct.Struct("<4s4I")
 
 
@@ -68,9 +67,8 @@ class _Model:
         self.bounds = np.zeros((128, 4), _U)
         self.bounds[:, 3] = 1 << _WEIGHT_BITS
         self.seen = np.ones(vocab, np.int32)
-        # Counts of all smaller ids; beyond the vocabulary no count is reached.
-        self.upto = np.full((vocab // _PAGE + 2) * _PAGE, np.iinfo(np.int32).max, np.int32)
-        self.upto[0] = 0
+        # Counts of all smaller ids.
+        self.upto = np.zeros(vocab + 1, np.int32)
         self.step = 0
         self.last = np.zeros(lanes, np.int64)
         self.place = np.zeros(lanes, np.int64)
@@ -78,7 +76,7 @@ class _Model:
     def predict(self, n: int) -> None:
         """Guesses and confidences for the next id of the first ``n`` lanes; where their share of the interval begins."""
         self.last, self.place = self.last[:n], self.place[:n]
-        self.t1, self.t2 = self.table1.take(self.last), self.table2.take(self.place)
+        self.t1, self.t2 = self.table1[self.last], self.table2[self.place]
         self.g1, self.g2 = self.t1 >> 3, self.t2 >> 3
         self.mix = (((self.t2 & 7) << 4) + ((self.t1 & 7) << 1) + (self.g1 == self.g2)).astype(np.int64) << 2
         share = self.hits * ((1 << _WEIGHT_BITS) - 3) // self.hits.sum(axis=1)[:, None] + 1
@@ -86,18 +84,15 @@ class _Model:
         self.bounds[:, 2] = share[:, 0] + share[:, 1]
         self.flat = self.bounds.reshape(-1)
         if self.step % REFRESH == 0:
-            np.cumsum(self.seen, out=self.upto[1:len(self.seen) + 1])
-            self.total = _U(int(self.upto[len(self.seen)]))
-            self.pages = self.upto[::_PAGE].copy()
+            np.cumsum(self.seen, out=self.upto[1:])
+            self.total = _U(int(self.upto[-1]))
         self.step += 1
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """The ids whose share of the order-0 counts holds each value: the page first, then by halving."""
-        at = (np.searchsorted(self.pages, value, "right") - 1) * _PAGE
-        half = _PAGE // 2
-        while half:
-            at += half * (self.upto.take(at + half) <= value)
-            half //= 2
+        """The ids whose share of the order-0 counts holds each value; in order of value, which is looked up faster."""
+        order = np.argsort(value)
+        at = np.empty(len(value), np.int64)
+        at[order] = np.searchsorted(self.upto, value[order], "right") - 1
         return at
 
     def learn(self, ids: np.ndarray, small: np.ndarray, at: np.ndarray, rare: np.ndarray) -> None:
@@ -218,11 +213,14 @@ def decode_block(block: bytes) -> np.ndarray:
         active = full + (t < rest)
         model.predict(active)
         part = rng[:active] >> _U(_WEIGHT_BITS)
-        value = (code[:active] - low[:active]) // part
-        slot = (value >= model.flat[model.mix + 1]).astype(np.int64) + (value >= model.flat[model.mix + 2])
+        value = code[:active] - low[:active]
+        # Where the second and the third share begin; compared without a division.
+        second, third = part * model.flat[model.mix + 1], part * model.flat[model.mix + 2]
+        in2, in3 = value >= second, value >= third
+        slot = in2.astype(np.int64) + in3
         where = model.mix + slot
-        start = model.flat[where]
-        narrow(slice(0, active), part * start, part * (model.flat[where + 1] - start))
+        start = np.where(in3, third, second * in2)
+        narrow(slice(0, active), start, np.where(in3, part << _U(_WEIGHT_BITS), np.where(in2, third, second)) - start)
         small = np.where(slot == 0, model.g2, model.g1)
         rare = np.flatnonzero(slot == 2)
         part = rng[rare] // model.total

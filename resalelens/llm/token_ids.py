@@ -19,6 +19,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import json
+import operator
 import os
 import re
 from array import array
@@ -56,8 +57,74 @@ def byte_values() -> dict[str, int]:
     return {**{chr(x): x for x in own}, **{chr(0x100 + k): x for k, x in enumerate(others)}}
 
 
+_ID = operator.attrgetter("id")
 _WRITTEN = {byte: char for char, byte in byte_values().items()}
 
+#: Classes of a byte of a text: in a letter, digit, other mark, space, other white space, not known here.
+_LETTER, _DIGIT, _MARK, _SPACE, _BLANK, _ODD = range(6)
+
+
+def _classes() -> np.ndarray:
+    """Class of each byte: ASCII, and U+00C0 to U+027F, whose code points are letters but for two."""
+    out = np.full(256, _ODD, np.uint8)
+    out[0x21:0x7F] = _MARK
+    out[ord("0"):ord("9") + 1] = _DIGIT
+    for first, last in (("A", "Z"), ("a", "z")):
+        out[ord(first):ord(last) + 1] = _LETTER
+    out[ord(" ")] = _SPACE
+    out[0x09:0x0E] = _BLANK
+    out[0x80:0xC0] = _LETTER  # the second byte of what follows; that of others stands after an odd byte
+    out[0xC3:0xCA] = _LETTER
+    return out
+
+
+_CLASS = _classes()
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of 64-bit strings or binary values without nulls, where each begins and the last ends)."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data = texts.buffers()[2]
+    n = int(offsets[-1] - offsets[0])
+    return (np.frombuffer(data, np.uint8, n, int(offsets[0])) if n else np.zeros(0, np.uint8)), offsets - offsets[0]
+
+
+def _odd(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each text has characters whose class is not known here."""
+    found = np.flatnonzero(_CLASS[data] == _ODD)
+    pair = np.flatnonzero(data[:-1] == 0xC3)
+    pair = pair[np.isin(data[pair + 1], (0x97, 0xB7))]  # signs of multiplication and division
+    out = np.zeros(len(at) - 1, bool)
+    out[np.searchsorted(at, np.concatenate([found, pair]), "right") - 1] = True
+    return out
+
+
+def _byte_pieces(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the pieces of the byte-level vocabulary begin in texts without odd characters.
+
+    Runs of one class; a space goes with the run after it; white space before that is a piece, and so is its
+    last character if it is no space; white space that ends a text is one piece; contractions.
+    """
+    kind = _CLASS[data]
+    blank = kind >= _SPACE
+    first = np.zeros(len(data) + 1, bool)
+    first[at] = True
+    begin = first[:-1].copy()
+    last = np.zeros(len(data), bool)  # of white space with something after it
+    last[:-1] = ~blank[1:] & ~first[1:-1]
+    change = kind[1:] != kind[:-1]
+    begin[1:] |= np.where(blank[1:], ~blank[:-1] | last[1:], change & (kind[:-1] != _SPACE))
+    mark = np.flatnonzero(data == ord("'"))
+    mark = mark[begin[mark] & ~first[mark + 1]]
+    for after in ("s", "t", "re", "ve", "m", "ll", "d"):
+        n = len(after) + 1
+        hit = mark[mark + n <= len(data)]
+        for k, c in enumerate(after.encode(), 1):
+            hit = hit[(data[hit + k] == c) & ~first[hit + k]]
+        begin[hit + 1] = False
+        begin[hit[hit + n < len(data)] + n] = True
+    return np.flatnonzero(begin)
+
 
 class Cache:
     """Bounded map of words to ids with two generations."""
@@ -70,7 +137,8 @@ class Cache:
     def find(self, keys: list[bytes]) -> list[bytes | None]:
         got = list(map(self.young.get, keys))
         if self.old:
-            again = {k: v for k, v in ((k, self.old.get(k)) for k, g in zip(keys, got) if g is None) if v is not None}
+            missing = [k for k, g in zip(keys, got) if g is None]
+            again = {k: v for k, v in zip(missing, map(self.old.get, missing)) if v is not None}
             if again:
                 got = [again.get(k) if g is None else g for k, g in zip(keys, got)]
                 self.add(again)
@@ -79,10 +147,12 @@ class Cache:
     def add(self, entries: dict[bytes, bytes]) -> None:
         if self.room < 0:
             self.old, self.young, self.room = self.young, {}, self.limit
-        for k, v in entries.items():
-            if len(k) + len(v) <= _LONG:
-                self.young[k] = v
-                self.room -= len(k) + len(v) + _ENTRY
+        size = list(map(int.__add__, map(len, entries), map(len, entries.values())))
+        if max(size, default=0) > _LONG:
+            entries = {k: v for (k, v), n in zip(entries.items(), size) if n <= _LONG}
+            size = [n for n in size if n <= _LONG]
+        self.young.update(entries)
+        self.room -= sum(size) + _ENTRY * len(size)
 
 
 def _looked_up(cache: Cache, keys: list[bytes], learn: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
@@ -272,7 +342,8 @@ def _cut_after(ids: np.ndarray, last: np.ndarray, n: int) -> list[bytes] | None:
 class ByteBpe(_Encoder):
     """Byte-level vocabulary.
 
-    A text is cut at every space that follows something else than white space: pieces
+    Texts of ASCII and Latin letters are cut into the vocabulary's pieces, byte by byte; the model gets the
+    pieces that are new.  Another text is cut at every space that follows something else than white space: pieces
     begin there, whatever stands around.  ``space`` puts a space before each text;
     ``plain`` takes the special tokens' strings for ordinary text.
     """
@@ -296,6 +367,51 @@ class ByteBpe(_Encoder):
         odd = pc.or_(pc.match_substring_regex(texts, _BEFORE_SPACE), self._special(texts))
         return pc.or_(odd, pc.starts_with(texts, " ")) if self.space else odd
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_word:
+            return super().encode(texts)
+        other = _odd(*_bytes_of(texts))
+        if self.specials:
+            other |= self._special(texts).to_numpy(zero_copy_only=False)
+        if not other.any():
+            return self._by_piece(texts)
+        if other.all():
+            return super().encode(texts)
+        got = [(self._by_piece(texts.filter(pa.array(~other))), np.flatnonzero(~other)),
+               (super().encode(texts.filter(pa.array(other))), np.flatnonzero(other))]
+        out, n = [b""] * len(texts), np.zeros(len(texts), np.int64)
+        for (flat, length), places in got:
+            n[places] = length
+            for i, ids in zip(places.tolist(), np.split(flat, np.cumsum(length)[:-1])):
+                out[i] = ids
+        return np.concatenate(out), n
+
+    def _by_piece(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.space:
+            texts = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string()))
+        data, at = _bytes_of(texts)
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        begin = _byte_pieces(data, at)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(begin), [
+            None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        raw, cut = _bytes_of(pieces.dictionary)
+        raw, cut = raw.tobytes(), cut.tolist()
+        known = [raw[a:b] for a, b in zip(cut, cut[1:])]
+        flat, n = _joined(pieces.indices.to_numpy(), _looked_up(self.words, known, self._learn_pieces))
+        upto = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(begin, at)]
+        return flat, np.diff(upto)
+
+    def _learn_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """A piece goes to the model as the vocabulary writes its bytes."""
+        one, out = self.tokenizer.model.tokenize, []
+        for p in pieces:
+            led = p[:1] == b" "
+            word = p[1:] if led else p
+            text = (("Ġ" if led else "") + word.decode()) if word.isalpha() else p.decode("latin-1").translate(_WRITTEN)
+            out.append(array("I", map(_ID, one(text))).tobytes())
+        return out
+
     def _whole(self, text: str) -> bytes:
         text = " " + text if self.space else text
         if not self.by_word or any(s in text for s in self.specials):
@@ -322,7 +438,8 @@ class ByteBpe(_Encoder):
 
     def _led(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word with a space before it."""
-        return _looked_up(self.words, words, self._learn)
+        # The cache holds the ids of whole keys, pieces with their space among them.
+        return _looked_up(self.words, [b" " + w for w in words], lambda new: self._learn([k[1:] for k in new]))
 
     def _bare(self, texts: list[bytes]) -> list[bytes]:
         return _looked_up(self.bare, texts, lambda new: self._each([t.decode() for t in new]))

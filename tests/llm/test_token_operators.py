@@ -55,6 +55,32 @@ def test_ids_by_words_are_the_tokenizers_ids(make, path, before, plain):
             whole.encode(before, add_special_tokens=False).ids]
 
 
+@pytest.mark.parametrize("space", [False, True])
+def test_latin_texts_are_cut_into_pieces_without_the_whole_tokenizer(space):
+    whole = Tokenizer.from_file(BYTE)
+    whole.encode_special_tokens = space
+    pool = [" ", "  ", "\n", "\t", "\r\n", "\v", "'", "'s", "'S", "'ll", "'re", "'l", "'ve", "''", "a", "Été", "ǅ", "ɏ", "don", "st", "12", "3.5", "...", "\"", "$", "_"]
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12))) for _ in range(6000)] + ["", " ", "'", "x'", "'s", "x 's", "x\n's", "a" * 9000]
+    encoder = token_ids.ByteBpe(BYTE, space, space)
+    encoder._each = None  # nothing goes through it
+    want = [e.ids for e in whole.encode_batch([" " * space + t for t in texts], add_special_tokens=False)]
+    for _ in range(2):
+        array = token_ids.strings(pa.array(["cut off", *texts, "cut off"])).slice(1, len(texts))
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.each(array)] == want
+    odd = ["5 × 5", "÷", "no-break space", "x\x1cy", "語 and é", "<|endoftext|>", "e\u0301"]
+    mixed = [t for pair in zip(texts, odd * 1000) for t in pair]
+    got = [np.frombuffer(x, "<u4").tolist() for x in token_ids.ByteBpe(BYTE, space, space).each(token_ids.strings(pa.array(mixed)))]
+    assert got == [e.ids for e in whole.encode_batch([" " * space + t for t in mixed], add_special_tokens=False)]
+
+
+def test_blocks_are_the_same_bytes_as_in_files_written_before():
+    rng = np.random.default_rng(4)
+    ids = np.concatenate([(50257 * rng.random(30_000) ** 6).astype(int), np.arange(5000) % 7])
+    block = range_coder.encode_block(ids, 50257)
+    assert hashlib.sha256(block).hexdigest()[:16] == "e056828938f438c2" and (range_coder.decode_block(block) == ids).all()
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 127, 128, 129, 5000, 70_001])
 def test_range_coder_round_trip(n):
     rng = np.random.default_rng(n)
