@@ -42,6 +42,9 @@ from resalelens.llm.token_ids import byte_bpe, strings
 
 MAGIC = b"TKB1"
 END_ID = 2
+#: Of each generation of a worker's cache, and of the texts whose pieces are looked up together: most pieces
+#: of a large corpus are rare, and a worker has no other large state.
+CACHE_BYTES, PART_BYTES = 110_000_000, 8_000_000
 NULL_ID, BEGUN, GOES_ON = 1, 2, 4
 _HEAD = struct.Struct("<4s2I")
 _FIELDS = "part int, block int, first_doc long, last_doc long, n_docs long, n_ids long, bytes binary"
@@ -125,11 +128,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = byte_bpe(tokenizer)
+        encoder = byte_bpe(tokenizer, cache_bytes=CACHE_BYTES)
         vocab = max(encoder.tokenizer.get_vocab_size(), end_id + 1)
         out = _Blocks(TaskContext.get().partitionId(), vocab, block_ids)
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.each(strings(b.column(1)))):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.each(strings(b.column(1)), PART_BYTES)):
                 yield from out.add(doc_id, ids + end)
         if out.n:
             yield out.flush()

@@ -237,9 +237,9 @@ class _Encoder:
         out = [np.frombuffer(self._whole(texts[i].as_py()), "<u4") if w else next(mine) for i, w in enumerate(whole.to_pylist())]
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
-    def each(self, texts: pa.Array) -> Iterator[bytes]:
+    def each(self, texts: pa.Array, part_bytes: int = PART_BYTES) -> Iterator[bytes]:
         """The ids of each text, as bytes."""
-        for part in parts(texts):
+        for part in parts(texts, part_bytes):
             flat, n = self.encode(part)
             raw, at = flat.tobytes(), 0
             del flat
@@ -484,5 +484,5 @@ def word_bpe(path: str) -> WordBpe:
 
 
 @functools.lru_cache(maxsize=4)
-def byte_bpe(path: str, space: bool = False, plain: bool = False) -> ByteBpe:
-    return ByteBpe(path, space, plain)
+def byte_bpe(path: str, space: bool = False, plain: bool = False, cache_bytes: int = CACHE_BYTES) -> ByteBpe:
+    return ByteBpe(path, space, plain, cache_bytes)
