@@ -2,10 +2,11 @@
 
 Both BPE vocabularies cut a text into pieces before any merge, and no piece
 reaches over a word's edge, so the ids of a text are the ids of its words in
-order.  Texts are cut with Arrow's string kernels, the distinct words of a part
-of a batch are looked up in a bounded cache of the worker, and only words that
-are not there go through the tokenizer.  Words with punctuation are made up of
-their pieces, which repeat far more often than the words.
+order.  Words of ASCII and Latin letters are cut into the vocabulary's pieces byte
+by byte, since pieces repeat far more often than words; others stay whole.  The
+distinct pieces of a part of a batch are looked up in a bounded cache of the
+worker; new pieces go to the model, and only words left whole and not there go
+through the whole tokenizer.
 
 The cache has two generations: a full young one becomes the old one, words found
 in the old one move to the young one, and the rest of the old one goes.  Words in
@@ -42,6 +43,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BEFORE_SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 #: Letters in every version of Unicode tables.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ʯΑ-ΡΣ-ωА-я]+")
+#: Letters of the classes below, whose lower case is one letter.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɿ]+")
 _AFTER_WORD = re.compile(r"(?<=\S) ")
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: glibc's; other C libraries may not have it.
@@ -79,6 +82,9 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+#: Signs of multiplication and division; then also the capital I with a dot, whose lower case is two characters.
+_SIGNS = (b"\xc3\x97", b"\xc3\xb7")
+_SIGNS_LOWER = (*_SIGNS, b"\xc4\xb0")
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +95,35 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8, n, int(offsets[0])) if n else np.zeros(0, np.uint8)), offsets - offsets[0]
 
 
+def _odd_at(data: np.ndarray, kind: np.ndarray, signs: tuple[bytes, ...]) -> np.ndarray:
+    """Where characters stand whose class is not known here, ``signs`` among them."""
+    found = [np.flatnonzero(kind == _ODD)]
+    for lead in {s[0] for s in signs}:
+        pair = np.flatnonzero(data[:-1] == lead)
+        found.append(pair[np.isin(data[pair + 1], [s[1] for s in signs if s[0] == lead])])
+    return np.concatenate(found)
+
+
 def _odd(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether each text has characters whose class is not known here."""
-    found = np.flatnonzero(_CLASS[data] == _ODD)
-    pair = np.flatnonzero(data[:-1] == 0xC3)
-    pair = pair[np.isin(data[pair + 1], (0x97, 0xB7))]  # signs of multiplication and division
     out = np.zeros(len(at) - 1, bool)
-    out[np.searchsorted(at, np.concatenate([found, pair]), "right") - 1] = True
+    out[np.searchsorted(at, _odd_at(data, _CLASS[data], _SIGNS), "right") - 1] = True
     return out
 
 
+def _after_marks(data: np.ndarray, first: np.ndarray, begin: np.ndarray) -> None:
+    """Makes pieces of the contractions among the pieces that ``begin``; texts begin at ``first``."""
+    mark = np.flatnonzero(data == ord("'"))
+    mark = mark[begin[mark] & ~first[mark + 1]]
+    for after in ("s", "t", "re", "ve", "m", "ll", "d"):
+        n = len(after) + 1
+        hit = mark[mark + n <= len(data)]
+        for k, c in enumerate(after.encode(), 1):
+            hit = hit[(data[hit + k] == c) & ~first[hit + k]]
+        begin[hit + 1] = False
+        begin[hit[hit + n < len(data)] + n] = True
+
+
 def _byte_pieces(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where the pieces of the byte-level vocabulary begin in texts without odd characters.
 
@@ -114,18 +139,35 @@ def _byte_pieces(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     last[:-1] = ~blank[1:] & ~first[1:-1]
     change = kind[1:] != kind[:-1]
     begin[1:] |= np.where(blank[1:], ~blank[:-1] | last[1:], change & (kind[:-1] != _SPACE))
-    mark = np.flatnonzero(data == ord("'"))
-    mark = mark[begin[mark] & ~first[mark + 1]]
-    for after in ("s", "t", "re", "ve", "m", "ll", "d"):
-        n = len(after) + 1
-        hit = mark[mark + n <= len(data)]
-        for k, c in enumerate(after.encode(), 1):
-            hit = hit[(data[hit + k] == c) & ~first[hit + k]]
-        begin[hit + 1] = False
-        begin[hit[hit + n < len(data)] + n] = True
+    _after_marks(data, first, begin)
     return np.flatnonzero(begin)
 
 
+def _solid_pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where bytes are no white space, where the pieces of the vocabulary with word ends begin) in lower-case texts.
+
+    Runs of letters or marks, digits, contractions.  A word with odd characters is left whole.
+    """
+    kind = _CLASS[data]
+    solid = (kind < _SPACE) | (kind == _ODD)
+    first = np.zeros(len(data) + 1, bool)
+    first[at] = True
+    word = first[:-1].copy()
+    word[1:] |= ~solid[:-1]
+    word &= solid
+    begin = word | (kind == _DIGIT)
+    begin[1:] |= kind[1:] != kind[:-1]
+    _after_marks(data, first, begin)
+    odd = _odd_at(data, kind, _SIGNS_LOWER)
+    if len(odd):
+        number = np.cumsum(word, dtype=np.int32)
+        whole = np.zeros(int(number[-1]) + 1, bool)
+        whole[number[odd]] = True
+        begin &= ~whole[number]
+        begin |= word
+    return solid, begin & solid
+
+
 class Cache:
     """Bounded map of words to ids with two generations."""
 
@@ -178,6 +220,15 @@ def _joined(codes: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(b"".join(ids), "<u4")[at], n
 
 
+def _distinct(data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(code of each piece, the distinct pieces) of bytes cut where pieces ``begin``."""
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(begin), [
+        None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)]).dictionary_encode()
+    raw, cut = _bytes_of(pieces.dictionary)
+    raw, cut = raw.tobytes(), cut.tolist()
+    return pieces.indices.to_numpy(), [raw[a:b] for a, b in zip(cut, cut[1:])]
+
+
 def parts(texts: pa.Array, part_bytes: int = PART_BYTES) -> Iterator[pa.Array]:
     """``texts`` in runs of about ``part_bytes``, without copying."""
     upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
@@ -259,7 +310,8 @@ def _counts(lists: pa.Array, n: np.ndarray) -> np.ndarray:
 class WordBpe(_Encoder):
     """Vocabulary with word ends: lower-cased, white space dropped.
 
-    Tokenizers of another kind get whole texts.
+    Words of ASCII and Latin letters are cut into the vocabulary's pieces, byte by byte; other words are cut at
+    punctuation at their end only.  Tokenizers of another kind get whole texts.
     """
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
@@ -269,43 +321,56 @@ class WordBpe(_Encoder):
         self.by_word = (split.get("type") == "Split" and bool(split.get("invert")) and bool(suffix)
                         and (split.get("pattern") or {}).get("Regex") == WORD_PATTERN
                         and '"Lowercase"' in json.dumps(self.spec.get("normalizer")))
+        self.specials = [pc.ascii_lower(pa.scalar(t)).as_py() for t in self.specials]
         self.ends = self._starting(lambda t: bool(suffix) and t.endswith(suffix))
         del self.spec  # the vocabulary in Python objects
 
     def _not_by_word(self, texts: pa.Array) -> pa.Array:
-        # Special tokens are found in the raw text, before lower-casing.
-        return self._special(texts) if self.by_word else pa.array(np.ones(len(texts), bool))
+        # Special tokens are found in the raw text, before lower-casing: the strings of other case are none,
+        # but words are looked up in lower case.
+        return self._special(pc.ascii_lower(texts)) if self.by_word else pa.array(np.ones(len(texts), bool))
 
     def _whole(self, text: str) -> bytes:
         return self._each([text])[0]
 
     def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        words = lists.flatten().cast(pa.binary()).dictionary_encode()
-        flat, n = _joined(words.indices.to_numpy(), self._ids(words.dictionary.to_pylist()))
-        return flat, _counts(lists, n)
-
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        got = self.words.find(words)
-        made: dict[bytes, list[bytes]] = {}
-        stems = set()
-        for w, ids in zip(words, got):
-            if ids is None:
-                pieces = [w] if w.isalpha() else _word_pieces(w)
-                if len(pieces) == 1:
-                    stems.add(w)
-                else:
-                    made[w] = pieces
-                    stems.update(pieces)
-        stems = list(stems)
-        known = dict(zip(stems, _looked_up(self.words, stems, self._learn)))
-        if made:
-            joined = {w: b"".join([known[p] for p in pieces]) for w, pieces in made.items()}
-            self.words.add(joined)
-            known.update(joined)
-        return [known[w] if ids is None else ids for w, ids in zip(words, got)]
+        data, at = _bytes_of(pc.ascii_lower(texts))
+        if not len(data):
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        solid, begin = _solid_pieces(data, at)
+        of_text = np.searchsorted(np.flatnonzero(begin), at)
+        codes, known = _distinct(data[solid], np.flatnonzero(begin[solid]))
+        flat, n = _joined(codes, _looked_up(self.words, known, self._learn))
+        return flat, np.diff(np.concatenate([[0], np.cumsum(n)])[of_text])
+
+    def _learn(self, keys: list[bytes]) -> list[bytes]:
+        """A piece goes to the model as the vocabulary writes its bytes; words with odd characters go elsewhere."""
+        one, out, odd = self.tokenizer.model.tokenize, [], []
+        for k in keys:
+            text = k.decode()
+            if not text.isascii():
+                text = text.lower().encode().decode("latin-1").translate(_WRITTEN) if _LATIN.fullmatch(text) else None
+            elif not text.isprintable():
+                text = None
+            if text is None:
+                odd.append(k)
+            out.append(None if text is None else array("I", map(_ID, one(text))).tobytes())
+        if odd:
+            rest = iter(self._odd_words(odd))
+            out = [next(rest) if ids is None else ids for ids in out]
+        return out
 
-    def _learn(self, words: list[bytes]) -> list[bytes]:
+    def _odd_words(self, words: list[bytes]) -> list[bytes]:
+        cut = list(map(_word_pieces, words))
+        pieces = list(dict.fromkeys(p for ps in cut for p in ps))
+        known = dict(zip(pieces, self.words.find(pieces)))
+        new = [p for p, ids in known.items() if ids is None]
+        known.update(zip(new, self._learn_whole(new)))
+        whole = set(words)
+        self.words.add({p: known[p] for p in new if p not in whole})
+        return [b"".join([known[p] for p in ps]) for ps in cut]
+
+    def _learn_whole(self, words: list[bytes]) -> list[bytes]:
         """Words of letters alone are one piece each: they are encoded as one
         text and cut after every id that ends a word; the rest one by one."""
         texts = [w.decode() for w in words]
@@ -393,12 +458,8 @@ class ByteBpe(_Encoder):
         if not len(data):
             return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
         begin = _byte_pieces(data, at)
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(begin), [
-            None, pa.py_buffer(np.append(begin, len(data))), pa.py_buffer(data)]).dictionary_encode()
-        raw, cut = _bytes_of(pieces.dictionary)
-        raw, cut = raw.tobytes(), cut.tolist()
-        known = [raw[a:b] for a, b in zip(cut, cut[1:])]
-        flat, n = _joined(pieces.indices.to_numpy(), _looked_up(self.words, known, self._learn_pieces))
+        codes, known = _distinct(data, begin)
+        flat, n = _joined(codes, _looked_up(self.words, known, self._learn_pieces))
         upto = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(begin, at)]
         return flat, np.diff(upto)
 
